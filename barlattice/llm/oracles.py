@@ -35,4 +35,16 @@ SELECT page_id, host, path, CASE WHEN best IS NOT NULL THEN split_part(best, ' '
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op10_url_filters": OP10}
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, list_slice(w, p, p + least(5, len(w)) - 1) AS g FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+least_of AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN least_of ON a = d.r
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op10_url_filters": OP10}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, packing, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, packing, toxicity, url_filter
 from .common import load
 
 #: The host rules of the URL query.
@@ -82,6 +82,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_ids(pack_documents(load(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(load(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), [*HOST_RULES, *url_filter.PATTERNS])
 
@@ -91,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op10_url_filters": op10_url_filters,
 }

@@ -146,10 +146,34 @@ def n_hit(spans="hit_spans"):
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, **options) -> DataFrame:
-    """Documents whose share of hit words is at most ``max_share``: ``key, text``."""
-    found = find_overlap(docs, benchmark, **options)
-    return found.where(n_hit() <= max_share * F.col("n_words")).select(found.columns[0], "text")
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    n: int = 10,
+    max_share: float = 0.0,
+    block_bytes: int = 32 << 20,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of whose words at most ``max_share``
+    are hit by one block of items."""
+    place = docs.columns.index(text)
+    for part in blocks(benchmark, item_key, item_text, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Windows([(str(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
+
+        def run(batches, sent=sent):
+            windows = sent.value
+            for batch in slices(batches, place):
+                kept = []
+                for t in batch.column(place).to_pylist():
+                    words = words_of(t)
+                    kept.append(int(windows.hits(words)[0].sum()) <= max_share * len(words))
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, mark: str = " ", **options) -> DataFrame:

@@ -364,3 +364,11 @@ def join(
     by_set = tied.join(least, "root").select("set_id", "component_id")
     out = rows.select("key", "n_shingles", "set_id").join(by_set, "set_id", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component
+    the row of its least key stays, and of wholly repeated keys and texts one."""
+    groups = join(docs, key=key, text=text, **options)
+    kept = written(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct(), "kept")
+    return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi").dropDuplicates([key, text])

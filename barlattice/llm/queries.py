@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, packing, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, packing, pii, toxicity, url_filter, vector_dedup
 from .common import load
 
 #: The host rules of the URL query.
@@ -86,6 +86,16 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(load(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents"))
+    counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listing(*pii.KINDS), 256).alias("base_sha256"), pii.listing(*pii.KINDS, "id").alias("spans"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(load(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), [*HOST_RULES, *url_filter.PATTERNS])
 
@@ -96,5 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_pii": op7_pii,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filters": op10_url_filters,
 }

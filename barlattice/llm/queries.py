@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, packing, pii, toxicity, url_filter, vector_dedup
+from . import decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, toxicity, url_filter, vector_dedup
 from .common import load
 
 #: The host rules of the URL query.
@@ -86,12 +86,25 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(load(spark, sf_dir, "documents"))
 
 
+def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the documents that are labelled as good."""
+    return load(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(load(spark, sf_dir, "documents"), good_documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(load(spark, sf_dir, "documents"))
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listing(*pii.KINDS), 256).alias("base_sha256"), pii.listing(*pii.KINDS, "id").alias("spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), good_documents(spark, sf_dir))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(load(spark, sf_dir, "embeddings"))
 
@@ -106,7 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filters": op10_url_filters,
 }

@@ -387,3 +387,158 @@ def d18_day_types(spark, sf_dir):
     total = d.groupBy().agg(F.count("*").alias("days"))
     out = dim.join(top, "archetype", "left").crossJoin(F.broadcast(total))
     return out.select("archetype", "regime", F.coalesce("n", F.lit(0)).alias("n"), rate(F.coalesce("n", F.lit(0)), "days").alias("pct"), "top_weekday")
+
+
+# ---- patterns, bias, concepts, levels -----------------------------------------------------------
+
+from ..operators import bias as A  # noqa: E402
+from ..operators import candles as C  # noqa: E402
+from ..operators import outcomes as O  # noqa: E402
+from ..operators import structure as T  # noqa: E402
+
+
+@query
+def pa01_single(spark, sf_dir):
+    return C.patterns(indexed(spark, sf_dir, 3600), (1,))
+
+
+@query
+def pa02_double(spark, sf_dir):
+    return C.patterns(indexed(spark, sf_dir, 3600), (2,))
+
+
+@query
+def pa03_triple(spark, sf_dir):
+    return C.patterns(indexed(spark, sf_dir, 300), (3,))
+
+
+@query
+def pa04_counts(spark, sf_dir):
+    return C.patterns(indexed(spark, sf_dir, 900)).groupBy("pattern", "span").agg(F.count("*").alias("n"), F.max("bar_ts").alias("newest"))
+
+
+@query
+def bias01_daily(spark, sf_dir):
+    return _dated(A.bias_entries(daily(spark, sf_dir)))
+
+
+@query
+def bias01_weekly(spark, sf_dir):
+    return _dated(A.bias_entries(daily(spark, sf_dir), "W"))
+
+
+@query
+def d29_bias_statistics(spark, sf_dir):
+    return A.bias_statistics(A.bias_entries(daily(spark, sf_dir)))
+
+
+@query
+def ict01_draw(spark, sf_dir):
+    return _dated(A.draw_on_liquidity(bars(spark, sf_dir, 3600)))
+
+
+@query
+def ict02_phases(spark, sf_dir):
+    return _dated(A.phases(bars(spark, sf_dir, 3600)))
+
+
+@query
+def ict03_judas(spark, sf_dir):
+    return _dated(A.judas_swings(bars(spark, sf_dir, 3600)))
+
+
+@query
+def ict04_session_bias(spark, sf_dir):
+    return _dated(A.session_biases(bars(spark, sf_dir, 3600)))
+
+
+@query
+def lvl01_levels(spark, sf_dir):
+    return A.period_levels(bars(spark, sf_dir, 900))
+
+
+# ---- structure ----------------------------------------------------------------------------------
+
+
+def series(spark, sf_dir, seconds: int = 900) -> T.Series:
+    return T.of(indexed(spark, sf_dir, seconds))
+
+
+@query
+def smc01_pivots(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return T.pivots(s, 20).withColumn("k", F.lit(20)).unionByName(T.pivots(s, 5).withColumn("k", F.lit(5)))
+
+
+@query
+def smc02_structure(spark, sf_dir):
+    return T.structures(series(spark, sf_dir), 20, 5)
+
+
+@query
+def smc02_trend(spark, sf_dir):
+    return T.trend(series(spark, sf_dir), 5)
+
+
+@query
+def smc03_gaps(spark, sf_dir):
+    return T.gaps(series(spark, sf_dir))
+
+
+@query
+def smc04_order_blocks(spark, sf_dir):
+    return T.order_blocks(series(spark, sf_dir), 20, 5)
+
+
+@query
+def smc05_equal_levels(spark, sf_dir):
+    return T.equal_levels(series(spark, sf_dir), 20).withColumn("level", q("level"))
+
+
+@query
+def smc06_swing_labels(spark, sf_dir):
+    return T.swing_labels(series(spark, sf_dir), 20)
+
+
+@query
+def smc07_fractals(spark, sf_dir):
+    return T.fractals(series(spark, sf_dir))
+
+
+@query
+def smc08_sweeps(spark, sf_dir):
+    return T.liquidity_sweeps(series(spark, sf_dir), 5)
+
+
+@query
+def smc09_sweep_areas(spark, sf_dir):
+    return T.sweep_areas(series(spark, sf_dir), 5)
+
+
+@query
+def smc10_breakers(spark, sf_dir):
+    return T.breaker_blocks(series(spark, sf_dir), 20, 5)
+
+
+@query
+def smc11_trends(spark, sf_dir):
+    return T.candle_trends(series(spark, sf_dir), 5)
+
+
+@query
+def smc12_range(spark, sf_dir):
+    return T.trading_range(series(spark, sf_dir), 20, 5)
+
+
+def smc_outcomes(spark, sf_dir) -> DataFrame:
+    return O.evaluated(indexed(spark, sf_dir, 3600))
+
+
+@query
+def smc15_outcomes(spark, sf_dir):
+    return smc_outcomes(spark, sf_dir)
+
+
+@query
+def d11_smc_statistics(spark, sf_dir):
+    return O.summary(smc_outcomes(spark, sf_dir))

@@ -1,7 +1,9 @@
-"""All registered queries by name."""
+"""All registered queries and their SQL, by name."""
 
 from __future__ import annotations
 
-from . import queries
+from . import oracles, oracles_structure, queries
 
 QUERIES = queries.QUERIES
+ORACLES = oracles.ORACLES
+assert oracles_structure.ORACLES is ORACLES

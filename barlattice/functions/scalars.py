@@ -84,7 +84,7 @@ def nice(x) -> Column:
     """The nearest of 1, 2, 5 and 10 times a power of ten."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(col(x))))
     lead = col(x) / power
-    return power * F.when(lead < 1.5, 1.0).when(lead < 3.5, 2.0).when(lead < 7.5, 5.0).otherwise(10.0)
+    return power * F.when(lead <= 1.5, 1.0).when(lead <= 3.5, 2.0).when(lead <= 7.5, 5.0).otherwise(10.0)
 
 
 def large_trade(symbol, thresholds: dict[str, float] | None = None, default: float = 10_000.0) -> Column:

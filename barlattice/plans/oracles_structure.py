@@ -197,7 +197,7 @@ ORACLES |= {
     "smc12_range": sql("""WITH p AS (SELECT k, arg_max(price, i) FILTER (side = 'high') AS sh, arg_max(price, i) FILTER (side = 'low') AS sl FROM m_ps GROUP BY k), t AS (SELECT k, max(high) AS h50, min(low) AS l50, arg_max(close, i) AS price FROM (SELECT * FROM m15 QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) <= 50) GROUP BY k),
         j AS (SELECT k, CASE WHEN price > sh THEN h50 ELSE sh END AS h, CASE WHEN price < sl THEN l50 ELSE sl END AS l, coalesce(trend_bias, 0) AS b, price FROM p JOIN t USING (k) LEFT JOIN m_tr USING (k) WHERE sh IS NOT NULL AND sl IS NOT NULL)
         SELECT k AS symbol, h AS swing_high, l AS swing_low, b AS trend_bias, CASE WHEN b = 1 THEN l END AS strong_low, CASE WHEN b = 1 THEN h END AS weak_high, CASE WHEN b <> 1 THEN h END AS strong_high, CASE WHEN b <> 1 THEN l END AS weak_low, price FROM j"""),
-    "smc15_outcomes": sql("SELECT * FROM wout"),
+    "smc15_outcomes": sql("SELECT * REPLACE (" + ", ".join(f"{c}::VARCHAR AS {c}" for c in ("retested", "held", "filled", "swept", "success")) + ", retested_within::DOUBLE AS retested_within, filled_within::DOUBLE AS filled_within) FROM wout"),
     "d11_smc_statistics": sql(f"""SELECT kind, count(*) AS n, {pct("count(*) FILTER (CASE kind WHEN 'ob' THEN held WHEN 'fvg' THEN filled ELSE success END)", 'count(*)')} AS success_pct, {pct('count(*) FILTER (retested)', 'count(*)')} AS retested_pct, {pct('count(*) FILTER (held)', 'count(*) FILTER (retested)')} AS held_pct,
         {pct('count(*) FILTER (swept)', 'count(*)')} AS swept_pct, {r('avg(max_move_pct)', 3)} AS avg_move_pct, {r('avg(filled_within) FILTER (filled)', 3)} AS avg_bars_to_fill FROM wout GROUP BY kind"""),
 }

@@ -536,9 +536,234 @@ def smc_outcomes(spark, sf_dir) -> DataFrame:
 
 @query
 def smc15_outcomes(spark, sf_dir):
-    return smc_outcomes(spark, sf_dir)
+    o = smc_outcomes(spark, sf_dir)
+    flags = {c: F.col(c).cast("string") for c in ("retested", "held", "filled", "swept", "success")}
+    return o.withColumns(flags | {c: F.col(c).cast("double") for c in ("retested_within", "filled_within")})
 
 
 @query
 def d11_smc_statistics(spark, sf_dir):
     return O.summary(smc_outcomes(spark, sf_dir))
+
+
+# ---- profile ------------------------------------------------------------------------------------
+
+from ..operators import backtest as X  # noqa: E402
+from ..operators import confluence as N  # noqa: E402
+from ..operators import flow as W  # noqa: E402
+from ..operators import profile as P  # noqa: E402
+
+
+def recent_sessions(spark, sf_dir) -> DataFrame:
+    return P.recent_sessions(bars(spark, sf_dir, 900), "15m", 10)
+
+
+@query
+def tpo02_tick(spark, sf_dir):
+    return P.ticks(recent_sessions(spark, sf_dir), ["symbol", "sess"])
+
+
+@query
+def tpo03_rows(spark, sf_dir):
+    r = P.price_rows(recent_sessions(spark, sf_dir), ["symbol", "sess"])
+    return r.select("symbol", "sess", "j", "price", F.col("count").alias("n"), F.concat_ws("", "letters").alias("letters"))
+
+
+@query
+def tpo05_zones(spark, sf_dir):
+    return P.zones(recent_sessions(spark, sf_dir), ["symbol", "sess"]).withColumnRenamed("count", "n")
+
+
+@query
+def tpo06_value_area(spark, sf_dir):
+    return P.profiles(recent_sessions(spark, sf_dir), ["symbol", "sess"])
+
+
+@query
+def tpo06_value_area_5m(spark, sf_dir):
+    return P.profiles(P.recent_sessions(bars(spark, sf_dir, 300), "5m", 10), ["symbol", "sess"])
+
+
+@query
+def eth01_touches(spark, sf_dir):
+    return _dated(P.prior_profile_touches(bars(spark, sf_dir, 900), bars(spark, sf_dir, 3600)))
+
+
+@query
+def d17_touch_rates(spark, sf_dir):
+    t, n = P.prior_profile_touches(bars(spark, sf_dir, 900), bars(spark, sf_dir, 3600)), F.count("*")
+    return t.groupBy("symbol").agg(n.alias("days"), *[rate(n_if(F.col(f"touched_{x}")), n).alias(f"{x}_pct") for x in ("poc", "vah", "val")])
+
+
+# ---- flow ---------------------------------------------------------------------------------------
+
+
+@query
+def of01_levels(spark, sf_dir):
+    return W.footprint_levels(M.ticks(spark, sf_dir), 3600)
+
+
+@query
+def of01_footprint_map(spark, sf_dir):
+    f = W.footprints(M.ticks(spark, sf_dir), 3600)
+    return f.select("symbol", "bar_ts", F.size("price_levels").alias("levels"), q(F.aggregate(F.map_values("price_levels"), F.lit(0.0), lambda a, x: a + x["buy_vol"])).alias("buy"))
+
+
+@query
+def of02_delta(spark, sf_dir):
+    return W.deltas(M.ticks(spark, sf_dir), 3600)
+
+
+@query
+def of03_large(spark, sf_dir):
+    return W.large_trades(M.ticks(spark, sf_dir), 3600)
+
+
+@query
+def of04_last_bars(spark, sf_dir):
+    """The last 12 bars before a point in time, with what of the first is missing."""
+    t = M.ticks(spark, sf_dir)
+    as_of = F.lit("2024-01-20 10:30:00").cast("timestamp_ntz")
+    start = F.date_trunc("hour", as_of) - F.expr("interval 11 hours")
+    return W.deltas(t.where((F.col("ts") >= start) & (F.col("ts") <= as_of)), 3600).withColumn("truncated", F.col("bar_ts") == F.date_trunc("hour", as_of))
+
+
+@query
+def drv01_funding(spark, sf_dir):
+    n = M.table(spark, sf_dir, "nation")
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    rows = n.select(F.col("n_name").alias("symbol"), ((F.col("n_nationkey") - 12) / 10000.0).alias("rate"), (base + F.make_dt_interval(F.lit(0), F.col("n_nationkey"))).alias("as_of"), (base + F.make_dt_interval(F.lit(1), F.lit(8))).alias("next_ts"))
+    return W.funding(rows)
+
+
+@query
+def drv02_changes(spark, sf_dir):
+    p = M.positioning(spark, sf_dir).withColumn("month", F.date_trunc("month", "ts"))
+    out = None
+    for name in ("oi", "ratio", "buy_vol"):
+        one = W.change(p, name, ["month"]).withColumn("series", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def pos01_sizes(spark, sf_dir):
+    return W.position_size(M.requests(spark, sf_dir))
+
+
+@query
+def clk01_clock(spark, sf_dir):
+    return W.session_clock(M.table(spark, sf_dir, "events").select("event_id", "ts"))
+
+
+# ---- events, trades, edges ----------------------------------------------------------------------
+
+
+def all_events(spark, sf_dir) -> DataFrame:
+    return X.session_events(bars(spark, sf_dir, 3600)).unionByName(X.smc_events(indexed(spark, sf_dir, 3600)))
+
+
+@query
+def evt01_events(spark, sf_dir):
+    return _dated(X.session_events(bars(spark, sf_dir, 3600)))
+
+
+@query
+def bt01_backtest(spark, sf_dir):
+    return X.frequencies(all_events(spark, sf_dir))
+
+
+@query
+def bt01_filtered(spark, sf_dir):
+    return X.frequencies(X.matching(all_events(spark, sf_dir), session="london", day_of_week="Tuesday"))
+
+
+@query
+def d13_weekdays(spark, sf_dir):
+    return X.frequencies(X.session_events(bars(spark, sf_dir, 3600)), "day_of_week")
+
+
+def simulated(spark, sf_dir) -> DataFrame:
+    b = bars(spark, sf_dir, 3600)
+    return X.trades(b, X.session_events(b))
+
+
+@query
+def rr03_trades(spark, sf_dir):
+    t = _dated(simulated(spark, sf_dir))
+    return t.withColumns({c: F.col(c).cast("double") for c in ("bar_idx", "bars_held")})
+
+
+@query
+def rr04_skips(spark, sf_dir):
+    t = simulated(spark, sf_dir)
+    return t.groupBy("event_type", F.coalesce("skip", F.lit("traded")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def d28_equity(spark, sf_dir):
+    return X.equity(simulated(spark, sf_dir), ["symbol", "event_type"])
+
+
+@query
+def e24_downsampled(spark, sf_dir):
+    return X.downsampled(simulated(spark, sf_dir), ["symbol"], 50)
+
+
+@query
+def edg01_edges(spark, sf_dir):
+    return X.edges(all_events(spark, sf_dir)).withColumn("filters", F.to_json("filters"))
+
+
+@query
+def d23_session_card(spark, sf_dir):
+    b = bars(spark, sf_dir, 3600)
+    r = S.session_ranges(b).select("symbol", "day", "session").join(S.day_summaries(b), ["symbol", "day"])
+    n = F.count("*")
+    is_hod, is_lod = F.col("hod_session") == F.col("session"), F.col("lod_session") == F.col("session")
+    return r.groupBy("symbol", "session").agg(
+        n.alias("n"), rate(n_if(F.col("direction") == "long"), n).alias("long_pct"), rate(n_if(is_hod), n).alias("hod_pct"), rate(n_if(is_lod), n).alias("lod_pct"),
+        rate(n_if(is_hod & is_lod), n).alias("both_pct"), rate(n_if(~is_hod & ~is_lod), n).alias("neither_pct"),
+    )
+
+
+@query
+def d26_forecast(spark, sf_dir):
+    """What each session's history says about its next one."""
+    b = bars(spark, sf_dir, 3600)
+    r = S.session_ranges(b)
+    p = F.percentile("range_pct", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    n = F.count("*")
+    own = r.groupBy("symbol", "session").agg(n.alias("n"), q(p[0], 6).alias("low_pct"), q(p[1], 6).alias("median_pct"), q(p[2], 6).alias("high_pct"), rate(n_if(F.col("direction") == "bullish"), n).alias("bullish_pct"))
+    prior = r.select("symbol", F.when(F.col("session") == "asia", "london").when(F.col("session") == "london", "new_york").alias("session")).where("session is not null").groupBy("symbol", "session").agg(n.alias("prior_days"))
+    high, low = n_if(F.col("swept_side").isin("high", "both")), n_if(F.col("swept_side").isin("low", "both"))
+    s = S.sweeps(b).groupBy("symbol", "session").agg(n.alias("sweeps"), F.when(high > low, "high").when(low > high, "low").otherwise("either").alias("likely_side"))
+    last = b.groupBy("symbol").agg(F.max_by("close", "bar_ts").alias("price"))
+    j = own.join(prior, ["symbol", "session"], "left").join(s, ["symbol", "session"], "left").join(last, "symbol")
+    half = F.col("price") * F.col("median_pct") / 100.0 / 2.0
+    return j.select("symbol", "session", "n", "low_pct", "median_pct", "high_pct", "bullish_pct", rate(F.coalesce("sweeps", F.lit(0)), F.coalesce("prior_days", F.lit(0))).alias("sweep_pct"), "likely_side", q(F.col("price") + half).alias("projected_high"), q(F.col("price") - half).alias("projected_low"))
+
+
+# ---- confluence ---------------------------------------------------------------------------------
+
+
+def graded(spark, sf_dir, near: float) -> DataFrame:
+    h1 = B.indexed(B.latest(bars(spark, sf_dir, 3600), 300))
+    h4 = B.indexed(B.latest(bars(spark, sf_dir, 14400), 300))
+    return N.grades(h1, h4, near=near)
+
+
+@query
+def cnf01_grades(spark, sf_dir):
+    return graded(spark, sf_dir, 0.5)
+
+
+@query
+def cnf01_grades_wide(spark, sf_dir):
+    """The same score with a wide entry zone, so that all factors come into play."""
+    return graded(spark, sf_dir, 60.0)
+
+
+@query
+def scan01_ranking(spark, sf_dir):
+    return N.ranked(graded(spark, sf_dir, 60.0)).select("rank", "symbol", "score", "direction", "meets_threshold")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import oracles, oracles_structure, queries
+from . import oracles, oracles_structure, oracles_trading, queries
 
 QUERIES = queries.QUERIES
 ORACLES = oracles.ORACLES
-assert oracles_structure.ORACLES is ORACLES
+assert oracles_structure.ORACLES is ORACLES and oracles_trading.ORACLES is ORACLES

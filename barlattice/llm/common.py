@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z and nothing else, as the contracts of the operators ask.
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: Texts handed to one Python step at a time, in bytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +67,4 @@ def slices(batches: Iterator, text: int) -> Iterator:
         rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(text).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on and serves other steps

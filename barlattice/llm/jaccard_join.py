@@ -58,7 +58,7 @@ class Hasher:
 
     def words(self, text: str) -> np.ndarray:
         known, out = self.known, []
-        if len(known) > 2_000_000:
+        if len(known) > 250_000:
             known.clear()
         for w in text.encode("utf-8", "surrogatepass").lower().split():  # bytes: A-Z and ASCII white space alone
             h = known.get(w)

@@ -194,7 +194,7 @@ class Model:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Score the words not met before."""
-        if len(self.known) > 1_500_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         new = list({w for t in texts for w in t} - self.known.keys())
         for at in range(0, len(new), 100_000):

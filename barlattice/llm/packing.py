@@ -111,8 +111,15 @@ def pack(
     capacity: int = 2048,
     piece: int = 384,
     gather: int = 160_000,
+    finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str = SCHEMA,
 ) -> DataFrame:
-    """Per piece: ``key, start, length, ids, doc_tokens, sequence_id, offset``."""
+    """Per piece: ``key, start, length, ids, doc_tokens, sequence_id, offset``.
+
+    ``finish`` is applied to every batch of these rows where it is made, so that
+    what needs only a digest of the ids never sends them; ``schema`` then names
+    the columns after the key.
+    """
     if not 0 < piece <= capacity:
         raise ValueError("0 < piece <= capacity is needed")
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -142,7 +149,7 @@ def pack(
             columns = list(zip(*out))
             done = pa.RecordBatch.from_arrays([pa.array(c, t or key_type) for c, t in zip(columns, types)], names=[key, *names[1:]])
             out.clear()
-            return done
+            return finish(done) if finish else done
 
         key_type = None
         for batch in slices(batches, 1):
@@ -164,4 +171,4 @@ def pack(
         if out:
             yield batch_of(key_type)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
+    return rows.mapInArrow(run, f"`{key}` {kind}, {schema}")

@@ -55,31 +55,26 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return packing.pack(
-        docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
-    )
-
-
-def digest_ids(pieces: DataFrame) -> DataFrame:
+def digest_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
     """``ids`` of each piece exchanged for its ids_crc32."""
-    place = pieces.columns.index("ids")
-    schema = pieces.withColumn("ids", F.lit(0).cast("long")).withColumnRenamed("ids", "ids_crc32").schema
+    place = batch.schema.names.index("ids")
+    lists = batch.column(place)
+    values, at = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
+    columns, names = [*batch.columns], list(batch.schema.names)
+    columns[place], names[place] = pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], pa.int64()), "ids_crc32"
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(place)
-            values, at = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-            columns = [*batch.columns]
-            columns[place] = pa.array(sums, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return pieces.mapInArrow(run, schema)
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Packed pieces with a digest of their ids."""
+    return packing.pack(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN,
+        finish=digest_ids, schema=packing.SCHEMA.replace("ids array<int>", "ids_crc32 long"),
+    )
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_ids(pack_documents(load(spark, sf_dir, "documents")))
+    return pack_documents(load(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

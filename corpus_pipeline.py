@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlattice.llm import decontaminate, jaccard_join, pii, toxicity
 from barlattice.llm.common import load, written
-from barlattice.llm.queries import digest_ids, learn_toxicity, pack_documents
+from barlattice.llm.queries import learn_toxicity, pack_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, as the packing query returns them."""
-    return digest_ids(pack_documents(docs))
+    return pack_documents(docs)
 
 
 STAGES = [

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, as the contracts of the operators ask.
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,6 +59,12 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows (of a key and
+    little more), else as it is, for a join that shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def slices(batches: Iterator, text: int) -> Iterator:
     """Arrow batches cut so that the texts in column ``text`` stay near
     BATCH_BYTES; a row is never cut."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .ngram_lm import count_grams, score, train
 
 
@@ -24,7 +24,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id",
     n_tokens, target_loss, background_loss, score``."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     chosen = targets.select(F.col(key).alias("key"), F.lit(True).alias("chosen")).where("key is not null").distinct()
-    marked = rows.join(chosen, "key", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    marked = rows.join(small(chosen), "key", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     grams = written(count_grams(marked, order), "grams")
     characters = grams.select(F.right("gram", F.lit(1)).alias("c")).distinct().count()
     background = train(grams, "total", order, characters)

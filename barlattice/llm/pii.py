@@ -41,6 +41,9 @@ CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 SECRET = "^[0-9a-fA-F]{32,}$"
 CONTEXT = r"(\S+\s+\S+\s+\S*)$"
 
+#: Spans that are put together at once.
+BLOCK = 256
+
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -71,19 +74,35 @@ def valid(kind: str, value: Column) -> Column:
 
 def matches(text: Column, expression: str, need: str | None = None) -> Column:
     """Array of (start, end, value, before) of all matches; ``before`` is the
-    end of the text between the match and the one before it."""
+    end of the text between the match and the one before it.
+
+    Matches and the pieces between them are found once a text: lambdas see them
+    as the field of a bound variable, since a lambda's body is evaluated whole
+    for each element. Spans are put together by blocks of BLOCK, so that a text
+    with many matches doesn't copy all spans for each."""
     rx = F.lit(expression)
-    values, pieces = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, expression, -1)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    none = F.expr("cast(array() as array<array<struct<start:int,end:int,value:string,before:string>>>)")
+    both = F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("values"), F.split(text, expression, -1).alias("pieces"))
+
+    def spans(own):
+        n = F.size(own["values"])
+
+        def step(s, i):
+            piece, value = F.element_at(own["pieces"], i), F.element_at(own["values"], i)
+            start = s["at"] + F.length(piece)
+            end = start + F.length(value)
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(piece, F.lit(48)).alias("before"))
+            return F.struct(end.alias("at"), F.array_append(s["found"], one).alias("found"))
+
+        def block(s, first):
+            inner = F.aggregate(F.sequence(first, F.least(first + BLOCK - 1, n)), F.struct(s["at"].alias("at"), empty.alias("found")), step)
+            return F.aggregate(F.array(inner), s, lambda t, x: F.struct(x["at"].alias("at"), F.array_append(t["blocks"], x["found"]).alias("blocks")))
 
-    def step(s, i):
-        start = s["at"] + F.length(F.element_at(pieces, i))
-        value = F.element_at(values, i)
-        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.element_at(pieces, i), F.lit(48)).alias("before"))
-        return F.struct((start + F.length(value)).alias("at"), F.array_append(s["found"], one).alias("found"))
+        state = F.struct(F.lit(0).alias("at"), none.alias("blocks"))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), state, block, lambda s: F.flatten(s["blocks"]))).otherwise(empty)
 
-    found = F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.size(values)), state, step, lambda s: s["found"])).otherwise(empty)
+    found = F.element_at(F.transform(F.array(both), spans), 1)
     return F.when(F.contains(text, F.lit(need)), found).otherwise(empty) if need else found
 
 

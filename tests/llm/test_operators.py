@@ -354,7 +354,7 @@ def holds(kind, v):
 def test_pii_base(spark):
     rng = random.Random(6)
     alphabet = "a@.b-0123456789+() \n\U0001f600_%"
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(400)] + ["x 4111 1111 1111 1111, +1 (017) 555-7713 a@b.c_d@e.f 001.02.3.255.4.5.6.7 é 10.0.0.256", "1.1.1.1" * 50, "a.b@c.d" * 40]
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(400)] + ["x 4111 1111 1111 1111, +1 (017) 555-7713 a@b.c_d@e.f 001.02.3.255.4.5.6.7 é 10.0.0.256", "1.1.1.1" * 50, "a.b@c.d" * 40, " ".join(f"u{i}@x.org 10.0.{i % 300}.1" for i in range(pii.BLOCK * 2 + 1))]
     got = {r.doc_id: r for r in pii.find(odd_docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         for kind, rx in RX.items():

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -334,6 +335,54 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def brute_kneser_ney(texts, learned, order):
+    """Loss of every text, by dictionaries."""
+    def grams(t):
+        w = t.split()
+        padded = ["<s>"] * (order - 1) + w + ["</s>"]
+        return [tuple(padded[i : i + order]) for i in range(len(padded) - order + 1)] if w else []
+
+    levels = {order: Counter(g for t in learned for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    floor = 1 / (len(levels[1]) + 1)
+    cuts = {n: (0, *ngram_lm.discounts([sum(c == k for c in levels[n].values()) for k in range(1, 5)])) for n in levels}
+    contexts = {n: {} for n in levels}
+    for n in levels:
+        for g, c in levels[n].items():
+            contexts[n].setdefault(g[:-1], []).append(c)
+
+    def p(g):
+        if not g:
+            return floor
+        n, own = len(g), contexts[len(g)].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        c = levels[n].get(g, 0)
+        return (c - cuts[n][min(c, 3)]) / sum(own) + sum(cuts[n][min(x, 3)] for x in own) / sum(own) * p(g[1:])
+
+    return [-sum(np.log(p(g)) for g in grams(t)) for t in texts]
+
+
+def word_order_corpus(spark):
+    """Sentences, and in rows 100 to 139 the words of 0 to 39 in another order."""
+    rng = random.Random(8)
+    made = [" ".join(rng.choice(("the old dog saw a cat", "a cat ran up the hill", "on the hill lay snow", "snow fell on a house")) for _ in range(6)) for _ in range(60)]
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in made[:40]]
+    return spark.createDataFrame([(i, t, "en") for i, t in enumerate(made)] + [(100 + i, t, "en") for i, t in enumerate(mixed)], "doc_id long, text string, lang string")
+
+
+def test_lm_scoring_crosses_words_and_agrees_with_brute_force(spark):
+    docs = word_order_corpus(spark)
+    rows = docs.collect()
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, docs.where("doc_id < 30").select("doc_id")).collect()}
+    assert all(got[i].score < got[100 + i].score for i in range(40))
+    texts = [r.text for r in rows]
+    for r, loss in zip(rows, brute_kneser_ney(texts, texts, 3)):
+        assert got[r.doc_id].n_tokens == len(r.text.split()) + 1
+        assert got[r.doc_id].background_loss == pytest.approx(loss / got[r.doc_id].n_tokens, abs=2e-6)
+
+
 # ---- 7 personal data -----------------------------------------------------------------------------
 
 RX = {

@@ -1,7 +1,7 @@
 """Quality by perplexity under a Kneser-Ney model of trusted text.
 
-The model is trained on all trusted documents. Every document gets its
-perplexity per token; in each language, documents above the quantile ``keep`` of
+The model is over words, across the words of a text, and trained on all trusted
+documents. Every document gets its perplexity per token (a word or the text's end); in each language, documents above the quantile ``keep`` of
 that language's perplexities are rejected. Quantiles come from mergeable
 sketches over all documents.
 
@@ -17,23 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
-from .ngram_lm import count_grams, score, train
+from .word_lm import score_texts
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 5, keep: float = 0.9, accuracy: int = 10_000) -> DataFrame:
-    """``trusted`` holds the keys of trusted documents. Per row: ``key, lang,
-    n_tokens, perplexity, threshold, kept``."""
+def classify(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 3, keep: float = 0.9, accuracy: int = 10_000) -> DataFrame:
+    """``trusted`` holds the keys of trusted documents; ``order`` counts words. Per
+    row: ``key, lang, n_tokens, perplexity, threshold, kept``."""
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    own = trusted.select(F.col(key).alias("key")).where("key is not null").distinct()
-    grams = count_grams(rows.join(small(own), "key", "left_semi").select("text", F.lit(True).alias("chosen")), order)
-    grams = written(grams, "grams")
-    model = train(grams, "total", order, grams.select(F.right("gram", F.lit(1)).alias("c")).distinct().count())
-    if model is None:
+    own = trusted.select(F.col(key).alias("key"), F.lit(True).alias("chosen")).where("key is not null").distinct()
+    marked = rows.join(small(own), "key", "left").select("key", "lang", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    scored = score_texts(marked, ["chosen"], extra=("key", "lang"), order=order)
+    if scored is None:
         scored = rows.select("key", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"))
     else:
-        scored = score(rows, [model], extra=("key", "lang")).select(
-            "key", "lang", "n_tokens", F.round(F.exp(F.try_divide(F.col("losses")[0], F.col("n_tokens"))), 6).alias("perplexity")
-        )
+        scored = scored.select("key", "lang", "n_tokens", F.round(F.exp(F.try_divide(F.col("losses")[0], F.col("n_tokens"))), 6).alias("perplexity"))
     scored = written(scored, "scored")
     bounds = scored.groupBy(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("of")).agg(F.percentile_approx("perplexity", keep, accuracy).alias("threshold"))
     # a row for each language: sent to the scored rows, so that those of a common language stay where they are

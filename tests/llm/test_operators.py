@@ -383,6 +383,17 @@ def test_lm_scoring_crosses_words_and_agrees_with_brute_force(spark):
         assert got[r.doc_id].background_loss == pytest.approx(loss / got[r.doc_id].n_tokens, abs=2e-6)
 
 
+def test_quality_crosses_words_and_agrees_with_brute_force(spark):
+    docs = word_order_corpus(spark)
+    rows = docs.collect()
+    got = {r.doc_id: r for r in quality.classify(docs, docs.where("doc_id < 30").select("doc_id"), keep=0.6).collect()}
+    assert all(got[i].perplexity < got[100 + i].perplexity for i in range(40))
+    assert all(got[i].kept for i in range(30)) and not any(got[100 + i].kept for i in range(40))
+    texts = [r.text for r in rows]
+    for r, loss in zip(rows, brute_kneser_ney(texts, texts[:30], 3)):
+        assert got[r.doc_id].perplexity == pytest.approx(np.exp(loss / (len(r.text.split()) + 1)), rel=1e-5)
+
+
 # ---- 7 personal data -----------------------------------------------------------------------------
 
 RX = {

@@ -7,6 +7,10 @@ inherits the label of the nearest decided blocks of its own section (article or
 main part, else the page); where both sides are equally near and disagree, or
 nothing is decided, the section's own prior counts.
 
+Elements that are never text are skipped to their end tag. A self-closed one is
+empty. Where the end tag is missing, a script or style runs to the end of the
+page, any other to the end tag of the block around it, else to the next block tag.
+
 Null or empty html gives an empty text. Broken markup (unclosed tags, a page cut
 off anywhere) is read as far as it goes; text is neither dropped nor capped.
 Repeated rows are extracted each for itself. Extra columns are not read.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +36,9 @@ STOP_WORDS = frozenset(
     al como con del el ella en es la las lo los más no para pero por que se sin su un una y""".split()
 )
 
-#: Elements whose content is never text, that are boilerplate, that hold the main part, that end a block.
-SKIPPED = "script|style|noscript|template|svg|iframe|textarea|select|button|title|object|canvas|math|video|audio"
+#: Elements whose content is never text (RAW: nor markup), that are boilerplate, that hold the main part, that end a block.
+RAW = "script|style"
+SKIPPED = frozenset("script style noscript template svg iframe textarea select button title object canvas math video audio".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -46,8 +52,9 @@ MARKS = frozenset(
     promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
 
+_ATTRIBUTES = r"""(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"""
 _PARTS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_ATTRIBUTES}(?:(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)|(?<=/)>(?:(?!</?(?P=raw)[\s/>]).)*+</(?P=raw)\s*>)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -68,6 +75,47 @@ def is_marked(attributes: str) -> bool:
     return any(not MARKS.isdisjoint(_TOKENS.findall(next(v for v in m.groups() if v is not None).lower())) for m in _MARKED.finditer(attributes))
 
 
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name, closing and attributes of each piece of markup; the
+    name is empty for what is passed over whole."""
+    out = []
+    for m in _PARTS.finditer(page):
+        _, c1, n1, a1, c2, n2, a2 = m.groups()
+        out.append((m.start(), m.end(), (n1 or n2 or "").lower(), bool(c1 or c2), a1 or a2 or ""))
+    return out
+
+
+def skips(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, int]]:
+    """For each skipped element's start tag the next tag to be read, and where
+    the text before that begins."""
+    out: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter = Counter()
+    for i, (start, end, name, closing, attributes) in enumerate(tags):
+        if name not in SKIPPED and name not in BLOCKS:
+            continue
+        if not closing:
+            if not (name in SKIPPED and attributes.endswith("/")) and name not in _VOID:
+                stack.append((name, i))
+                held[name] += 1
+        elif held[name]:
+            while True:
+                other, k = stack.pop()
+                held[other] -= 1
+                if other in SKIPPED:
+                    out[k] = (i + 1, end) if other == name else (i, start)
+                if other == name:
+                    break
+    block = (len(tags), -1)  # the next block tag, for those that nothing ends
+    left = {k for name, k in stack if name in SKIPPED}
+    for i in range(len(tags) - 1, -1, -1) if left else ():
+        if i in left:
+            out[i] = block
+        elif tags[i][2] in BLOCKS:
+            block = (i, tags[i][0])
+    return out
+
+
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, characters in links, section, banned."""
     done: list[dict] = []
@@ -85,16 +133,22 @@ def blocks_of(page: str) -> list[dict]:
         texts.clear()
         linked = 0
 
-    at = 0
-    for m in _PARTS.finditer(page):
-        if m.start() > at:
-            texts.append(page[at : m.start()])
-            linked += (m.start() - at) if links else 0
-        at = m.end()
-        name = (m.group(3) or m.group(6) or "").lower()
+    at = following = 0
+    tags = tags_of(page)
+    skipped = skips(tags)
+    for i, (start, stop, name, closing, attributes) in enumerate(tags):
+        if i < following:
+            continue
+        if start > at:
+            texts.append(page[at:start])
+            linked += (start - at) if links else 0
+        at = stop
+        if i in skipped:
+            following, at = skipped[i]
+            at = len(page) if at < 0 else at
+            continue
         if not name:
             continue
-        closing, attributes = m.group(2) or m.group(5), m.group(4) or m.group(7) or ""
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":

@@ -151,6 +151,31 @@ def test_html():
     html_extract.main_text("<a " * 20_000 + '"' * 3001)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><svg class=i/><p>rest</p>", "a|rest"),
+        ("<p>a</p><iframe src='x' /><p>rest</p>", "a|rest"),
+        ("<p>a</p><video-js>b</video-js><p>rest</p>", "a|b|rest"),
+        ("<p>a</p><object-card><p>rest</p>", "a|rest"),
+        ("<div><button>Go</div><p>rest</p>", "rest"),
+        ("<div><select><div>x</div><option>y</div><p>rest</p><div><select>z</select>more</div>", "rest|more"),
+        ("<p>a</p><canvas>x<p>rest</p>", "a|rest"),
+        ("<p>a</p><select><option>A<option>B", "a"),
+        ("<p>a<svg><title>t</title><g/></svg>b</p><object>x<object>y</object>z</object>c", "ab|c"),
+        ("<p>a</p><script src=x/>code</script>b<script src=y/><p>rest</p><style>p > b", "a|b|rest"),
+        ("<p>a</p><script>if (a < b) '</p>'</script>b<script>cut off", "a|b"),
+    ],
+)
+def test_html_skips_no_more_than_the_element(page, text):
+    assert "|".join(b["text"] for b in html_extract.blocks_of(page)) == text
+
+
+def test_html_of_many_open_elements_is_linear():
+    for broken in ("<button>x", "<svg/>", "<script/>", "<div><select>", "<object><p>", "</div><title>"):
+        html_extract.main_text(broken * 30_000)
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()

@@ -7,8 +7,11 @@ and verified pairs of all passes are united to components. Equal vectors are one
 class from the start. Within a component the links are then counted exactly, in
 blocks, so a window's bound limits the search and not the result.
 
-The number of passes grows with the number of vectors, so that a pair at the
-threshold is met with the chance ``recall`` at any size.
+The number of passes grows with the number of vectors, so that among evenly
+spread vectors a pair at the threshold is met with the chance ``recall`` at any
+size. In dense regions a window holds a smaller part of what is near; so more
+passes follow, with wider windows, until what the last ones united and how fast
+that falls say that no more than ``1 - recall`` of the components is still to come.
 
 Null and zero vectors, and vectors with null or non-finite components, link with
 nothing; neither do vectors of different lengths. Repeated rows are copies. Extra columns are not read.
@@ -55,66 +58,82 @@ def pass_count(n: int, window: int, cosine: float, recall: float) -> int:
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
 
 
-def candidates(one: DataFrame, n: int, cosine: float, window: int, recall: float, at_once: int, seed: int, bits: int = 60) -> DataFrame:
-    """Links ``u, v`` between classes found by the passes: a forest per task."""
-    spark = one.sparkSession
+def candidates(one: DataFrame, n: int, cosine: float, window: int, recall: float, at_once: int, seed: int) -> DataFrame:
+    """``u, root`` of the classes that are linked, by as many passes as it takes."""
     total = pass_count(n, window, cosine, recall)
-    found = None
+    links = None
     for first in range(0, total, at_once):
-        passes = list(range(first, min(total, first + at_once)))
-
-        def hashed(batches, passes=passes):
-            for batch in batches:
-                for size in {len(v) for v in batch.column(1)}:
-                    own = batch.filter(pa.array([len(v) == size for v in batch.column(1)]))
-                    x = unit(own.column(1))
-                    for p in passes:
-                        directions = np.random.default_rng([seed, p, size]).standard_normal((size, bits))
-                        signs = x @ directions > 0
-                        order = (signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(np.full(len(x), size, dtype=np.int32)), pa.array(order), own.column(0), own.column(1)],
-                            names=["pass", "size", "hash", "class", "x"],
-                        )
-
-        kind = one.schema["x"].dataType.simpleString()
-        keyed = one.select("class", "x").mapInArrow(hashed, f"pass int, size int, hash long, class long, x {kind}")
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * len(passes) / 100_000))
-        ordered = keyed.repartitionByRange(parts, "pass", "size", "hash", "class").sortWithinPartitions("pass", "size", "hash", "class")
-
-        def compare(batches):
-            tail: list | None = None
-            forest: dict[int, int] = {}
-
-            def root(c):
-                while forest.setdefault(c, c) != c:
-                    forest[c] = forest[forest[c]]
-                    c = forest[c]
-                return c
-
-            for batch in batches:
-                groups = np.asarray(batch.column(0)).astype(np.int64) * (1 << 32) + np.asarray(batch.column(1))
-                ids = np.asarray(batch.column(3))
-                for g in np.unique(groups):
-                    where = np.flatnonzero(groups == g)
-                    x, own = unit(batch.column(4).slice(where[0], len(where))), ids[where]
-                    if tail and tail[0] == g:
-                        x, own = np.concatenate([tail[1], x]), np.concatenate([tail[2], own])
-                    u, v = [], []
-                    for d in range(1, min(window, len(x) - 1) + 1):
-                        for i in np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine):
-                            a, b = root(int(own[i])), root(int(own[i + d]))
-                            if a != b:
-                                forest[max(a, b)] = min(a, b)
-                                u.append(int(own[i]))
-                                v.append(int(own[i + d]))
-                    tail = [g, x[-window:], own[-window:]]
-                    if u:
-                        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        links = written(ordered.mapInArrow(compare, "u long, v long"), "links")
-        found = links if found is None else found.union(links)
-    return found
+        more = passes_over(one, n, list(range(first, min(total, first + at_once))), cosine, window, seed)
+        links = more if links is None else links.union(more)
+    wide, united, gain = window, None, None
+    while True:
+        roots = written(components(links), "roots")
+        members, groups = roots.agg(F.count("*"), F.count_distinct("root")).first()
+        if united is not None:
+            last, gain = gain, members - groups - united
+            if not gain or (last and gain < last and gain * gain / (last - gain) <= (1 - recall) * groups):
+                return roots
+            wide = min(2 * wide, 16 * window)
+        united = members - groups
+        forest = roots.where("u != root").select("u", F.col("root").alias("v"))
+        links = forest.union(passes_over(one, n, list(range(total, total + at_once)), cosine, wide, seed))
+        total += at_once
+
+
+def passes_over(one: DataFrame, n: int, passes: list[int], cosine: float, window: int, seed: int, bits: int = 60) -> DataFrame:
+    """Links ``u, v`` between classes found by these passes: a forest per task."""
+    spark = one.sparkSession
+
+    def hashed(batches):
+        for batch in batches:
+            for size in {len(v) for v in batch.column(1)}:
+                own = batch.filter(pa.array([len(v) == size for v in batch.column(1)]))
+                x = unit(own.column(1))
+                for p in passes:
+                    directions = np.random.default_rng([seed, p, size]).standard_normal((size, bits))
+                    signs = x @ directions > 0
+                    order = (signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(np.full(len(x), size, dtype=np.int32)), pa.array(order), own.column(0), own.column(1)],
+                        names=["pass", "size", "hash", "class", "x"],
+                    )
+
+    kind = one.schema["x"].dataType.simpleString()
+    keyed = one.select("class", "x").mapInArrow(hashed, f"pass int, size int, hash long, class long, x {kind}")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * len(passes) / 100_000))
+    ordered = keyed.repartitionByRange(parts, "pass", "size", "hash", "class").sortWithinPartitions("pass", "size", "hash", "class")
+
+    def compare(batches):
+        tail: list | None = None
+        forest: dict[int, int] = {}
+
+        def root(c):
+            while forest.setdefault(c, c) != c:
+                forest[c] = forest[forest[c]]
+                c = forest[c]
+            return c
+
+        for batch in batches:
+            groups = np.asarray(batch.column(0)).astype(np.int64) * (1 << 32) + np.asarray(batch.column(1))
+            ids = np.asarray(batch.column(3))
+            for g in np.unique(groups):
+                where = np.flatnonzero(groups == g)
+                x, own = unit(batch.column(4).slice(where[0], len(where))), ids[where]
+                if tail and tail[0] == g:
+                    x, own = np.concatenate([tail[1], x]), np.concatenate([tail[2], own])
+                u, v = [], []
+                for d in range(1, min(window, len(x) - 1) + 1):
+                    for i in np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine):
+                        a, b = root(int(own[i])), root(int(own[i + d]))
+                        if a != b:
+                            forest[max(a, b)] = min(a, b)
+                            u.append(int(own[i]))
+                            v.append(int(own[i + d]))
+                tail = [g, x[-window:], own[-window:]]
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return written(ordered.mapInArrow(compare, "u long, v long"), "links")
 
 
 def counted(members: DataFrame, cosine: float, block: int) -> DataFrame:
@@ -177,7 +196,7 @@ def dedup(
     rows, one = classes(vectors, key, vector)
     rows, one = written(rows.select("key", "class"), "rows"), written(one, "classes")
     n = one.count()
-    roots = components(candidates(one, n, cosine, window, recall, at_once, seed)).withColumnRenamed("u", "class")
+    roots = candidates(one, n, cosine, window, recall, at_once, seed).withColumnRenamed("u", "class")
     members = written(one.join(roots, "class"), "members")
     links = counted(members, cosine, block)
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -488,6 +488,22 @@ def test_vector_dedup(spark):
 # ---- 10 URLs -------------------------------------------------------------------------------------
 
 
+def test_vector_dedup_meets_pairs_in_a_dense_region(spark):
+    rng = np.random.default_rng(9)
+    scaled = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = lambda n: scaled(np.concatenate([np.zeros((n, 1)), rng.standard_normal((n, 63))], axis=1))
+    around = own(3000) * np.sqrt(0.2)
+    around[:, 0] = np.sqrt(0.8)
+    near = scaled(around[:300] + 0.45 * own(300))
+    x = np.concatenate([around, near]).astype(np.float32)
+    y = scaled(x.astype(np.float64))
+    pairs = np.argwhere(np.triu(y @ y.T >= 0.9, 1))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    of = {r.vec_id: r.component_id for r in vector_dedup.dedup(frame).collect()}
+    assert len(pairs) > 200
+    assert sum(of[int(a)] == of[int(b)] for a, b in pairs) >= 0.98 * len(pairs)
+
+
 def test_url_filter(spark):
     R = url_filter.Rule
     rules = [R("block", "com", "/en/"), R("allow", "example.com", "/en/7"), R("allow", "net", "/de/"), *url_filter.PATTERNS]

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -34,7 +36,8 @@ def encoder(path: str, ranks_path: str | None, pattern: str | None) -> Callable[
     """Text to the ids of the tokenizer file ``path``.
 
     With ``ranks_path``, the same vocabulary as ranks, a faster library gives
-    the same ids; a text that it refuses goes to the first one.
+    the same ids; a text that it refuses goes to the first one, and so does a text
+    that holds an added token of the file, which the faster one would spell out.
     """
     slow: list = []
 
@@ -43,18 +46,26 @@ def encoder(path: str, ranks_path: str | None, pattern: str | None) -> Callable[
             from tokenizers import Tokenizer
 
             slow.append(Tokenizer.from_file(path))
-            slow[0].encode_special_tokens = True
         return slow[0].encode(text, add_special_tokens=False).ids
 
     if ranks_path is None:
         return by_file
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    added = [t["content"] for t in file.get("added_tokens") or [] if t["content"]]
+    if file.get("normalizer") and added:  # a text may come to hold one
+        return by_file
+    holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if holds_added(text):
+            return by_file(text)
         try:
             return fast.encode_ordinary(text)
         except (KeyboardInterrupt, SystemExit, GeneratorExit):

@@ -220,6 +220,17 @@ def test_slow_and_fast_tokenizers_agree():
         assert fast(text) == slow(text)
 
 
+def test_added_tokens_in_a_text_get_their_ids():
+    from public_tokenizers import PATTERN, path
+    from tokenizers import Tokenizer
+
+    encode = packing.encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), PATTERN)
+    file = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "a <|endoftext| > b", "a <|ENDOFTEXT|> b"):
+        assert encode(text) == file.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_differencing():
     sets = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(i for s in sets for i in s) == [0, 1, 2, 3, 4]

@@ -107,14 +107,14 @@ def find_overlap(
     """Per document: ``key, text, n_words, hit_spans, items``.
 
     ``hit_spans`` holds [first, last) word ranges; ``items`` the distinct item
-    keys, as strings, in string order.
+    keys, as strings, in string order; items of a null key are one, a null at the end.
     """
     df = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
     df = df.withColumns(
         {"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<string>)")}
     )
     for part in blocks(benchmark, item_key, item_text, block_bytes):
-        sent = df.sparkSession.sparkContext.broadcast(Windows([(str(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
+        sent = df.sparkSession.sparkContext.broadcast(Windows([(None if r[0] is None else str(r[0]), r[1]) for r in part.collect()], n))
 
         def scan(batches, sent=sent):
             windows = sent.value
@@ -131,7 +131,7 @@ def find_overlap(
                             hit[a:b] = True
                         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                         spans[i] = edges.reshape(-1, 2).tolist()
-                        items[i] = sorted(set(items[i]) | found)
+                        items[i] = sorted(set(items[i]) | found, key=lambda k: (k is None, k))
                 f = batch.schema
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, f.field(3).type), pa.array(items, f.field(4).type)], schema=f
@@ -158,22 +158,37 @@ def keep_clean(
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, of whose words at most ``max_share``
-    are hit by one block of items."""
-    place = docs.columns.index(text)
-    for part in blocks(benchmark, item_key, item_text, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Windows([(str(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
+    are hit."""
+    place, last = docs.columns.index(text), len(docs.columns)
+    parts = blocks(benchmark, item_key, item_text, block_bytes)
+    # what blocks before have hit only counts where some words may be hit
+    carry = max_share > 0 and len(parts) > 1
+    if carry:
+        docs = docs.withColumn("decontaminate_spans", F.expr("cast(array() as array<array<int>>)"))
+    for part in parts:
+        sent = docs.sparkSession.sparkContext.broadcast(Windows([(None if r[0] is None else str(r[0]), r[1]) for r in part.collect()], n))
 
         def run(batches, sent=sent):
             windows = sent.value
             for batch in slices(batches, place):
                 kept = []
-                for t in batch.column(place).to_pylist():
+                spans = batch.column(last).to_pylist() if carry else None
+                for i, t in enumerate(batch.column(place).to_pylist()):
                     words = words_of(t)
-                    kept.append(int(windows.hits(words)[0].sum()) <= max_share * len(words))
+                    hit = windows.hits(words)[0]
+                    if carry:
+                        for a, b in spans[i]:
+                            hit[a:b] = True
+                        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                        spans[i] = edges.reshape(-1, 2).tolist()
+                    kept.append(int(hit.sum()) <= max_share * len(words))
+                if carry:
+                    f = batch.schema
+                    batch = pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(spans, f.field(last).type)], schema=f)
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(*[docs[i] for i in range(last)]) if carry else docs
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, mark: str = " ", **options) -> DataFrame:

@@ -86,6 +86,18 @@ def test_decontamination(spark, block_bytes):
     assert {r.doc_id for r in kept.collect()} == {i for i, b in enumerate(brute_overlap(texts, items)) if not b[1]}
 
 
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_decontamination_null_keys_and_shares_over_blocks(spark, block_bytes):
+    items = spark.createDataFrame([(None, "a b c"), (2, "d e f"), (10, "a b c"), (None, "g h i")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "x g h i y z u v"), (3, "x y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_overlap(docs, items, block_bytes=block_bytes).collect()}
+    assert [got[i]["items"] for i in (1, 2, 3)] == [["10", "2", None], [None], []]
+    assert [got[i].hit_spans for i in (1, 2)] == [[[1, 7]], [[1, 4]]]
+    for share, kept in ((0.0, {3}), (0.5, {2, 3}), (0.8, {1, 2, 3})):
+        left = decontaminate.keep_clean(docs, items, max_share=share, block_bytes=block_bytes)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == kept
+
+
 def test_decontamination_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_overlap(odd_docs(spark, ODD), none).where("size(items) > 0").count() == 0

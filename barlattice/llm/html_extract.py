@@ -2,14 +2,23 @@
 
 The page is cut into blocks at block-level tags. The first pass decides a block
 from its section, its link density, its length and its density of stop words;
-short blocks that say too little stay open. In the second pass an open block
-inherits the label of the nearest decided blocks of its own section (article or
-main part, else the page); where both sides are equally near and disagree, or
-nothing is decided, the section's own prior counts.
+short blocks that say too little stay open. Where the page, or the script of the
+block, is of a language whose stop words aren't known, length and link density
+decide. In the second pass an open block inherits the label of the nearest decided
+blocks of its own section (article or main part, doubtful part, else the page);
+where both sides are equally near and disagree, or nothing is decided, the
+section's own prior counts.
+
+An element is boilerplate by its name or by a whole word of its class, id or role.
+A word that only holds such a part (``social-issues``) makes a doubtful part: there,
+long dense blocks still count, and what is near them.
 
 Elements that are never text are skipped to their end tag. A self-closed one is
 empty. Where the end tag is missing, a script or style runs to the end of the
-page, any other to the end tag of the block around it, else to the next block tag.
+page, any other to the end tag of the block around it; where this is the article,
+the main part or the whole page, or is missing too, to the next block tag.
+A link lasts to its end tag, to the next link or to the end of the block around it.
+Markup is read in one pass, in time linear in the page.
 
 Null or empty html gives an empty text. Broken markup (unclosed tags, a page cut
 off anywhere) is read as far as it goes; text is neither dropped nor capped.
@@ -21,6 +30,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +47,11 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements whose content is never text (RAW: nor markup), that are boilerplate, that hold the main part, that end a block.
-RAW = "script|style"
-SKIPPED = frozenset("script style noscript template svg iframe textarea select button title object canvas math video audio".split())
+RAW = frozenset(("script", "style"))
+SKIPPED = frozenset("script style noscript template svg iframe textarea select button title object canvas video audio".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
+WIDE = MAIN | {"body", "html"}
 BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
@@ -51,15 +62,16 @@ MARKS = frozenset(
     disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo
     promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
+#: Words of a class that name the article itself.
+CONTENT = frozenset("article content entry post story".split())
 
-_ATTRIBUTES = r"""(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"""
 _PARTS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_ATTRIBUTES}(?:(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)|(?<=/)>(?:(?!</?(?P=raw)[\s/>]).)*+</(?P=raw)\s*>)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*(?:>|\Z)", re.S
 )
-_MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_RAW_NEXT = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -67,21 +79,55 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def is_marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(not MARKS.isdisjoint(_TOKENS.findall(next(v for v in m.groups() if v is not None).lower())) for m in _MARKED.finditer(attributes))
+@lru_cache(10_000)
+def mark_of(attributes: str) -> str:
+    """``banned`` for what is hidden or marked by a whole word of class, id or
+    role, ``header`` if that word is just this, ``doubt`` for a part of a word."""
+    found = ""
+    tokens: set[str] = set()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "style" and _INVISIBLE.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return "banned"
+        if name in ("class", "id", "role"):
+            tokens.update(value.lower().split())
+    if not MARKS.isdisjoint(tokens - {"header"}):
+        return "banned"
+    if "header" in tokens:
+        found = "header"
+    elif CONTENT.isdisjoint(tokens):
+        parts = {p for t in tokens for p in _TOKENS.findall(t)} - {"header"}
+        found = "" if MARKS.isdisjoint(parts) else "doubt"
+    return found
+
+
+def raw_end(page: str, name: str, at: int, closed: bool) -> int:
+    """Where a script or style that begins before ``at`` ends. One that closes
+    itself is empty unless the next tag of its name is an end tag."""
+    if closed:
+        following = _RAW_NEXT[name].search(page, at)
+        if not following or not following.group(1):
+            return at
+    end = _RAW_END[name].search(page, at)
+    return end.end() if end else len(page)
 
 
 def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
     """Start, end, name, closing and attributes of each piece of markup; the
     name is empty for what is passed over whole."""
-    out = []
-    for m in _PARTS.finditer(page):
-        _, c1, n1, a1, c2, n2, a2 = m.groups()
-        out.append((m.start(), m.end(), (n1 or n2 or "").lower(), bool(c1 or c2), a1 or a2 or ""))
+    out, at, plain = [], 0, set()
+    while m := _PARTS.search(page, at):
+        c1, n1, a1, c2, n2, a2 = m.groups()
+        name, at = (n1 or n2 or "").lower(), m.end()
+        if name in RAW and not (c1 or c2):
+            closed = (a1 or a2 or "").endswith("/")
+            if not (closed and name in plain):
+                end = raw_end(page, name, at, closed)
+                if closed and end == at and not _RAW_NEXT[name].search(page, at):
+                    plain.add(name)  # none follows: no later one need look
+                at = end
+            name = ""
+        out.append((m.start(), at, name, bool(c1 or c2), a1 or a2 or ""))
     return out
 
 
@@ -91,6 +137,7 @@ def skips(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, i
     out: dict[int, tuple[int, int]] = {}
     stack: list[tuple[str, int]] = []
     held: Counter = Counter()
+    left: set[int] = set()
     for i, (start, end, name, closing, attributes) in enumerate(tags):
         if name not in SKIPPED and name not in BLOCKS:
             continue
@@ -102,12 +149,16 @@ def skips(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, i
             while True:
                 other, k = stack.pop()
                 held[other] -= 1
-                if other in SKIPPED:
-                    out[k] = (i + 1, end) if other == name else (i, start)
                 if other == name:
+                    if other in SKIPPED:
+                        out[k] = (i + 1, end)
                     break
-    block = (len(tags), -1)  # the next block tag, for those that nothing ends
-    left = {k for name, k in stack if name in SKIPPED}
+                if other in SKIPPED and name in WIDE:
+                    left.add(k)
+                elif other in SKIPPED:
+                    out[k] = (i, start)
+    block = (len(tags), -1)  # the next block tag, for those that no end tag ends
+    left |= {k for name, k in stack if name in SKIPPED}
     for i in range(len(tags) - 1, -1, -1) if left else ():
         if i in left:
             out[i] = block
@@ -117,19 +168,20 @@ def skips(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, i
 
 
 def blocks_of(page: str) -> list[dict]:
-    """Blocks in page order: text, characters in links, section, banned."""
+    """Blocks in page order: text, characters in links, section, whether that is
+    a main or a doubtful one, banned."""
     done: list[dict] = []
     texts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # element, banned, section
-    sections, links = 0, 0
+    stack: list[tuple[str, bool, int, str]] = []  # element, banned, section, its kind
+    sections, link_depth = 0, -1  # depth of the stack where a link began
 
     def end():
         nonlocal linked
         text = " ".join(_html.unescape("".join(texts)).split())
         if text:
-            banned, section = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            done.append({"text": text, "linked": min(linked, len(text)), "section": section, "banned": banned})
+            _, banned, section, kind = stack[-1] if stack else ("", False, 0, "")
+            done.append({"text": text, "linked": min(linked, len(text)), "section": section, "main": kind == "main", "doubt": kind == "doubt", "banned": banned})
         texts.clear()
         linked = 0
 
@@ -141,7 +193,7 @@ def blocks_of(page: str) -> list[dict]:
             continue
         if start > at:
             texts.append(page[at:start])
-            linked += (start - at) if links else 0
+            linked += (start - at) if link_depth >= 0 else 0
         at = stop
         if i in skipped:
             following, at = skipped[i]
@@ -150,52 +202,77 @@ def blocks_of(page: str) -> list[dict]:
         if not name:
             continue
         if name == "a":
-            links = 0 if closing else 1
+            link_depth = -1 if closing else len(stack)
         elif name == "br":
             texts.append(" ")
         if name not in BLOCKS:
             continue
         end()
-        links = 0
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
         elif name not in _VOID:
-            banned, section = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            if name == "p" or name == "li":
-                if stack and stack[-1][0] == name:  # the end tag may be missing
-                    stack.pop()
-                    banned, section = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            if (name == "p" or name == "li") and stack and stack[-1][0] == name:  # the end tag may be missing
+                stack.pop()
+            _, banned, section, kind = stack[-1] if stack else ("", False, 0, "")
+            mark = mark_of(attributes) if attributes and name not in ("html", "body") else ""
             if name in MAIN:
                 sections += 1
-                section = sections
-            banned = banned or name in BOILERPLATE or (name == "header" and not section) or (name not in ("html", "body") and is_marked(attributes))
-            stack.append((name, banned, section))
+                section, kind = sections, "main"
+            elif mark == "doubt":
+                sections += 1
+                section, kind = sections, "doubt"
+            banned = banned or name in BOILERPLATE or mark == "banned" or (kind != "main" and (name == "header" or mark == "header"))
+            stack.append((name, banned, section, kind))
+        if len(stack) < link_depth:
+            link_depth = -1
     if at < len(page):
         rest = page[at:]
         texts.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
-        linked += len(rest) if links else 0
+        linked += len(rest) if link_depth >= 0 else 0
     end()
     return done
 
 
-def first_pass(block: dict, *, short: int, long: int, links: float, dense: float, sparse: float) -> int:
-    """GOOD, BAD or OPEN from the block alone."""
+def foreign(text: str) -> bool:
+    """Whether most letters are of another script than Latin."""
+    if text.isascii():
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
+def stop_share(blocks: list[dict]) -> float:
+    """Stop words among the words of the blocks that aren't banned; notes each
+    block's own share as ``density``."""
+    stops = total = 0
+    for b in blocks:
+        if not b["banned"]:
+            words = _WORDS.findall(b["text"].lower())
+            own = sum(w in STOP_WORDS for w in words)
+            b["density"] = own / len(words) if words else 0.0
+            stops, total = stops + own, total + len(words)
+    return stops / total if total else 0.0
+
+
+def first_pass(block: dict, *, known: bool = True, short: int, long: int, links: float, dense: float, sparse: float) -> int:
+    """GOOD, BAD or OPEN from the block alone; ``known``: the page's stop words are."""
     if block["banned"]:
         return BAD
     text = block["text"]
     if block["linked"] > links * len(text):
-        return OPEN if block["section"] and len(text) < short else BAD
-    words = _WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        return OPEN if block["main"] and len(text) < short else BAD
     if len(text) < short:
         return OPEN
-    if density >= dense:
-        return GOOD
-    if len(text) >= long and density < sparse:
-        return OPEN if block["section"] else BAD
+    if not known or foreign(text):
+        letters = sum(map(str.isalpha, text))
+        return GOOD if len(text) >= long and letters >= 0.6 * len(text) else OPEN
+    if block["density"] >= dense:
+        return OPEN if block["doubt"] and len(text) < long else GOOD
+    if len(text) >= long and block["density"] < sparse:
+        return OPEN if block["main"] else BAD
     return OPEN
 
 
@@ -203,11 +280,11 @@ def second_pass(blocks: list[dict], labels: list[int]) -> list[int]:
     """Open blocks take the label of the nearest decided ones of their section."""
     sections: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        if not (b["section"] and labels[i] == BAD and b["banned"]):
+        if not (b["main"] and labels[i] == BAD and b["banned"]):
             sections.setdefault(b["section"], []).append(i)
     out = list(labels)
-    for section, own in sections.items():
-        prior = GOOD if section else BAD
+    for own in sections.values():
+        prior = GOOD if blocks[own[0]]["main"] else BAD
         before: list[tuple[int, int] | None] = []
         last = None
         for k, i in enumerate(own):
@@ -234,7 +311,8 @@ def main_text(page: str | None, *, short: int = 60, long: int = 200, links: floa
     if not page:
         return ""
     blocks = blocks_of(page)
-    labels = [first_pass(b, short=short, long=long, links=links, dense=dense, sparse=sparse) for b in blocks]
+    known = stop_share(blocks) >= sparse
+    labels = [first_pass(b, known=known, short=short, long=long, links=links, dense=dense, sparse=sparse) for b in blocks]
     return "\n".join(b["text"] for b, label in zip(blocks, second_pass(blocks, labels)) if label == GOOD)
 
 

@@ -6,10 +6,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +191,74 @@ def test_html_of_many_open_elements_is_linear():
         html_extract.main_text(broken * 30_000)
 
 
+PROSE = "It was the best of times and the worst of times, and it is with the people of this town that we have to stay. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article class="post share-enabled"><p>hello</p></article>', "hello"),
+        (f'<div class="article social-issues"><h1>Head</h1><p>{PROSE}</p></div>', f"Head\n{PROSE.strip()}"),
+        (f'<body><div class="social-issues"><p>{PROSE}</p></div>', PROSE.strip()),
+        ('<article><header class="entry-header"><h1>T</h1></header><p>x</p></article>', "T\nx"),
+        (f'<body><div><p data-x="y hidden z">{PROSE}</p></div>', PROSE.strip()),
+        (f"<body><div><p hidden>{PROSE}</p></div>", ""),
+        ("<body><div><p>" + "Он шёл по улице и думал о том что будет завтра " * 8, ("Он шёл по улице и думал о том что будет завтра " * 8).strip()),
+        ("<body><div><p>" + "他走在街上想着明天会发生什么" * 23, "他走在街上想着明天会发生什么" * 23),
+        (f"<body><a href=x><div>{PROSE}</div></a><p>{PROSE}</p>", PROSE.strip()),
+        ("<article><p>where <math><mi>x</mi></math> is</p></article>", "where x is"),
+        (f'<article><p>{PROSE}</p><div class="share-buttons">Share this</div></article>', PROSE.strip()),
+        (f'<div class="cookie-banner">We use cookies to make this site better for you and all of us.</div><article><p>{PROSE}</p></article>', PROSE.strip()),
+        (f'<article><p>{PROSE}</p></article><div class="comments"><p>{PROSE}</p></div>', PROSE.strip()),
+        ("<article><p>A</p><select><option>1<p>B</p></article>", "A\nB"),
+    ],
+)
+def test_html_classes_languages_and_links(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("broken", ["<script ", '<svg x="', "<div '", "<script/>", "<style/><p>", "<!--", "<", "<a href='x\" "])
+def test_html_is_linear_on_broken_markup(broken):
+    began = time.time()
+    html_extract.main_text(broken * 20_000)
+    assert time.time() - began < 3
+
+
+class Articles(HTMLParser):
+    """The blocks of a page's article by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.inside, self.quiet = [""], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.quiet += tag in ("script", "style")
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.quiet -= tag in ("script", "style")
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.quiet:
+            self.blocks[-1] += data
+
+
+def test_html_agrees_with_another_parser_on_whole_pages():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        other = Articles()
+        other.feed(page or "")
+        other.close()
+        assert html_extract.main_text(page) == "\n".join(t for t in (" ".join(b.split()) for b in other.blocks) if t)
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()

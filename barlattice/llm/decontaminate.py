@@ -5,14 +5,17 @@ window). The hashes of all windows are broadcast; every document's windows are
 hashed with a rolling polynomial and probed, and a probe that hits is verified
 word by word. Spans of hit words, or whole documents, can then be removed.
 
-The benchmark is sent in blocks: items are dealt so that one block stays under
-``block_bytes`` of text. Documents pass over the blocks one after another, each
-pass adding to the hits of the one before, so a benchmark of any size gives the
-same result and no single broadcast exceeds the bound.
+The benchmark is sent in blocks: items are dealt by their key and text so that
+one block stays near ``block_bytes`` of text, beyond a single item of more. A block is
+held as arrays (16 bytes a window, 4 a word) and one entry for each distinct word,
+some 25 times its text at most; a test measures it. Documents pass over the
+blocks one after another, each pass adding to the hits of the one before, so a
+benchmark of any size gives the same result and no broadcast exceeds the bound.
 
 Null and empty texts have no words and no hits. Null benchmark texts have no
-windows. Repeated documents are each reported; items with equal windows are all
-counted. Columns other than the key and the text are not read.
+windows; items of a null key are one item, whose windows are hits like others'.
+Repeated documents are each reported; items with equal windows are all counted.
+Very long texts are scanned whole. Columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -39,58 +42,78 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.zeros(len(ids) - n + 1, dtype=np.uint64)
         for k in range(n):
-            out = (out ^ ids[k : k + len(out)]) * _MIX
+            out = (out ^ ids[k : k + len(out)].astype(np.uint64)) * _MIX
             out ^= out >> np.uint64(29)
     return out
 
 
 class Windows:
-    """The windows of a block of items, by length: hash to (words, items)."""
+    """The windows of a block of items, by length: sorted hashes, and where in
+    which item each begins."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
         self.ids: dict[str, int] = {}
-        by_words: dict[tuple[str, ...], set] = {}
+        self.names: list = []
+        place: dict = {}
+        texts, owners = [], []
         for item, text in items:
             words = words_of(text)
-            size = min(n, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                by_words.setdefault(tuple(words[at : at + size]), set()).add(item)
-        for window in by_words:
-            for word in window:
-                self.ids.setdefault(word, len(self.ids) + 1)
-        self.by_size: dict[int, tuple[np.ndarray, dict]] = {}
-        sizes: dict[int, dict[int, list]] = {}
-        for window, held in by_words.items():
-            ids = np.array([self.ids[w] for w in window], dtype=np.uint64)
-            sizes.setdefault(len(window), {}).setdefault(int(_hashes(ids, len(ids))[0]), []).append((window, held))
-        for size, table in sizes.items():
-            self.by_size[size] = (np.array(sorted(table), dtype=np.uint64), table)
-
-    def hits(self, words: list[str]) -> tuple[np.ndarray, set]:
+            if words:
+                texts.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], dtype=np.uint32))
+                if item not in place:
+                    place[item] = len(self.names)
+                    self.names.append(item)
+                owners.append(place[item])
+        self.flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint32)
+        found: dict[int, list] = {}
+        at = 0
+        for ids, owner in zip(texts, owners):
+            size = min(n, len(ids))
+            hashes = _hashes(ids, size)
+            found.setdefault(size, []).append((hashes, np.arange(at, at + len(hashes), dtype=np.uint32), np.full(len(hashes), owner, dtype=np.uint32)))
+            at += len(ids)
+        self.by_size = {}
+        for size, parts in found.items():
+            hashes, starts, items_of = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((starts, items_of, hashes))
+            hashes, starts, items_of = hashes[order], starts[order], items_of[order]
+            again = np.zeros(len(hashes), dtype=bool)  # a window that its item holds twice
+            again[1:] = (hashes[1:] == hashes[:-1]) & (items_of[1:] == items_of[:-1])
+            for i in range(size):
+                again[1:] &= self.flat[starts[1:] + i] == self.flat[starts[:-1] + i]
+            self.by_size[size] = (hashes[~again], starts[~again], items_of[~again])
+
+    def hits(self, words: list[str], at_once: int = 50_000) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items that occur."""
         hit, found = np.zeros(len(words), dtype=bool), set()
         get = self.ids.get
-        ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
-        for size, (known, table) in self.by_size.items():
-            if len(words) < size or not ids.any():
+        ids = np.array([get(w, 0) for w in words], dtype=np.uint32)
+        if not ids.any():
+            return hit, found
+        for size, (known, starts, items_of) in self.by_size.items():
+            if len(words) < size:
                 continue
             got = _hashes(ids, size)
-            at = np.minimum(np.searchsorted(known, got), len(known) - 1)
-            for i in np.flatnonzero(known[at] == got):
-                window = tuple(words[i : i + size])
-                for words_in, held in table[int(got[i])]:
-                    if words_in == window:
-                        hit[i : i + size] = True
-                        found |= held
+            first, last = np.searchsorted(known, got), np.searchsorted(known, got, side="right")
+            for some in np.array_split(np.flatnonzero(last > first), max(1, int((last - first).sum()) // at_once)):
+                counts = last[some] - first[some]
+                here = np.repeat(some, counts)
+                there = np.repeat(first[some] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+                same = np.ones(len(here), dtype=bool)
+                for i in range(size):
+                    same &= ids[here + i] == self.flat[starts[there] + i]
+                for i in range(size):
+                    hit[here[same] + i] = True
+                found.update(self.names[k] for k in np.unique(items_of[there[same]]).tolist())
         return hit, found
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark dealt by key into parts of about ``block_bytes``."""
+    """The benchmark dealt by key and text into parts of about ``block_bytes``."""
     total = benchmark.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0
     n = int(total // block_bytes) + 1
     rows = benchmark.select(F.col(key).alias("item"), F.col(text).alias("text"))
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
 
 
 def find_overlap(
@@ -102,7 +125,7 @@ def find_overlap(
     item_key: str = "item_id",
     item_text: str = "text",
     n: int = 10,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per document: ``key, text, n_words, hit_spans, items``.
 
@@ -155,7 +178,7 @@ def keep_clean(
     item_text: str = "text",
     n: int = 10,
     max_share: float = 0.0,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, of whose words at most ``max_share``
     are hit."""

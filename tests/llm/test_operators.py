@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 from html.parser import HTMLParser
@@ -101,6 +102,18 @@ def test_decontamination_null_keys_and_shares_over_blocks(spark, block_bytes):
         assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == kept
 
 
+def test_memory_of_a_block_of_windows_is_bounded():
+    items = [(k, " ".join(f"w{k}x{i % 50}" if i % 3 else "the" for i in range(400))) for k in range(800)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontaminate.Windows(items, 10)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 25 * size
+    hit, found = windows.hits(items[7][1].split()[5:30] + ["zz"] * 20)
+    assert hit.sum() == 25 and found == {7}
+
+
 def test_decontamination_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_overlap(odd_docs(spark, ODD), none).where("size(items) > 0").count() == 0

@@ -25,12 +25,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and entered there.
+    Only where the session names none and runs on one machine (tests) is a
+    temporary folder made and entered there; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = known or f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
@@ -59,10 +61,27 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows (of a key and
-    little more), else as it is, for a join that shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most_bytes: int = 128 << 20) -> DataFrame:
+    """``df``, marked for broadcast if its values take at most ``most_bytes`` with
+    16 bytes for each row, else as it is, for a join that shuffles both sides."""
+    width = F.lit(16)
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16))
+    held = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if held <= most_bytes else df
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join of ``many``, of which one key may hold a large part, with
+    ``one``, which has a row per key: by broadcast behind a check of its size, else
+    by the key and a salt, so that rows of one key spread over ``salts`` tasks."""
+    sent = small(one)
+    if sent is not one:
+        return many.join(sent, key)
+    salted = one.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("join_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [key, "join_salt"]).drop("join_salt")
 
 
 def slices(batches: Iterator, text: int) -> Iterator:

@@ -39,11 +39,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bitmap, probe
-from .common import drop_written, slices, written
+from .common import drop_written, join_hot, slices, small, written
 from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -358,17 +358,24 @@ def join(
         sets = fewer
     roots = components(link_sets(sets, threshold, block)).select(F.col("u").alias("set_id"), "root")
     classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("least"))
-    # a class outside all links is its own root
-    tied = classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = tied.join(least, "root").select("set_id", "component_id")
+    linked = written(classes.join(roots, "set_id"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_root = join_hot(linked.select("set_id", "root"), least, "root").select("set_id", "component_id")
+    # a class outside all links is its own component
+    by_set = classes.join(by_root, "set_id", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("key", "n_shingles", "set_id").join(by_set, "set_id", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each component
-    the row of its least key stays, and of wholly repeated keys and texts one."""
+    the row of its least key stays, and of repeated keys and texts the one whose
+    other columns hash least (rows that are wholly equal are one)."""
     groups = join(docs, key=key, text=text, **options)
     kept = written(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct(), "kept")
-    return docs.join(kept, docs[key].eqNullSafe(kept["kept_key"]), "left_semi").dropDuplicates([key, text])
+    left = docs.join(small(kept), docs[key].eqNullSafe(kept["kept_key"]), "left_semi")
+    if left.groupBy(key).count().where("count > 1").isEmpty():
+        return left
+    others = [f.name for f in docs.schema if f.name not in (key, text) and not f.dataType.simpleString().startswith(("map", "variant"))]
+    first = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    return left.withColumn("keep_one_rank", first).where("keep_one_rank = 1").drop("keep_one_rank")

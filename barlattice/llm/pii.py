@@ -39,7 +39,7 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 SECRET = "^[0-9a-fA-F]{32,}$"
-CONTEXT = r"(\S+\s+\S+\s+\S*)$"
+CONTEXT = r"((?:\S+\s+){1,2}\S*)$"
 
 #: Spans that are put together at once.
 BLOCK = 256
@@ -74,7 +74,7 @@ def valid(kind: str, value: Column) -> Column:
 
 def matches(text: Column, expression: str, need: str | None = None) -> Column:
     """Array of (start, end, value, before) of all matches; ``before`` is the
-    end of the text between the match and the one before it.
+    end of the text before the match, in which each earlier match is a ``0``.
 
     Matches and the pieces between them are found once a text: lambdas see them
     as the field of a bound variable, since a lambda's body is evaluated whole
@@ -92,14 +92,15 @@ def matches(text: Column, expression: str, need: str | None = None) -> Column:
             piece, value = F.element_at(own["pieces"], i), F.element_at(own["values"], i)
             start = s["at"] + F.length(piece)
             end = start + F.length(value)
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(piece, F.lit(48)).alias("before"))
-            return F.struct(end.alias("at"), F.array_append(s["found"], one).alias("found"))
+            before = F.right(F.concat(s["before"], piece), F.lit(48))
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"))
+            return F.struct(end.alias("at"), F.concat(before, F.lit("0")).alias("before"), F.array_append(s["found"], one).alias("found"))
 
         def block(s, first):
-            inner = F.aggregate(F.sequence(first, F.least(first + BLOCK - 1, n)), F.struct(s["at"].alias("at"), empty.alias("found")), step)
-            return F.aggregate(F.array(inner), s, lambda t, x: F.struct(x["at"].alias("at"), F.array_append(t["blocks"], x["found"]).alias("blocks")))
+            inner = F.aggregate(F.sequence(first, F.least(first + BLOCK - 1, n)), F.struct(s["at"].alias("at"), s["before"].alias("before"), empty.alias("found")), step)
+            return F.aggregate(F.array(inner), s, lambda t, x: F.struct(x["at"].alias("at"), x["before"].alias("before"), F.array_append(t["blocks"], x["found"]).alias("blocks")))
 
-        state = F.struct(F.lit(0).alias("at"), none.alias("blocks"))
+        state = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("blocks"))
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), state, block, lambda s: F.flatten(s["blocks"]))).otherwise(empty)
 
     found = F.element_at(F.transform(F.array(both), spans), 1)
@@ -137,9 +138,11 @@ def pattern(match: Column) -> Column:
     return F.when(context != "", F.xxhash64(words, shape(match["value"])))
 
 
-def bootstrap(found: DataFrame, *, rounds: int = 3, accept: float = 0.6, support: float = 3.0) -> DataFrame:
+def bootstrap(found: DataFrame, *, rounds: int = 8, settled: float = 0.01, accept: float = 0.6, support: float = 3.0) -> DataFrame:
     """``pattern, confidence`` of the patterns that are good enough, from a
-    scanned table: instances are distinct values, seeds have confidence 1."""
+    scanned table: instances are distinct values, seeds have belief 1. Rare
+    patterns pass belief on too; ``support`` is asked at the end. Rounds go on
+    until no belief moves by more than ``settled``, or ``rounds`` are done."""
     seeds = F.concat(*[F.transform(f"pii_{k}", lambda m: F.struct(m["value"].alias("value"), pattern(m).alias("pattern"), F.lit(True).alias("seed"))) for k in KINDS])
     others = F.transform("pii_candidates", lambda m: F.struct(m["value"].alias("value"), pattern(m).alias("pattern"), m["value"].rlike(SECRET).alias("seed")))
     edges = (
@@ -148,22 +151,23 @@ def bootstrap(found: DataFrame, *, rounds: int = 3, accept: float = 0.6, support
         .groupBy(F.xxhash64("e.value").alias("instance"), F.col("e.pattern").alias("pattern"))
         .agg(F.max("e.seed").alias("seed"))
     )
-    # a pattern of fewer identifiers than the support asks can never be accepted
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
-    edges = written(edges.join(wide, "pattern"), "graph")
-    instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
-    scored = None
+    edges = written(edges, "graph")
+    beliefs = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
     for step in range(rounds):
-        known = edges.join(instances, "instance")
-        known_sum = F.round(F.sum("belief"), 9)
-        scored = known.groupBy("pattern").agg(known_sum.alias("known"), F.count("*").alias("n"))
+        known = F.round(F.sum("belief"), 9)
+        scored = edges.join(beliefs, "instance").groupBy("pattern").agg(known.alias("known"), F.count("*").alias("n"))
         weight = F.log2(1 + F.col("known"))
         scored = scored.select("pattern", "known", (F.col("known") / F.col("n") * weight / (weight + 1)).alias("confidence"))
-        if step < rounds - 1:
-            doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-            instances = edges.join(scored, "pattern").groupBy("instance").agg(
-                F.greatest(F.max(F.col("seed").cast("double")), F.round(1 - F.exp(doubt), 9)).alias("belief")
-            )
+        if step == rounds - 1:
+            break
+        doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
+        passed = edges.join(scored, "pattern").groupBy("instance").agg(F.greatest(F.max(F.col("seed").cast("double")), F.round(1 - F.exp(doubt), 9)).alias("next"))
+        moved = written(passed.join(beliefs, "instance"), "beliefs")
+        if (moved.agg(F.max(F.abs(F.col("next") - F.col("belief")))).first()[0] or 0.0) <= settled:
+            break
+        if step:
+            drop_written(old)
+        old, beliefs = moved, moved.select("instance", F.col("next").alias("belief"))
     return scored.where((F.col("confidence") >= accept) & (F.col("known") >= support)).select("pattern", "confidence")
 
 
@@ -214,10 +218,8 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options)
 def mask(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with every span of ``text`` exchanged for its kind
     in angle brackets; overlapping spans give one mark for each that reaches on."""
-    graph = written(scanned(docs.select(text), text).drop(text), "scanned")
-    patterns = written(bootstrap(graph, **options), "patterns")
-    drop_written(graph)
-    found = with_extra(scanned(docs, text), patterns)
+    found = written(scanned(docs, text), "scanned")
+    found = with_extra(found, bootstrap(found, **options))
 
     def of(column: str, kind: str) -> Column:
         return F.transform(f"pii_{column}", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))

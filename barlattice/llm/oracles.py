@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .url_filter import PATTERNS
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = rf"""
@@ -25,15 +27,15 @@ c AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS rest FROM u),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '/.*$', 0, 's') AS path FROM c),
 r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-words(word) AS (VALUES ('casino'), ('poker'), ('viagra'), ('porn'), ('xxx'), ('spam'), ('phishing'), ('malware'), ('torrent'), ('doubleclick')),
+words(word, verdict) AS (VALUES PATTERN_VALUES),
 m AS (SELECT page_id, host, path,
         (SELECT max_by(rhost || rpath || ' ' || verdict, length(rhost || rpath)) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best,
-        (SELECT count(*) FROM words WHERE regexp_matches(lower(host || path), '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)')) AS junk
+        (SELECT max_by(words.verdict, 2 * length(word) + CASE words.verdict WHEN 'block' THEN 1 ELSE 0 END) FROM words WHERE regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), word, 's')) AS own
       FROM h)
 SELECT page_id, host, path, CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 1) END AS rule,
-       CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2) WHEN junk > 0 THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2) ELSE coalesce(own, 'allow') END AS verdict
 FROM m
-"""
+""".replace("PATTERN_VALUES", ", ".join(f"('{r.pattern}', '{r.verdict}')" for r in PATTERNS))
 
 OP5 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

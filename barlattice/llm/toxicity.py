@@ -8,9 +8,14 @@ hits of a document that no exception phrase covers are summed up by weight, set
 against the document's length, and turned into a score by a logistic function
 fitted to the same labelled rows.
 
-Learning takes at most ``max_toxic`` and ``max_clean`` labelled rows, in the
-order of a hash of their key; what is brought to the driver is counts of at most
-``max_features`` features. Scoring takes every row and the whole text.
+Learning takes at most ``max_toxic`` and ``max_clean`` labelled keys, in the
+order of a hash of their key, and one text of each (the least). Near copies among
+them, told by their least hash of three words over the whole sample, count as one.
+Every feature whose excess among toxic rows chance does not explain comes to
+the driver; the sample's bound is the only one. A feature is a whole word or a
+beginning of 3 to 12 letters. Exception phrases are two-word phrases around a hit
+that clean rows of the sample hold far more often than the word alone would have
+it; a few stand from the start. Scoring takes every row and the whole text.
 
 A null or empty text has no words and takes the score of a text without hits.
 Repeated rows are scored each for itself; of repeated label rows the highest
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_written, slices, small, written
 
 #: Letters that look like Latin ones, by their code.
 HOMOGLYPHS = str.maketrans(
@@ -162,11 +167,12 @@ def features_of(folded: str, least: int = 3, most: int = 12) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_toxic: int, max_clean: int) -> DataFrame:
-    """The bounded sample to learn from: ``text, toxic``."""
+    """The bounded sample to learn from, one row a key: ``text, toxic``."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
     picked = [rows.where(F.col("toxic") == v).orderBy(F.xxhash64("key"), "key").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(picked[0].union(picked[1]))  # its size is bounded by the two limits
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key").select("text", "toxic")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key")
+    return found.groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn(
@@ -178,60 +184,63 @@ def learn(
     label: str = "toxic",
     max_toxic: int = 6000,
     max_clean: int = 12000,
-    max_features: int = 4000,
+    chance: float = 2.5e-6,
 ) -> Lexicon:
-    """Learn a lexicon and its calibration from the labelled rows given."""
-    sample = labelled(docs, labels, key, text, label, max_toxic, max_clean)
+    """Learn a lexicon and its calibration from the labelled rows given;
+    ``chance`` is that of a feature's excess of toxic rows being none."""
+    sample = written(labelled(docs, labels, key, text, label, max_toxic, max_clean), "sample")
+
+    def fingerprint(batches):
+        for batch in slices(batches, 0):
+            folded = [fold(t) for t in batch.column(0).to_pylist()]
+            kin = [kinship(t.split()) - (1 << 63) for t in folded]
+            yield pa.RecordBatch.from_arrays([pa.array(folded, pa.string()), batch.column(1), pa.array(kin, pa.int64())], names=["folded", "toxic", "kin"])
+
+    one_of_kin = sample.mapInArrow(fingerprint, "folded string, toxic int, kin long").groupBy("toxic", "kin").agg(F.min("folded").alias("folded"))
+    one_of_kin = written(one_of_kin.select("folded", "toxic"), "kin")
+    n_toxic, n_clean = one_of_kin.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if not n_toxic or not n_clean:
+        return Lexicon(_seed())
+    base = n_toxic / (n_toxic + n_clean)
 
     def count(batches):
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        n = Counter()
         for batch in slices(batches, 0):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = fold(t).split()
-                words = set(row)
-                kin = kinship(row)
-                n[y, kin] += 1
-                if n[y, kin] == 1:
-                    seen[bool(y)].update(words)
+                seen[bool(y)].update(set(t.split()))
         merged = [(w, seen[True][w], seen[False][w]) for w in {*seen[True], *seen[False]}]
-        merged.append(("", sum(1 for y, _ in n if y), sum(1 for y, _ in n if not y)))
         for at in range(0, len(merged), 50_000):
             columns = list(zip(*merged[at : at + 50_000]))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["word", "toxic", "clean"])
 
-    words = sample.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = one_of_kin.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ends = F.transform(F.sequence(F.lit(3), F.least(F.length("word") - 1, F.lit(12))), lambda k: F.concat(F.lit(" "), F.substring("word", 1, k)))
     parts = F.concat(F.array(F.concat(F.lit(" "), F.col("word"), F.lit(" "))), F.when(F.length("word") >= 4, ends).otherwise(F.array()))
-    counted = (
-        words.select(F.explode(F.when(F.col("word") == "", F.array(F.lit(""))).otherwise(parts)).alias("feature"), "toxic", "clean")
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    divergence = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    strong = (
+        words.select(F.explode(parts).alias("feature"), "toxic", "clean")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where("feature = '' or (toxic >= 2 and 2 * toxic > clean)")
+        .where((F.col("toxic") >= 2) & (2 * F.col("toxic") > F.col("clean")))
+        .where((share > base) & (-(F.col("toxic") + F.col("clean")) * divergence < math.log(chance)))
+        .select("feature")
+        .collect()
     )
-    surprise = F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean") + 1.0) * 10)
-    top = counted.orderBy((F.col("feature") == "").desc(), surprise.desc(), "feature").limit(max_features + 1).collect()
-    counts = {r.feature: (r.toxic, r.clean) for r in top}
-    n_toxic, n_clean = counts.pop("", (0, 0))
-    if not n_toxic or not n_clean:
-        return Lexicon(_seed())
-    base = n_toxic / (n_toxic + n_clean)
-    floor = math.log(0.01 / max(1000, len(counts)))
-    strong = {f: c for f, c in counts.items() if _log_tail(c[0], c[0] + c[1], base) < floor}
-    held = sorted({*strong, *_seed()})
+    held = sorted({*(r[0] for r in strong), *_seed()})
     place = {f: i for i, f in enumerate(held)}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
     def incidence(batches):
         known = sent.value
         for batch in slices(batches, 0):
-            folded = [fold(t) for t in batch.column(0).to_pylist()]
-            kept = [sorted(known[f] for f in features_of(t) if f in known) for t in folded]
+            kept = [sorted(known[f] for f in features_of(fold(t)) if f in known) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.list_(pa.int32()))], names=["toxic", "features"])
 
     rows = sample.mapInArrow(incidence, "toxic int, features array<int>").where("toxic = 1 or size(features) > 0").collect()
-    weights = choose([(r.toxic, r.features) for r in rows], held, n_toxic, n_clean)
+    weights = choose(sorted((r.toxic, r.features) for r in rows), held, n_toxic, n_clean)
     lexicon = Lexicon({**{f: w for f, w in _seed().items() if f not in weights}, **weights})
+    lexicon = Lexicon(lexicon.weights, tuple(sorted({*EXCEPTIONS, *exceptions(one_of_kin, lexicon)})))
     sent_lexicon = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches):
@@ -240,10 +249,45 @@ def learn(
             both = [own.features(fold(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b[0] for b in both]), pa.array([b[1] for b in both])], names=["toxic", "x", "y"])
 
-    rows = sample.mapInArrow(measure, "toxic int, x double, y double").collect()
+    rows = sorted(sample.mapInArrow(measure, "toxic int, x double, y double").collect())
+    drop_written(sample)
+    drop_written(one_of_kin)
     return calibrate(lexicon, np.array([[r.x, r.y] for r in rows]), np.array([r.toxic for r in rows]))
 
 
+def exceptions(rows: DataFrame, lexicon: Lexicon, *, least: int = 5, chance: float = 1e-6) -> list[str]:
+    """Two-word phrases around the lexicon's hits that clean ``rows(folded, toxic)``
+    hold, ``least`` at least, and toxic ones hardly: far more on the clean side
+    than the same hit elsewhere."""
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def around(batches):
+        matcher = sent.value.automaton()
+        for batch in slices(batches, 0):
+            out: set[tuple[int, int, str, str]] = set()
+            for i, (t, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                for end, (size, weight) in matcher.iter(t):
+                    if weight is None:
+                        continue
+                    start = end - size + 1
+                    stop = t.index(" ", start + 1)
+                    hit = t[start + 1 : start + size].strip()
+                    out.add((i, y, hit, ""))
+                    before = t.rfind(" ", 0, start) + 1
+                    if start:
+                        out.add((i, y, hit, t[before:stop]))
+                    after = t.find(" ", stop + 1)
+                    if after > 0:
+                        out.add((i, y, hit, t[start + 1 : after]))
+            columns = list(zip(*((y, h, p) for _, y, h, p in sorted(out)))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["toxic", "hit", "phrase"])
+
+    counted = rows.mapInArrow(around, "toxic int, hit string, phrase string").groupBy("hit", "phrase").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    alone = counted.where("phrase = ''").select("hit", F.col("t").alias("all_t"), F.col("c").alias("all_c"))
+    found = counted.where((F.col("phrase") != "") & (F.col("c") >= least) & (20 * F.col("t") <= F.col("c"))).join(small(alone), "hit")
+    return sorted({r.phrase for r in found.collect() if _log_tail(r.c, r.c + r.t, (r.all_c - r.c + 1) / (r.all_c - r.c + r.all_t - r.t + 2)) < math.log(chance)})
+
+
 def kinship(words: list[str]) -> int:
     """The least hash of three words in a row: near copies share it with a
     chance of their likeness, so that a group of them counts as a few."""

@@ -9,8 +9,9 @@ at most ``block`` rules; a longer list takes more passes, and each pass keeps
 the better of its own and the earlier find, so the result is the same.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no host
-rule and take the default verdict. Repeated rows are judged each for itself.
-Columns other than the key and the URL are not read.
+rule and take the default verdict. Very long URLs are judged whole. Repeated rows,
+and rows of a null key, are judged each for itself. Columns other than the key and
+the URL are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ class Rule:
 
     @property
     def weight(self) -> int:
-        """Host rules, the longer the stronger, stand above patterns."""
-        return 1_000_000 + len(self.host) + len(self.path) if self.host else len(self.pattern)
+        """Host rules, the longer the stronger, stand above patterns; of patterns
+        of one length those that block are the stronger."""
+        return 1_000_000 + len(self.host) + len(self.path) if self.host else 2 * len(self.pattern) + (self.verdict == "block")
 
     def tokens(self) -> list[str]:
         """Tokens that are whole in every URL that fits. The last token of a
@@ -60,14 +62,30 @@ class Rule:
     def compiled(self) -> re.Pattern:
         if self.host:
             return re.compile(r"(?:^|\A[^/]*\.)" + re.escape(self.host) + "\n" + re.escape(self.path))
-        return re.compile(self.pattern, re.ASCII)
+        return re.compile(self.pattern, re.ASCII | re.DOTALL)
+
+
+#: The method's own rules for URLs that no host rule decides, as words
+#: that follow each other with nothing but separators or, after ``*``, anything between.
+BLOCKED = (
+    "casino", "online * casino", "poker", "roulette", "sports * betting", "bet * bonus", "slot * machines", "jackpot",
+    "viagra", "cialis", "xanax", "cheap * meds", "online * pharmacy", "weight * loss * pills",
+    "porn", "xxx", "sex * cams", "adult * videos", "escorts", "nude * photos",
+    "spam", "phishing", "malware", "keygen", "warez", "torrent", "crack * download", "free * movie * download", "verify * account * login", "password * reset * confirm",
+    "doubleclick", "adserver", "adclick", "popunder", "clickbank", "affiliate * redirect", "utm * redirect",
+    "payday * loans", "make * money * fast", "free * crypto * giveaway", "replica * watches", "link * farm", "wp content * cache * bin",
+)
+#: Rules of the same form that let through what a shorter rule would block.
+ALLOWED = ("anti spam", "anti phishing", "anti malware", "malware * analysis", "spam * filter * guide", "poker * face * lyrics", "torrent * river * weather")
 
 
-#: The method's own patterns, for URLs that no host rule decides.
-PATTERNS = tuple(
-    Rule("block", pattern=rf"(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)", literals=(word,))
-    for word in ("casino", "poker", "viagra", "porn", "xxx", "spam", "phishing", "malware", "torrent", "doubleclick")
-)
+def phrase(verdict: str, words: str) -> Rule:
+    """A rule over the words of host and path, whole and in this order."""
+    body = r"[^a-z0-9]+".join(words.split()).replace(r"[^a-z0-9]+*[^a-z0-9]+", r"[^a-z0-9](?:.*[^a-z0-9])?")
+    return Rule(verdict, pattern=rf"(?:^|[^a-z0-9]){body}(?:[^a-z0-9]|$)", literals=tuple(TOKEN.findall(words)))
+
+
+PATTERNS = tuple([phrase("block", w) for w in BLOCKED] + [phrase("allow", w) for w in ALLOWED])
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -103,7 +121,9 @@ def filter_urls(
     df = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"))
     df = df.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default), "weight": F.lit(0)})
     for at in range(0, max(1, len(rules)), block):
-        filed = [(t, [(r.compiled(), r.weight, r.name, r.verdict, bool(r.host)) for r in rs]) for t, rs in index(rules[at : at + block]).items()]
+        part = rules[at : at + block]
+        order = {id(r): -k for k, r in enumerate(part)}
+        filed = [(t, [(r.compiled(), (r.weight, order[id(r)]), r.name, r.verdict, bool(r.host)) for r in rs]) for t, rs in index(part).items()]
         sent = df.sparkSession.sparkContext.broadcast(dict(filed))
 
         def judge(batches, sent=sent):
@@ -111,11 +131,11 @@ def filter_urls(
             for batch in batches:
                 rows = batch.to_pydict()
                 for i, (h, p) in enumerate(zip(rows["host"], rows["path"])):
-                    best = rows["weight"][i]
+                    best = (rows["weight"][i], 1)
                     for token in set(TOKEN.findall(h)) | set(TOKEN.findall(p.translate(ASCII_LOWER))):
                         for rx, weight, name, verdict, by_host in by.get(token, ()):
                             if weight > best and rx.search(f"{h}\n{p}" if by_host else f"{h}{p.translate(ASCII_LOWER)}"):
-                                best = rows["weight"][i] = weight
+                                best, rows["weight"][i] = weight, weight[0]
                                 rows["rule"][i], rows["verdict"][i] = name, verdict
                 yield pa.RecordBatch.from_pydict(rows, schema=batch.schema)
 

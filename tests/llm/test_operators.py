@@ -152,6 +152,42 @@ def test_toxicity_learns_words_and_stems(spark):
     assert toxicity.keep_clean(docs, lexicon).columns == docs.columns
 
 
+def toxic_corpus(spark, parts):
+    rng = random.Random(11)
+    filler = [f"word{k}" for k in range(300)]
+    rows = []
+    for i in range(600):
+        words = rng.choices(filler, k=30)
+        if i % 6 == 0:
+            words[rng.randrange(5, 25)] = rng.choice(["blorgface", "snarkish", "snarkish", "snarkish"])
+        elif i % 6 == 1:
+            at = rng.randrange(5, 25)
+            words[at : at + 2] = ["snarkish", "cheese"]
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1])] * 50, "doc_id long, text string").repartition(parts)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").repartition(parts)
+    return docs, labels
+
+
+def test_toxicity_learns_alike_from_any_partitions_and_learns_exceptions(spark):
+    one, many = (toxicity.learn(*toxic_corpus(spark, parts)) for parts in (1, 64))
+    assert (one.weights, one.exceptions, one.bias, one.slopes) == (many.weights, many.exceptions, many.bias, many.slopes)
+    assert "snarkish cheese" in one.exceptions and any("blorgface".startswith(f.strip()) for f in one.weights)
+
+
+def test_toxicity_score_agrees_with_brute_force(spark):
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " terr": 1.5, " terrib": 4.0}, ("bad hair",), -2.0, (1.0, 3.0))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["bad", "hair", "terrible", "terra", "Bad,", "b4d", "bаd", "so", "x"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    got = {r.doc_id: r.score for r in toxicity.score(odd_docs(spark, texts), lexicon).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z]+", t.lower().replace("4", "a").replace("а", "a"))
+        total = sum(2.0 for k, w in enumerate(words) if w == "bad" and words[k + 1 : k + 2] != ["hair"])
+        total += sum(4.0 if w.startswith("terrib") else 1.5 for w in words if w.startswith("terr"))
+        z = -2.0 + np.log1p(total) + 3.0 * total / np.sqrt(8 + len(words) + (1 if words else 1))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3), t
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(None, 1), (1, None), (3, 1), (3, 0)], "doc_id long, toxic int")
     lexicon = toxicity.learn(odd_docs(spark, ODD), labels)
@@ -611,6 +647,21 @@ def test_vector_dedup_meets_pairs_in_a_dense_region(spark):
     assert sum(of[int(a)] == of[int(b)] for a, b in pairs) >= 0.98 * len(pairs)
 
 
+def test_url_patterns_agree_with_every_rule_tried_on_every_url(spark):
+    rng = random.Random(5)
+    pieces = [*{w for r in url_filter.PATTERNS for w in r.literals}, "a", "blog", "Casino", "pokers", "\n", ""]
+    urls = ["http://" + rng.choice(["x.com", "Poker.x.org", "a-b.net"]) + "/" + rng.choice("/-_").join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    urls += ["http://x/anti-spam", "http://x/spam", "http://x/malware/a/b/analysis", "http://x/free/new-movie.download", None, "no", "http://x/" + "a/" * 100_000 + "poker"]
+    pages = spark.createDataFrame([(None if i == 3 else i, u, "h", "p", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, list(url_filter.PATTERNS)).collect()}
+    for i, u in enumerate(urls):
+        rest = re.split("[?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+        fits = [r for r in url_filter.PATTERNS if re.search(r.pattern, rest, re.S)]
+        want = max(fits, key=lambda r: (len(r.pattern), r.verdict == "block")).verdict if fits else "allow"
+        assert got[None if i == 3 else i].verdict == want, u
+    assert len(got) == len(urls) and {got[i].verdict for i in range(1500, 1504)} == {"allow", "block"}
+
+
 def test_url_filter(spark):
     R = url_filter.Rule
     rules = [R("block", "com", "/en/"), R("allow", "example.com", "/en/7"), R("allow", "net", "/de/"), *url_filter.PATTERNS]

@@ -628,9 +628,6 @@ def test_vector_dedup(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
-# ---- 10 URLs -------------------------------------------------------------------------------------
-
-
 def test_vector_dedup_meets_pairs_in_a_dense_region(spark):
     rng = np.random.default_rng(9)
     scaled = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -647,6 +644,33 @@ def test_vector_dedup_meets_pairs_in_a_dense_region(spark):
     assert sum(of[int(a)] == of[int(b)] for a, b in pairs) >= 0.98 * len(pairs)
 
 
+def test_vector_passes_lose_nothing_at_borders(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    x = np.concatenate([x, x + 0.25 * rng.standard_normal(x.shape)]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one = written(vector_dedup.classes(vectors, "vec_id", "embedding")[1], "one")
+    ties = [{(r.u, r.root) for r in components(vector_dedup.passes_over(one, 600, [0, 1], 0.9, 20, 7, per_part)).collect()} for per_part in (100_000, 400, 40)]
+    assert ties[0] == ties[1] == ties[2] and len(ties[0]) > 50
+
+
+def test_vector_recall_at_two_sizes(spark):
+    for n in (1500, 6000):
+        rng = np.random.default_rng(n)
+        x = rng.standard_normal((n, 32))
+        x[: n // 3] = x[0] + 0.6 * x[: n // 3]  # a third in one direction
+        x[n // 2 : n // 2 + n // 10] = x[: n // 10] + 0.35 * rng.standard_normal((n // 10, 32))
+        x = x.astype(np.float32)
+        unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        links = int(((unit @ unit.T) >= 0.9).sum()) - n
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        found = vector_dedup.dedup(vectors).agg(F.sum("n_links")).first()[0]
+        assert links > 100 and 0.95 * links <= found <= links
+
+
+# ---- 10 URLs -------------------------------------------------------------------------------------
+
+
 def test_url_patterns_agree_with_every_rule_tried_on_every_url(spark):
     rng = random.Random(5)
     pieces = [*{w for r in url_filter.PATTERNS for w in r.literals}, "a", "blog", "Casino", "pokers", "\n", ""]

@@ -112,16 +112,16 @@ def prior_profile_touches(fine: DataFrame, hourly: DataFrame, convention: str =
     inside = (F.col("minute") >= start) & (F.col("minute") < close)
     rth = lambda b: b.withColumns({"day": F.to_date("bar_ts"), "minute": minutes("bar_ts")}).where(inside)
     f = rth(fine).join(both, ["symbol", "day"], "left_semi")
-    many = f.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min_by("open", "bar_ts").alias("o"), F.max_by("close", "bar_ts").alias("c")).where("n >= 2")
+    many = f.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min_by("open", "bar_ts").alias("o"), F.max_by("close", "bar_ts").alias("c"), q(F.max("high") - F.min("low")).alias("rth_range")).where("n >= 2")
     p = profiles(f, ["symbol", "day"]).join(many, ["symbol", "day"])
     w = over("day")
     p = p.withColumns({**{x: q(x) for x in ("poc", "vah", "val")}})
     p = p.withColumns({f"prev_{x}": F.lag(x).over(w) for x in ("poc", "vah", "val")})
     h = rth(hourly).select("symbol", "day", "bar_ts", F.col("high").alias("h"), F.col("low").alias("l"))
     hit = lambda x: F.min(F.when((F.col("l") <= F.col(f"prev_{x}")) & (F.col(f"prev_{x}") <= F.col("h")), F.col("bar_ts")))
-    keys = ["symbol", "day", "poc", "vah", "val", "prev_poc", "prev_vah", "prev_val", "total_tpos", "o", "c"]
+    keys = ["symbol", "day", "poc", "vah", "val", "prev_poc", "prev_vah", "prev_val", "total_tpos", "o", "c", "rth_range"]
     t = p.join(h, ["symbol", "day"], "left").groupBy(*keys).agg(*[hit(x).alias(f"{x}_at") for x in ("poc", "vah", "val")])
     return t.select(
-        "symbol", "day", F.col("o").alias("rth_open"), F.col("c").alias("rth_close"), "poc", "vah", "val", "prev_poc", "prev_vah", "prev_val", "total_tpos",
+        "symbol", "day", F.col("o").alias("rth_open"), F.col("c").alias("rth_close"), "poc", "vah", "val", "prev_poc", "prev_vah", "prev_val", "total_tpos", "rth_range",
         *[F.col(f"{x}_at").isNotNull().alias(f"touched_{x}") for x in ("poc", "vah", "val")], *[hhmm(f"{x}_at").alias(f"{x}_time") for x in ("poc", "vah", "val")], weekday("day").alias("day_of_week"),
     )

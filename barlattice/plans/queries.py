@@ -586,7 +586,7 @@ def tpo06_value_area_5m(spark, sf_dir):
 
 @query
 def eth01_touches(spark, sf_dir):
-    return _dated(P.prior_profile_touches(bars(spark, sf_dir, 900), bars(spark, sf_dir, 3600)))
+    return _dated(P.prior_profile_touches(bars(spark, sf_dir, 900), bars(spark, sf_dir, 3600)).drop("rth_range"))
 
 
 @query

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import oracles, oracles_structure, oracles_trading, queries
+from . import oracles, oracles_statistics, oracles_structure, oracles_trading, queries, queries_statistics
 
 QUERIES = queries.QUERIES
 ORACLES = oracles.ORACLES
-assert oracles_structure.ORACLES is ORACLES and oracles_trading.ORACLES is ORACLES
+assert all(m.ORACLES is ORACLES for m in (oracles_structure, oracles_trading, oracles_statistics)) and queries_statistics.query is queries.query

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import backtest as X
@@ -22,8 +22,12 @@ from .operators import indicators as I
 from .operators import outcomes as O
 from .operators import profile as P
 from .operators import sessions as S
+from .operators import statistics as Z
 from .operators import structure as T
-from .sources.market import TIMEFRAMES, normalize_timeframe
+from .sources.market import TIMEFRAMES, normalize_timeframe, watchlist
+
+#: Samples under which an endpoint says nothing about a symbol.
+LEAST_BARS, LEAST_SMC_BARS, LEAST_DAYS, LEAST_WIDE_DAYS, LEAST_ALIGNED = 48, 248, 5, 10, 20
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -39,21 +43,23 @@ class Market:
     def only(self, *symbols: str) -> Market:
         return Market(self.trades.where(F.col("symbol").isin(*symbols))) if symbols else self
 
-    def bars(self, timeframe: str, limit: int | None = None, days: int | None = None) -> DataFrame:
+    def bars(self, timeframe: str, limit: int | None = None, days: int | None = None, least: int = 0) -> DataFrame:
+        """Candles, the newest ``limit`` or ``days`` of each symbol, of the symbols with ``least`` of them."""
         b = B.resample(self.trades, TIMEFRAMES[normalize_timeframe(timeframe)])
         if days is not None:
-            newest = b.groupBy("symbol").agg(F.max("bar_ts").alias("newest"))
-            b = b.join(newest, "symbol").where(F.col("bar_ts") > F.col("newest") - F.make_dt_interval(F.lit(days))).drop("newest")
-        return b if limit is None else B.latest(b, limit)
+            newest = F.max("bar_ts").over(Window.partitionBy("symbol"))
+            b = b.withColumn("newest", newest).where(F.col("bar_ts") > F.col("newest") - F.make_dt_interval(F.lit(days))).drop("newest")
+        b = b if limit is None else B.latest(b, limit)
+        return T.enough(b, least) if least else b
 
     # -- structure, levels, profile, flow ---------------------------------------------------------
 
     def analyze_smc(self, timeframe: str = "1h", limit: int = 500) -> dict[str, DataFrame]:
         swing, internal = T.LENGTHS[normalize_timeframe(timeframe)]
-        s = T.of(B.indexed(self.bars(timeframe, limit)))
+        s = T.of(B.indexed(T.long_enough(self.bars(timeframe, limit), swing)))
         return {
             "structures": T.newest(T.structures(s, swing, internal), s, ["ord"], 30), "order_blocks": T.order_blocks(s, swing, internal), "fair_value_gaps": T.gaps(s),
-            "equal_levels": T.equal_levels(s, swing), "swing_labels": T.swing_labels(s, swing), "fractals": T.fractals(s), "liquidity_sweeps": T.liquidity_sweeps(s, internal),
+            "equal_levels": T.recent_equal_levels(s, swing), "swing_labels": T.swing_labels(s, swing), "fractals": T.fractals(s), "liquidity_sweeps": T.liquidity_sweeps(s, internal),
             "sweep_areas": T.sweep_areas(s, internal), "breaker_blocks": T.breaker_blocks(s, swing, internal), "candle_trends": T.candle_trends(s, internal), "range": T.trading_range(s, swing, internal),
         }
 
@@ -77,19 +83,28 @@ class Market:
     def scan_confluence(self) -> DataFrame:
         return N.grades(B.indexed(self.bars("1h", 300)), B.indexed(self.bars("4h", 300)))
 
-    def scan_market(self, symbols: list[str], only_actionable: bool = False) -> DataFrame:
-        names = list(dict.fromkeys(s.strip().upper() if s.isupper() else s.strip() for s in symbols))[:15]
+    def scan_market(self, symbols: list[str] | str, only_actionable: bool = False) -> DataFrame:
+        """``symbols``: a list, a watchlist's name, or symbols in one string."""
+        names = watchlist(symbols) if isinstance(symbols, str) else list(dict.fromkeys(s.strip().upper() if s.isupper() else s.strip() for s in symbols))[:15]
         out = N.ranked(self.only(*names).scan_confluence(), names)
         return out.where("meets_threshold") if only_actionable else out
 
+    def get_adr_ratio(self, days: int = 30) -> DataFrame:
+        return I.adr_ratio(self.bars("1h", days=days))
+
     # -- statistics -------------------------------------------------------------------------------
 
     def compute_session_stats(self, days: int = 180) -> dict[str, DataFrame]:
-        b = self.bars("1h", days=clamp(days, 1, 365))
-        return {"ranges": S.session_ranges(b), "sweeps": S.sweeps(b), "continuation": S.continuations(b), "power_of_three": S.power_of_three(b), "adr": S.average_daily_range(b)}
+        b = self.bars("1h", days=clamp(days, 1, 365), least=LEAST_BARS)
+        r = S.session_ranges(b)
+        return {
+            "sessions": Z.range_summary(r), "sweeps": Z.sweep_summary(r, S.sweeps(b)), "ny_continuation": Z.continuation_summary(S.continuations(b)),
+            "power_of_3": Z.power_of_three_summary(S.power_of_three(b), S.day_rows(b)), "day_of_week": Z.weekday_ranges(r), "adr": S.average_daily_range(b),
+        }
 
-    def compute_smc_stats(self) -> DataFrame:
-        return O.summary(O.evaluated(B.indexed(self.bars("1h", 5000))), "session")
+    def compute_smc_stats(self) -> dict[str, DataFrame]:
+        o = O.evaluated(B.indexed(self.bars("1h", 5000, least=LEAST_SMC_BARS)))
+        return {"overall": O.statistics(o, "symbol"), "by_session": O.statistics(o, "symbol", "session")}
 
     def get_volatility(self, timeframe: str = "1h", atr_period: int = 14, adr_days: int = 14) -> dict[str, DataFrame]:
         name = normalize_timeframe(timeframe)
@@ -97,8 +112,10 @@ class Market:
         return {"state": I.volatility_state(b, I.PER_YEAR[name]), "atr": I.atr(b, atr_period), "adr": I.adr_used(S.day_rows(self.bars("1h")), adr_days)}
 
     def get_correlations(self, symbols: list[str], base: str, timeframe: str = "4h", limit: int = 180) -> dict[str, DataFrame]:
-        b = self.only(*symbols[:10]).bars(timeframe, limit)
-        return {"matrix": I.correlations(b), "base": I.base_read(b, base)}
+        names = list(dict.fromkeys([*symbols, base]))[: I.MOST_SYMBOLS]
+        b = self.only(*names).bars(timeframe, limit)
+        enough = lambda df: df.where(F.col("n") >= LEAST_ALIGNED)
+        return {"matrix": enough(I.correlations(b)), "base": I.ranked_read(enough(I.base_read(b, base)))}
 
     def get_daily_bias(self, period: str = "D") -> dict[str, DataFrame]:
         e = A.bias_entries(self.bars("1h", 1000), period)
@@ -108,56 +125,79 @@ class Market:
         b = self.bars(timeframe, 1000)
         return {"draw_on_liquidity": A.draw_on_liquidity(b), "phases": A.phases(b), "judas_swings": A.judas_swings(b), "session_bias": A.session_biases(b)}
 
-    def compute_pdh_pdl_stats(self, days: int = 90) -> DataFrame:
-        return S.prior_day_touch(self.bars("1h", days=clamp(days, 1, 180)))
+    def compute_pdh_pdl_stats(self, days: int = 90) -> dict[str, DataFrame]:
+        d = T.enough(S.prior_day_touch(self.bars("1h", days=clamp(days, 1, 180))), LEAST_WIDE_DAYS)
+        return {"days": d, "sides": Z.prior_day_sides(d), "outcomes": Z.prior_day_outcomes(d), "day_of_week": Z.prior_day_weekdays(d)}
 
-    def compute_ib_stats(self, days: int = 60, convention: str = "synthetic_ny") -> DataFrame:
+    def compute_ib_stats(self, days: int = 60, convention: str = "synthetic_ny") -> dict[str, DataFrame]:
         days = clamp(days, 1, 60)
-        return S.initial_balance(self.bars("5m", days=days), self.bars("1h", days=days), convention)
+        d = T.enough(S.initial_balance(self.bars("5m", days=days), self.bars("1h", days=days), convention), LEAST_WIDE_DAYS)
+        return {"days": d, "breakouts": Z.break_summary(d), "extension": Z.balance_extension(d), "day_of_week": Z.balance_weekdays(d)}
 
-    def compute_day_type_stats(self, days: int = 90) -> DataFrame:
-        return S.day_types(self.bars("1h", days=clamp(days, 1, 180)))
+    def compute_day_type_stats(self, days: int = 90) -> dict[str, DataFrame]:
+        d = T.enough(S.day_types(self.bars("1h", days=clamp(days, 1, 180))), LEAST_DAYS)
+        return {"days": d, "regimes": Z.regimes(d), "archetypes": Z.archetypes(d), "day_of_week": Z.archetype_weekdays(d)}
 
     def compute_session_extension_stats(self, days: int = 90) -> dict[str, DataFrame]:
         b = self.bars("1h", days=clamp(days, 1, 180))
-        return {"days": S.day_summaries(b), "breakouts": S.breakouts(b)}
+        d, r = T.enough(S.day_summaries(b), LEAST_DAYS), S.session_ranges(b)
+        return {
+            "days": d, "session_ranges": Z.session_range_distributions(r), "extensions": Z.extension_grid(S.breakouts(b)),
+            "daily_direction": Z.day_direction(d), "hod_lod": Z.extremes_of_sessions(Z.of_session_days(r, d)),
+        }
 
-    def get_session_forecast(self, days: int = 90) -> dict[str, DataFrame]:
-        b = self.bars("1h", days=clamp(days, 1, 180))
-        return {"ranges": S.session_ranges(b), "sweeps": S.sweeps(b), "continuation": S.continuations(b)}
+    def get_session_forecast(self, days: int = 90, as_of: str | None = None) -> DataFrame:
+        """A row per symbol about the session that comes next at ``as_of`` (its newest bar if none)."""
+        return Z.forecast(self.bars("1h", days=clamp(days, 1, 180), least=LEAST_BARS), as_of)
 
     def get_price_action(self, timeframe: str = "1h", limit: int = 100) -> dict[str, DataFrame]:
         b = self.bars(timeframe, limit)
-        return {"patterns": C.patterns(B.indexed(b)), "summary": B.recent_summary(b, 20)}
+        return {"patterns": C.patterns(B.indexed(b)).orderBy("symbol", "bar_idx", "span", "ordinal"), "summary": B.recent_summary(b, 20)}
 
-    def compute_peak_points_stats(self, days: int = 120) -> DataFrame:
-        return S.peak_points(self.bars("1h", days=clamp(days, 1, 365)))
+    def compute_peak_points_stats(self, days: int = 120) -> dict[str, DataFrame]:
+        d = T.enough(S.peak_points(self.bars("1h", days=clamp(days, 1, 365))), LEAST_DAYS)
+        return {"days": d, "matrix": Z.peak_matrix(d), "marginals": Z.peak_marginals(d)}
 
-    def get_session_card(self, session: str, days: int = 120) -> dict[str, DataFrame]:
-        if session not in S.SHORT:
-            raise ValueError(f"unknown session {session!r}")
+    def get_session_card(self, session: str, days: int = 120) -> dict[str, DataFrame | None]:
+        name = session.strip().lower()
+        if name not in S.SHORT:
+            raise ValueError(f"unknown session {session!r}; known: {', '.join(S.SHORT)}")
         b = self.bars("1h", days=clamp(days, 1, 365))
-        own = F.col("session") == session
-        return {"days": S.session_ranges(b).where(own).select("symbol", "day").join(S.day_summaries(b), ["symbol", "day"]), "ranges": S.session_ranges(b).where(own), "breakouts": S.breakouts(b).where(own)}
+        own = F.col("session") == name
+        r = S.session_ranges(b).where(own)
+        seen = Z.of_session_days(r, T.enough(S.day_summaries(b), LEAST_DAYS))
+        return {
+            "direction": Z.direction_of_sessions(seen), "hod_lod": Z.extremes_of_sessions(seen), "timing": Z.timing_of_sessions(seen),
+            "breakouts": None if name == "asia" else Z.extension_grid(S.breakouts(b).where(own)), "extension": Z.session_range_distributions(r),
+        }
 
-    def compute_orb_stats(self, days: int = 120, orb_minutes: int = 15, convention: str = "synthetic_ny") -> DataFrame:
-        return S.opening_range(self.bars("5m", days=clamp(days, 1, 180)), convention, orb_minutes)
+    def compute_orb_stats(self, days: int = 120, orb_minutes: int = 15, convention: str = "synthetic_ny") -> dict[str, DataFrame]:
+        d = T.enough(S.opening_range(self.bars("5m", days=clamp(days, 1, 180)), convention, max(1, orb_minutes)), LEAST_DAYS)
+        return {"days": d, "breakouts": Z.break_summary(d), "extension": Z.opening_extension(d), "day_of_week": Z.opening_weekdays(d)}
 
-    def compute_eth_profile_stats(self, days: int = 90, convention: str = "synthetic_ny") -> DataFrame:
+    def compute_eth_profile_stats(self, days: int = 90, convention: str = "synthetic_ny") -> dict[str, DataFrame]:
         days = clamp(days, 1, 150)
-        return P.prior_profile_touches(self.bars("15m", days=days), self.bars("1h", days=days), convention)
+        d = T.enough(P.prior_profile_touches(self.bars("15m", days=days), self.bars("1h", days=days), convention), LEAST_DAYS)
+        return {"days": d, "touch": Z.touch_summary(d), "extension": Z.profile_extension(d), "day_of_week": Z.touch_weekdays(d)}
 
     # -- studies ----------------------------------------------------------------------------------
 
     def events(self, days: int) -> DataFrame:
-        b = self.bars("1h", days=days)
-        return X.session_events(b).unionByName(X.smc_events(B.indexed(b)))
-
-    def run_backtest(self, event_type: str, days: int = 365, **conditions: str | None) -> DataFrame:
-        return X.frequencies(X.matching(self.events(clamp(days, 1, 365)), event_type=event_type, **conditions), "day_of_week")
-
-    def discover_edges(self, days: int = 180, min_samples: int = 10, top: int = 15) -> DataFrame:
-        return X.edges(self.events(clamp(days, 1, 365)), min_samples).orderBy(F.col("edge_score").desc()).limit(top)
+        """Session events, and structure events of the symbols with enough bars."""
+        b = self.bars("1h", days=days, least=LEAST_BARS)
+        return X.facts(b, B.indexed(T.enough(b, LEAST_SMC_BARS)))
+
+    def run_backtest(self, event_type: str, days: int = 365, **conditions: str | None) -> dict[str, DataFrame | list[str]]:
+        """Outcome figures of the events of one type that meet the conditions
+        (``backtest.CONDITIONS``), by symbol; ``notes`` on conditions without effect."""
+        asked = {"event_type": event_type, **conditions}
+        found = X.matching(self.events(clamp(days, 1, 365)), **asked)
+        return {"outcomes": X.outcomes(found, "symbol"), "day_of_week": X.by_weekday(found), "notes": X.notes(**asked)}
+
+    def discover_edges(self, days: int = 180, min_samples: int = 10, top: int = 15, min_edge_pct: float = 0.0) -> dict[str, DataFrame]:
+        e = self.events(clamp(days, 1, 365))
+        far = X.extremes(X.edges(e, min_samples), top, min_edge_pct)
+        return {"baselines": X.baselines(e), "edges": far.where("list = 'edges'").orderBy("rank"), "anti_patterns": far.where("list = 'anti_patterns'").orderBy("rank")}
 
     def backtest_rr(self, event_type: str, days: int = 180, stop_atr_mult: float = 1.0, target_r: float = 2.0, atr_period: int = 14, max_hold_bars: int = 48) -> dict[str, DataFrame]:
         b = self.bars("1h", days=clamp(days, 1, 365))

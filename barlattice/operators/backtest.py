@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence, n_if, over, q, rate
+from ..functions.lineage import written_once
 from . import indicators as I
 from . import outcomes as O
 from . import sessions as S
@@ -26,8 +27,8 @@ def session_events(bars: DataFrame) -> DataFrame:
     return ranges.unionByName(swept).unionByName(cont).unionByName(p3)
 
 
-def smc_events(bars_idx: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
-    """Structure outcomes as events, without a weekday."""
+def smc_events(bars_idx: DataFrame | None, outcomes: DataFrame | None = None, *more: str) -> DataFrame:
+    """Structure outcomes as events, without a weekday, with ``more`` of their columns."""
     e = O.evaluated(bars_idx) if outcomes is None else outcomes
     none = F.lit(None).cast("string")
     won = F.when(F.col("kind") == "ob", F.col("held")).when(F.col("kind") == "fvg", F.col("filled")).otherwise(F.col("success"))
@@ -35,20 +36,74 @@ def smc_events(bars_idx: DataFrame, outcomes: DataFrame | None = None) -> DataFr
     side = F.when(F.col("kind") == "eq", F.when(F.col("bias") == -1, "EQH").otherwise("EQL")).when(F.col("kind") == "sweep", "WICK")
     return e.select(
         "symbol", F.lit(None).cast("date").alias("day"), none.alias("day_of_week"), F.concat(F.lit("smc_"), "kind", F.lit("_test")).alias("event_type"), "session", directed.alias("direction"), side.alias("side"),
-        won.alias("win"), F.coalesce("max_move_pct", "filled_pct").alias("value"),
+        won.alias("win"), F.coalesce("max_move_pct", "filled_pct").alias("value"), *more,
     )
 
 
+def facts(bars: DataFrame, bars_idx: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """All events with ``htf_bias`` (the bias of structure events) and ``tested``
+    (an order block's retest, an equal level's sweep). Without indexed bars or
+    outcomes, session events alone."""
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    own = session_events(bars).withColumns({"htf_bias": text, "tested": flag})
+    if outcomes is None and bars_idx is None:
+        return own
+    e = (O.evaluated(bars_idx) if outcomes is None else outcomes).withColumn("tested", F.when(F.col("kind") == "ob", F.col("retested")).when(F.col("kind") == "eq", F.col("swept")))
+    return own.unionByName(smc_events(None, e, "tested").withColumn("htf_bias", F.col("direction")))
+
+
+#: Conditions of a backtest and the columns that they ask.
+CONDITIONS = {"event_type": "event_type", "session": "session", "day_of_week": "day_of_week", "direction": "direction", "sweep_side": "side", "side": "side", "htf_bias": "htf_bias"}
+#: Conditions that are taken and have no effect, since no event carries them.
+IGNORED = {"range_state": "events carry no tight or wide range state", "macro_present": "there is no news data"}
+
+
+def notes(**conditions) -> list[str]:
+    """What is to be said about conditions without effect."""
+    out = [f"{name}={value!r} ignored: {IGNORED[name]}" for name, value in conditions.items() if name in IGNORED and value not in (None, "")]
+    if conditions.get("day_of_week") and str(conditions.get("event_type") or "").startswith("smc_"):
+        out.append(f"day_of_week={conditions['day_of_week']!r} ignored: structure events have no weekday")
+    return out
+
+
 def matching(events: DataFrame, **conditions: str | None) -> DataFrame:
-    """Events that meet every condition given (event_type, session, day_of_week,
-    direction, side). A weekday is not asked of events that have none."""
+    """Events that meet every condition given (CONDITIONS). A weekday is not asked
+    of events that have none; IGNORED conditions have no effect (:func:`notes`)."""
     for name, value in conditions.items():
-        if value:
-            hit = F.col(name) == value
+        if name not in CONDITIONS and name not in IGNORED:
+            raise ValueError(f"unknown condition {name!r}; known: {', '.join([*CONDITIONS, *IGNORED])}")
+        if value and name in CONDITIONS:
+            hit = F.col(CONDITIONS[name]) == value
             events = events.where(hit | F.col("event_type").startswith("smc_") if name == "day_of_week" else hit)
     return events
 
 
+def outcomes(events: DataFrame, *by: str) -> DataFrame:
+    """What came of the events (:func:`facts`) of each type: for each its own
+    figures, null for those that its type doesn't have."""
+    n, won, kind, side = F.count("*"), n_if(F.col("win")), F.col("event_type"), F.col("side")
+    sweep, smc = kind.isin("asia_sweep", "london_sweep"), lambda *x: kind.isin(*[f"smc_{k}_test" for k in x])
+    tested, up = n_if(F.col("tested")), n_if(F.col("direction") == "bullish")
+    mean = lambda places: F.coalesce(F.floor(F.avg(F.floor(F.col("value") * 1e6 + 0.5)) / 10.0 ** (6 - places) + 0.5) / 10.0**places, F.lit(0.0))
+    swept = sweep | (kind == "power_of_3")
+    figures = {
+        "swept_high": F.when(swept, n_if(side == "high")), "swept_low": F.when(swept, n_if(side == "low")), "swept_both": F.when(sweep, n_if(side == "both")),
+        "reversal_count": F.when(sweep, won), "reversal_rate": F.when(sweep | smc("choch", "eq"), rate(won, n)).when(kind == "ny_continuation", rate(n - won, n)),
+        "continuation_rate": F.when((kind == "ny_continuation") | smc("bos"), rate(won, n)), "bullish_rate": F.when(kind == "session_range", rate(up, n)), "bearish_rate": F.when(kind == "session_range", rate(n - up, n)),
+        "avg_range_pct": F.when(kind == "session_range", mean(3)), "success_rate": F.when((kind == "power_of_3") | smc("sweep"), rate(won, n)),
+        "retest_rate": F.when(smc("ob"), rate(tested, n)), "hold_rate_when_retested": F.when(smc("ob"), rate(won, tested)), "hold_rate_overall": F.when(smc("ob"), rate(won, n)),
+        "fill_rate": F.when(smc("fvg"), rate(won, n)), "avg_fill_pct": F.when(smc("fvg"), mean(1)), "avg_max_move_pct": F.when(smc("bos", "choch", "sweep"), mean(4)),
+        "sweep_rate": F.when(smc("eq"), rate(tested, n)), "reversal_rate_when_swept": F.when(smc("eq"), rate(won, tested)),
+    }
+    return events.groupBy("event_type", *by).agg(n.alias("n"), *[c.alias(k) for k, c in figures.items()], confidence(n).alias("confidence"))
+
+
+def by_weekday(events: DataFrame) -> DataFrame:
+    """Count and success of session events on each weekday."""
+    n = F.count("*")
+    return events.where(~F.col("event_type").startswith("smc_")).groupBy("event_type", "day_of_week").agg(n.alias("count"), rate(n_if(F.col("win")), n).alias("success_pct"))
+
+
 def frequencies(events: DataFrame, *by: str) -> DataFrame:
     """How often events of each type come true."""
     n = F.count("*")
@@ -125,11 +180,26 @@ def downsampled(done: DataFrame, by: list[str], points: int = 500) -> DataFrame:
 DIMENSIONS = ("session", "day_of_week", "direction", "side")
 
 
+def baselines(events: DataFrame) -> DataFrame:
+    """How often events of each type come true, whatever their cell."""
+    return events.where("event_type <> 'session_range'").groupBy("event_type").agg(F.count("*").alias("n"), rate(n_if(F.col("win")), F.count("*")).alias("baseline"))
+
+
+def extremes(cells: DataFrame, top: int = 15, min_edge_pct: float = 0.0) -> DataFrame:
+    """Of the rows of :func:`edges` the ``top`` strongest on either side: ``list``
+    (edges, anti_patterns) and ``rank``; cells nearer to their baseline than
+    ``min_edge_pct`` go."""
+    far = cells.where((F.abs(F.col("win_rate") - F.col("baseline")) >= min_edge_pct) & (F.col("edge_score") != 0))
+    named = far.withColumn("list", F.when(F.col("edge_score") > 0, "edges").otherwise("anti_patterns"))
+    order = Window.partitionBy("list").orderBy(F.abs("edge_score").desc(), "event_type", *[F.coalesce(d, F.lit("")) for d in DIMENSIONS])
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def edges(events: DataFrame, least: int = 10) -> DataFrame:
     """Cells of one or two dimensions against their type's base rate. One pass of
     grouping sets: four singles and six pairs; an unknown value is no cell."""
-    events = events.where("event_type <> 'session_range'")
-    base = events.groupBy("event_type").agg(rate(n_if(F.col("win")), F.count("*")).alias("baseline"))
+    events = written_once(events.where("event_type <> 'session_range'"), "events")  # read for the cells and for their baselines
+    base = baselines(events).select("event_type", "baseline")
     sets = [["event_type", *d] for k, d in enumerate([[a] for a in DIMENSIONS] + [[a, b] for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[i + 1 :]])]
     marks = [F.grouping(d).alias(f"g_{d}") for d in DIMENSIONS]
     cells = events.groupingSets(sets, "event_type", *DIMENSIONS).agg(F.count("*").alias("n"), rate(n_if(F.col("win")), F.count("*")).alias("win_rate"), *marks)

@@ -120,10 +120,16 @@ def pearson(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return agg.withColumn("r", F.when((F.col("n") >= 3) & (F.col("sx") > 1e-12) & (F.col("sy") > 1e-12), q(r, 4)).otherwise(0.0))
 
 
+#: More symbols than this are a matrix that nobody reads: pairs grow with their square.
+MOST_SYMBOLS = 10
+
+
 def return_pairs(bars: DataFrame) -> DataFrame:
     """Log returns of every pair of symbols (a before b) at the times that all
-    symbols have; ``idx`` counts the returns."""
+    symbols have; ``idx`` counts the returns. Of MOST_SYMBOLS symbols at most."""
     total = bars.select("symbol").distinct().count()
+    if total > MOST_SYMBOLS:
+        raise ValueError(f"{total} symbols are too many to correlate pair by pair; {MOST_SYMBOLS} at most")
     common = bars.groupBy("bar_ts").agg(F.countDistinct("symbol").alias("n")).where(F.col("n") == total).select("bar_ts")
     shared = bars.join(common, "bar_ts")
     shared = shared.withColumn("bar_idx", F.row_number().over(over("bar_ts")) - 1)
@@ -132,6 +138,17 @@ def return_pairs(bars: DataFrame) -> DataFrame:
     return a.join(b, "bar_idx").where("a < b").withColumn("idx", F.col("bar_idx") - 1)
 
 
+def adr_ratio(bars: DataFrame, least_days: int = 3) -> DataFrame:
+    """The newest day's range against the mean of all days before it, for symbols
+    with ``least_days`` days; all 24 hours count."""
+    days = bars.groupBy("symbol", F.to_date("bar_ts").alias("day")).agg((F.max("high") - F.min("low")).alias("size"))
+    newest = F.max("day").over(Window.partitionBy("symbol"))
+    marked = days.withColumn("newest", newest)
+    prior, today = F.when(F.col("day") < F.col("newest"), F.col("size")), F.when(F.col("day") == F.col("newest"), F.col("size"))
+    out = marked.groupBy("symbol").agg(F.count("*").alias("days"), F.max(today).alias("today"), F.avg(prior).alias("adr")).where(F.col("days") >= least_days)
+    return out.select("symbol", "days", q("today").alias("today_range"), q("adr").alias("adr"), q(F.when(F.col("adr") > 0, F.col("today") / F.col("adr"))).alias("ratio"))
+
+
 def correlations(bars: DataFrame) -> DataFrame:
     """Matrix rows ``a, b, n, r`` for a before b."""
     return pearson(return_pairs(bars), ["a", "b"], "x", "y").select("a", "b", "n", "r")
@@ -155,3 +172,8 @@ def base_read(bars: DataFrame, base: str, eps: float = 0.15) -> DataFrame:
         F.when(F.col("r") >= 0.1, "same").when(F.col("r") <= -0.1, "opposite").otherwise("none").alias("direction"),
         F.when(shift > eps, "tightening").when(shift < -eps, "decoupling").otherwise("stable").alias("shift"),
     )
+
+
+def ranked_read(read: DataFrame) -> DataFrame:
+    """Rows of :func:`base_read` with their ``rank`` by the size of ``r``."""
+    return read.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("r").desc(), "other")))

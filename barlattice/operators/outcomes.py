@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import n_if, q, rate, smc_session
+from ..functions.lineage import written_once
 from . import structure as T
 
 WINDOW, STEP = 200, 50
@@ -25,18 +26,20 @@ def windows(bars: DataFrame) -> T.Series:
     return T.Series(dealt.withColumn("win", F.col("win") * STEP).withColumn("i", F.col("bar_idx") - F.col("win")).drop("first", "last"), ("symbol", "win"))
 
 
-def found(s: T.Series, swing: int = 20, internal: int = 5) -> DataFrame:
+def found(s: T.Series, swing: int = 20, internal: int = 5, known: DataFrame | None = None) -> DataFrame:
     """Structures of every kind in every window, once each by kind and bar: the
-    first window, and its first in list order, wins."""
+    first window, and its first in list order, wins. ``known``: the breaks of the
+    windows, if they are at hand."""
+    known = T.structures(s, swing, internal) if known is None else known
     none = F.lit(None)
 
     def rows(df: DataFrame, kind: Column, at: str, ord_: Column, bias: Column, level: Column = none, top: Column = none, bottom: Column = none) -> DataFrame:
         return df.select("symbol", "win", kind.alias("kind"), (F.col("win") + F.col(at)).alias("idx"), ord_.alias("ord"), bias.alias("bias"), level.cast("double").alias("level"), top.cast("double").alias("top"), bottom.cast("double").alias("bottom"))
 
     bias = F.col("bias")
-    ob = rows(T.order_blocks(s, swing, internal), F.lit("ob"), "bar_index", F.col("ord"), bias, none, F.col("ob_high"), F.col("ob_low"))
+    ob = rows(T.order_blocks(s, swing, internal, known=known), F.lit("ob"), "bar_index", F.col("ord"), bias, none, F.col("ob_high"), F.col("ob_low"))
     gap = rows(T.gaps(s), F.lit("fvg"), "bar_index", F.when(bias == 1, 0).otherwise(1), bias, none, F.col("top"), F.col("bottom"))
-    brk = rows(T.structures(s, swing, internal), F.lower("type"), "end_index", F.col("ord"), bias, F.col("level"))
+    brk = rows(known, F.lower("type"), "end_index", F.col("ord"), bias, F.col("level"))
     eq = rows(T.equal_levels(s, swing), F.lit("eq"), "curr_index", F.col("ord"), F.when(F.col("type") == "EQH", -1).otherwise(1), F.col("level"))
     sw = rows(T.liquidity_sweeps(s, internal), F.lit("sweep"), "bar_index", F.col("pivot_index") + F.when(bias == -1, 0).otherwise(1_000_000), bias, F.col("level"))
     every = ob.unionByName(gap).unionByName(brk).unionByName(eq).unionByName(sw)
@@ -46,9 +49,11 @@ def found(s: T.Series, swing: int = 20, internal: int = 5) -> DataFrame:
 
 def evaluated(bars: DataFrame, swing: int = 20, internal: int = 5) -> DataFrame:
     """One row per structure with its outcome flags; those without a later bar go."""
+    bars = written_once(bars, "bars")
     s = windows(bars)
-    f = found(s, swing, internal)
-    trend = T.trend(s, internal)
+    known = written_once(T.structures(s, swing, internal), "structures")
+    f = found(s, swing, internal, known)
+    trend = T.trend(s, internal, known)
     w = Window.partitionBy("symbol").orderBy("bar_idx")
     after = F.collect_list(F.struct(F.col("bar_idx").alias("i"), "high", "low", "close")).over(w.rowsBetween(1, max(AHEAD.values())))
     ahead = bars.select("symbol", F.col("bar_idx").alias("idx"), "bar_ts", after.alias("after"))
@@ -102,3 +107,24 @@ def summary(events: DataFrame, *by: str) -> DataFrame:
         n.alias("n"), rate(n_if(won), n).alias("success_pct"), rate(n_if(F.col("retested")), n).alias("retested_pct"), rate(n_if(F.col("held")), n_if(F.col("retested"))).alias("held_pct"),
         rate(n_if(F.col("swept")), n).alias("swept_pct"), q(F.avg("max_move_pct"), 3).alias("avg_move_pct"), q(F.avg(F.when(F.col("filled"), F.col("filled_within"))), 3).alias("avg_bars_to_fill"),
     )
+
+
+def statistics(events: DataFrame, *by: str) -> DataFrame:
+    """The six aggregates, a row per kind: its own rates and means, null for what
+    the kind doesn't have, and its sides."""
+    n, kind = F.count("*"), F.col("kind")
+    is_ = lambda *x: kind.isin(*x)
+    mean = lambda c, places: F.coalesce(F.floor(F.avg(F.floor(c.cast("double") * 1e6 + 0.5)) / 10.0 ** (6 - places) + 0.5) / 10.0**places, F.lit(0.0))
+    some = lambda c: n_if(F.col(c))
+    bull, bear = n_if(F.col("bias") == 1), n_if(F.col("bias") == -1)
+    sided = is_("ob", "fvg", "bos", "choch")
+    figures = {
+        "retest_rate": F.when(is_("ob"), rate(some("retested"), n)), "hold_rate": F.when(is_("ob"), rate(some("held"), n)), "hold_rate_when_retested": F.when(is_("ob"), rate(some("held"), some("retested"))),
+        "avg_retest_candles": F.when(is_("ob"), mean(F.when(F.col("retested"), F.col("retested_within")), 1)),
+        "fill_rate": F.when(is_("fvg"), rate(some("filled"), n)), "avg_fill_candles": F.when(is_("fvg"), mean(F.when(F.col("filled"), F.col("filled_within")), 1)), "avg_fill_pct": F.when(is_("fvg"), mean(F.col("filled_pct"), 1)),
+        "continuation_rate": F.when(is_("bos"), rate(some("success"), n)), "reversal_rate": F.when(is_("choch", "eq"), rate(some("success"), n)), "sweep_rate": F.when(is_("eq"), rate(some("swept"), n)),
+        "reversal_rate_when_swept": F.when(is_("eq"), rate(some("success"), some("swept"))), "avg_reversal_pct": F.when(is_("eq"), mean(F.col("max_move_pct"), 4)), "success_rate": F.when(is_("sweep"), rate(some("success"), n)),
+        "avg_max_move_pct": F.when(is_("bos", "choch", "sweep"), mean(F.col("max_move_pct"), 4)), "bullish": F.when(sided, bull), "bearish": F.when(sided, bear), "eqh": F.when(is_("eq"), bear), "eql": F.when(is_("eq"), bull),
+        "wick": F.when(is_("sweep"), n), "retest": F.when(is_("sweep"), F.lit(0).cast("long")),
+    }
+    return events.groupBy("kind", *by).agg(n.alias("n"), *[c.alias(k) for k, c in figures.items()])

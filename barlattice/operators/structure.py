@@ -2,8 +2,9 @@
 
 Detectors take bars with the columns of ``by`` and ``i`` (the bar's place in its
 series) and never loop: what looks sequential is a window, a conditional
-minimum or a last value carried forward. Tests of "exists later" are windows
-over what follows, never joins.
+minimum or a last value carried forward. Tests of "exists later" are windows over
+what follows where few bars do, and else joins by blocks of bars (:func:`bars_between`),
+whose work grows with the history and not with its square.
 """
 
 from __future__ import annotations
@@ -29,6 +30,29 @@ class Series:
         return Window.partitionBy(*self.by).orderBy(*(order or ("i",)))
 
 
+def bars_between(rows: DataFrame, bars: DataFrame, by: tuple[str, ...], start: Column, stop: Column, width: int = 256) -> DataFrame:
+    """``rows`` joined to the ``bars`` with ``start <= i <= stop``: by the series
+    and each block of ``width`` bars that the span touches."""
+    blocks = F.sequence(F.floor(start / width).cast("int"), F.floor(stop / width).cast("int"))
+    dealt = rows.withColumns({"span_start": start, "span_stop": stop}).where("span_stop >= span_start").withColumn("span_block", F.explode(blocks))
+    placed = bars.withColumn("span_block", F.floor(F.col("i") / width).cast("int"))
+    met = dealt.join(placed, [*by, "span_block"])
+    return met.where((F.col("i") >= F.col("span_start")) & (F.col("i") <= F.col("span_stop"))).drop("span_start", "span_stop", "span_block")
+
+
+def enough(bars: DataFrame, least: int, by: tuple[str, ...] = ("symbol",), what: str | None = None) -> DataFrame:
+    """The rows of the series that have ``least`` rows, or distinct values of
+    ``what``, at least; the others go whole."""
+    n = F.count_distinct(what) if what else F.count("*")
+    wide = bars.groupBy(*by).agg(n.alias("enough_n")).where(F.col("enough_n") >= least).select(*by)
+    return bars.join(wide, list(by), "left_semi")
+
+
+def long_enough(bars: DataFrame, swing: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The series in which a swing pivot can stand: of ``2 * swing + 1`` bars or more."""
+    return enough(bars, 2 * swing + 1, by)
+
+
 def of(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> Series:
     """A series from indexed bars."""
     return Series(bars.withColumnRenamed("bar_idx", "i"), by)
@@ -100,9 +124,11 @@ def structures(s: Series, swing: int, internal: int) -> DataFrame:
     return both.withColumn("ord", F.row_number().over(s.w("pass", "ord")))
 
 
-def trend(s: Series, internal: int) -> DataFrame:
-    """``trend_bias`` per series: the last break's; series without breaks have no row."""
-    return breaks(s, internal).groupBy(*s.by).agg(F.max_by("bias", "ord").alias("trend_bias"))
+def trend(s: Series, internal: int, known: DataFrame | None = None) -> DataFrame:
+    """``trend_bias`` per series: the last break's; series without breaks have no
+    row. ``known``: the series' structures, if they are at hand."""
+    own = breaks(s, internal) if known is None else known.where(F.col("pass") == 1)
+    return own.groupBy(*s.by).agg(F.max_by("bias", "ord").alias("trend_bias"))
 
 
 def newest(df: DataFrame, s: Series, order: list, n: int) -> DataFrame:
@@ -141,9 +167,10 @@ def _origins(s: Series, found: DataFrame, side_of_bull: str) -> DataFrame:
     return j.withColumns({"ob_index": pick("i"), "ob_high": pick("high"), "ob_low": pick("low"), "ob_ts": pick("bar_ts")}).drop("lowest", "highest")
 
 
-def order_blocks(s: Series, swing: int, internal: int, keep: int = 10) -> DataFrame:
-    """Extreme bars before the last ``2 * keep`` breaks that no later bar has passed."""
-    recent = newest(structures(s, swing, internal), s, ["ord"], 2 * keep)
+def order_blocks(s: Series, swing: int, internal: int, keep: int = 10, known: DataFrame | None = None) -> DataFrame:
+    """Extreme bars before the last ``2 * keep`` breaks that no later bar has
+    passed. ``known``: the series' structures, if they are at hand."""
+    recent = newest(structures(s, swing, internal) if known is None else known, s, ["ord"], 2 * keep)
     after = s.w().rowsBetween(1, Window.unboundedFollowing)
     later = s.bars.select(*s.by, F.col("i").alias("ob_index"), F.min("low").over(after).alias("later_low"), F.max("high").over(after).alias("later_high"))
     o = _origins(s, recent, "low").join(later, [*s.by, "ob_index"])
@@ -166,6 +193,13 @@ def equal_levels(s: Series, swing: int, share: float = 0.003) -> DataFrame:
     )
 
 
+def recent_equal_levels(s: Series, swing: int, share: float = 0.7, keep: int = 10) -> DataFrame:
+    """The last ``keep`` equal levels whose newer pivot lies in the last part of the series."""
+    n = s.bars.groupBy(*s.by).agg(F.count("*").alias("n"))
+    late = equal_levels(s, swing).join(n, list(s.by)).where(F.col("curr_index") > F.col("n") * share).drop("n")
+    return newest(late, s, ["ord"], keep)
+
+
 def _labelled(p: DataFrame, s: Series, equal: tuple[str, str]) -> DataFrame:
     before = F.lag("price").over(Window.partitionBy(*s.by, "side").orderBy("i"))
     high = F.col("side") == "high"
@@ -205,15 +239,14 @@ def fractals(s: Series) -> DataFrame:
 def liquidity_sweeps(s: Series, internal: int, reach: int = 2000) -> DataFrame:
     """Pivots whose first break was a wick that closed back: one row each.
 
-    The first bar beyond the pivot that does not close on it decides, so the
-    join, bounded by ``reach`` bars, needs one grouped minimum.
+    The first bar beyond the pivot that does not close on it decides, among the
+    ``reach`` bars after it: a join by blocks of bars and one grouped minimum.
     """
     p = pivots(s, internal).select(*s.by, "side", F.col("i").alias("pivot_index"), "price")
     b = s.bars.select(*s.by, "i", "bar_ts", "high", "low", "close")
     high = F.col("side") == "high"
     beyond = F.when(high, F.col("high") > F.col("price")).otherwise(F.col("low") < F.col("price"))
-    near = (F.col("i") >= F.col("pivot_index") + internal) & (F.col("i") <= F.col("pivot_index") + reach)
-    hits = p.join(b, list(s.by)).where(near & beyond & (F.col("close") != F.col("price")))
+    hits = bars_between(p, b, s.by, F.col("pivot_index") + internal, F.col("pivot_index") + reach).where(beyond & (F.col("close") != F.col("price")))
     first = hits.groupBy(*s.by, "side", "pivot_index", "price").agg(F.min_by(F.struct("i", "bar_ts", "high", "low", "close"), "i").alias("x"))
     wick = F.when(high, F.col("x.close") < F.col("price")).otherwise(F.col("x.close") > F.col("price"))
     return first.where(wick).select(
@@ -230,7 +263,7 @@ def sweep_areas(s: Series, internal: int, keep: int = 20, reach: int = 299) -> D
     last_ts = s.bars.groupBy(*s.by).agg(F.max("bar_ts").alias("last_ts"))
     recent = newest(sw, s, order, keep)
     beyond = F.when(F.col("bias") == BEAR, F.col("close") > F.col("sweep_price")).otherwise(F.col("close") < F.col("sweep_price"))
-    hits = recent.join(b, list(s.by)).where((F.col("i") >= F.col("bar_index") + 2) & (F.col("i") <= F.col("bar_index") + reach) & beyond)
+    hits = bars_between(recent, b, s.by, F.col("bar_index") + 2, F.col("bar_index") + reach).where(beyond)
     keys = [*s.by, "pivot_index", "bias"]
     ended = hits.groupBy(*keys).agg(F.min("ts").alias("end_ts"))
     out = recent.join(ended, keys, "left").join(last_ts, list(s.by))
@@ -242,11 +275,10 @@ def breaker_blocks(s: Series, swing: int, internal: int, keep: int = 10) -> Data
     o = _origins(s, structures(s, swing, internal), "high")
     b = s.bars.select(*s.by, "i", "high", "low", "close")
     up = F.col("bias") == BULL
-    inside = (F.col("i") > F.col("ob_index")) & (F.col("i") < F.col("end_index") + 30)
     passed = (F.col("i") < F.col("end_index")) & F.when(up, F.col("high") > F.col("ob_high")).otherwise(F.col("low") < F.col("ob_low"))
     touched = (F.col("i") >= F.col("end_index")) & F.when(up, (F.col("low") <= F.col("ob_high")) & (F.col("close") >= F.col("ob_low"))).otherwise((F.col("high") >= F.col("ob_low")) & (F.col("close") <= F.col("ob_high")))
     keys = [*s.by, "ord", "bias", "ob_index", "ob_high", "ob_low", "ob_ts"]
-    tested = o.join(b, list(s.by)).where(inside).groupBy(*keys).agg(F.max(passed).alias("passed"), F.max(touched).alias("touched"))
+    tested = bars_between(o, b, s.by, F.col("ob_index") + 1, F.col("end_index") + 29).groupBy(*keys).agg(F.max(passed).alias("passed"), F.max(touched).alias("touched"))
     return newest(tested.where("passed and touched"), s, ["ord"], keep).select(*s.by, "ord", F.col("ob_index").alias("bar_index"), F.col("ob_ts").alias("bar_ts"), "ob_high", "ob_low", "bias")
 
 
@@ -262,12 +294,12 @@ def candle_trends(s: Series, internal: int, ahead: int = 9) -> DataFrame:
     return s.bars.join(at, [*s.by, "i"], "left").select(*s.by, "i", "bar_ts", F.coalesce(filled, F.lit(0)).alias("trend"))
 
 
-def trading_range(s: Series, swing: int, internal: int) -> DataFrame:
+def trading_range(s: Series, swing: int, internal: int, known: DataFrame | None = None) -> DataFrame:
     """The last swing high and low, widened to the last 50 bars where price has
     left them; which side is strong; one row per series with both."""
     p = pivots(s, swing).groupBy(*s.by).agg(F.max_by("price", F.when(F.col("side") == "high", F.col("i"))).alias("sh"), F.max_by("price", F.when(F.col("side") == "low", F.col("i"))).alias("sl"))
     tail = newest(s.bars, s, ["i"], 50).groupBy(*s.by).agg(F.max("high").alias("h50"), F.min("low").alias("l50"), F.max_by("close", "i").alias("price"))
-    j = p.where("sh is not null and sl is not null").join(tail, list(s.by)).join(trend(s, internal), list(s.by), "left")
+    j = p.where("sh is not null and sl is not null").join(tail, list(s.by)).join(trend(s, internal, known), list(s.by), "left")
     bullish = F.coalesce(F.col("trend_bias") == BULL, F.lit(False))
     high, low = F.when(F.col("price") > F.col("sh"), F.col("h50")).otherwise(F.col("sh")), F.when(F.col("price") < F.col("sl"), F.col("l50")).otherwise(F.col("sl"))
     return j.select(

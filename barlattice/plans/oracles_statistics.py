@@ -131,3 +131,68 @@ ORACLES |= {
     "fc01_forecast_asia": forecast("2024-01-20 22:00:00", "post_ny", "asia", None),
 }
 assert "dtf" in VIEWS
+
+VIEWS["fev"] = """SELECT *, NULL::VARCHAR AS htf, NULL::BOOLEAN AS tested FROM sev UNION ALL SELECT symbol, NULL, NULL, 'smc_' || kind || '_test', session, CASE WHEN kind IN ('ob', 'fvg', 'bos', 'choch') THEN CASE bias WHEN 1 THEN 'bullish' ELSE 'bearish' END END,
+    CASE kind WHEN 'eq' THEN CASE bias WHEN -1 THEN 'EQH' ELSE 'EQL' END WHEN 'sweep' THEN 'WICK' END, CASE kind WHEN 'ob' THEN held WHEN 'fvg' THEN filled ELSE success END, coalesce(max_move_pct, filled_pct),
+    CASE WHEN kind IN ('ob', 'fvg', 'bos', 'choch') THEN CASE bias WHEN 1 THEN 'bullish' ELSE 'bearish' END END, CASE kind WHEN 'ob' THEN retested WHEN 'eq' THEN swept END FROM wout"""
+_DOUBLE = ("swept_high", "swept_low", "swept_both", "reversal_count", "bullish", "bearish", "eqh", "eql", "wick", "retest")
+_SWEEP, _W, _T, _UP = "event_type IN ('asia_sweep', 'london_sweep')", n_if("win"), n_if("tested"), n_if("direction = 'bullish'")
+
+
+def when(condition: str, figure: str, name: str) -> str:
+    return f"CASE WHEN {condition} THEN {figure} END{'::DOUBLE' if name in _DOUBLE else ''} AS {name}"
+
+
+def smc(*kinds: str) -> str:
+    return "event_type IN (" + ", ".join(f"'smc_{k}_test'" for k in kinds) + ")"
+
+
+def results(source: str, where: str = "true", by: str = "event_type") -> str:
+    figures = [
+        when(f"{_SWEEP} OR event_type = 'power_of_3'", n_if("side = 'high'"), "swept_high"), when(f"{_SWEEP} OR event_type = 'power_of_3'", n_if("side = 'low'"), "swept_low"), when(_SWEEP, n_if("side = 'both'"), "swept_both"), when(_SWEEP, _W, "reversal_count"),
+        f"CASE WHEN {_SWEEP} OR {smc('choch', 'eq')} THEN {pct(_W, _N)} WHEN event_type = 'ny_continuation' THEN {pct(f'{_N} - {_W}', _N)} END AS reversal_rate", when(f"event_type = 'ny_continuation' OR {smc('bos')}", pct(_W, _N), "continuation_rate"),
+        when("event_type = 'session_range'", pct(_UP, _N), "bullish_rate"), when("event_type = 'session_range'", pct(f"{_N} - {_UP}", _N), "bearish_rate"), when("event_type = 'session_range'", mean("value", 3), "avg_range_pct"),
+        when(f"event_type = 'power_of_3' OR {smc('sweep')}", pct(_W, _N), "success_rate"), when(smc("ob"), pct(_T, _N), "retest_rate"), when(smc("ob"), pct(_W, _T), "hold_rate_when_retested"), when(smc("ob"), pct(_W, _N), "hold_rate_overall"),
+        when(smc("fvg"), pct(_W, _N), "fill_rate"), when(smc("fvg"), mean("value", 1), "avg_fill_pct"), when(smc("bos", "choch", "sweep"), mean("value", 4), "avg_max_move_pct"), when(smc("eq"), pct(_T, _N), "sweep_rate"), when(smc("eq"), pct(_W, _T), "reversal_rate_when_swept"),
+    ]
+    return sql(f"SELECT {by}, {_N} AS n, {', '.join(figures)}, {label(_N, _UPPER, 'HIGH')} AS confidence FROM {source} WHERE {where} GROUP BY {by}")
+
+
+def of_kind(kinds: str, figure: str, name: str) -> str:
+    return when("kind IN (" + ", ".join(f"'{k}'" for k in kinds.split()) + ")", figure, name)
+
+
+_BULL, _BEAR = n_if("bias = 1"), n_if("bias = -1")
+_SIX = ", ".join([
+    of_kind("ob", pct(n_if("retested"), _N), "retest_rate"), of_kind("ob", pct(n_if("held"), _N), "hold_rate"), of_kind("ob", pct(n_if("held"), n_if("retested")), "hold_rate_when_retested"), of_kind("ob", mean("CASE WHEN retested THEN retested_within END", 1), "avg_retest_candles"),
+    of_kind("fvg", pct(n_if("filled"), _N), "fill_rate"), of_kind("fvg", mean("CASE WHEN filled THEN filled_within END", 1), "avg_fill_candles"), of_kind("fvg", mean("filled_pct", 1), "avg_fill_pct"), of_kind("bos", pct(n_if("success"), _N), "continuation_rate"),
+    of_kind("choch eq", pct(n_if("success"), _N), "reversal_rate"), of_kind("eq", pct(n_if("swept"), _N), "sweep_rate"), of_kind("eq", pct(n_if("success"), n_if("swept")), "reversal_rate_when_swept"), of_kind("eq", mean("max_move_pct", 4), "avg_reversal_pct"),
+    of_kind("sweep", pct(n_if("success"), _N), "success_rate"), of_kind("bos choch sweep", mean("max_move_pct", 4), "avg_max_move_pct"), of_kind("ob fvg bos choch", _BULL, "bullish"), of_kind("ob fvg bos choch", _BEAR, "bearish"), of_kind("eq", _BEAR, "eqh"), of_kind("eq", _BULL, "eql"), of_kind("sweep", _N, "wick"), of_kind("sweep", "0", "retest"),
+])
+_DIM = ("session", "day_of_week", "direction", "side")
+_CELLS = " UNION ALL ".join(
+    "SELECT event_type, " + ", ".join(d if d in s else f"NULL::VARCHAR AS {d}" for d in _DIM) + f", count(*) AS n, {pct(_W, _N)} AS win_rate FROM ev WHERE " + " AND ".join(f"{d} IS NOT NULL" for d in s) + " GROUP BY event_type, " + ", ".join(s) + " HAVING count(*) >= 10"
+    for s in [(a,) for a in _DIM] + [(a, b) for i, a in enumerate(_DIM) for b in _DIM[i + 1 :]]
+)
+
+ORACLES |= {
+    "bt01_outcomes": results("fev"),
+    "bt01_sweep_side": results("fev", "side = 'high' AND NOT starts_with(event_type, 'smc_')", "event_type, symbol"),
+    "bt01_htf_bias": results("fev", "htf = 'bearish'"),
+    "bt01_direction": results("fev", "direction = 'bullish' AND day_of_week = 'Monday'"),
+    "d13_success": sql(f"SELECT event_type, day_of_week, {_N} AS count, {pct(_W, _N)} AS success_pct FROM sev GROUP BY ALL"),
+    "d11_aggregates": sql(f"SELECT kind, {_N} AS n, {_SIX} FROM wout GROUP BY kind"),
+    "d12_baselines": sql(f"SELECT event_type, {_N} AS n, {pct(_W, _N)} AS baseline FROM sev WHERE event_type <> 'session_range' GROUP BY event_type"),
+    "f03_extremes": sql(f"""WITH ev AS (SELECT * FROM sev WHERE event_type <> 'session_range'), b AS (SELECT event_type, {pct(_W, _N)} AS baseline FROM ev GROUP BY event_type), c AS ({_CELLS}),
+        e AS (SELECT c.*, baseline, {r('(win_rate - baseline) * sqrt(n::DOUBLE)', 2)} AS edge_score FROM c JOIN b USING (event_type) WHERE abs(win_rate - baseline) >= 1.0)
+        SELECT *, CASE WHEN edge_score > 0 THEN 'edges' ELSE 'anti_patterns' END AS list, row_number() OVER (PARTITION BY edge_score > 0 ORDER BY abs(edge_score) DESC, event_type, coalesce(session, ''), coalesce(day_of_week, ''), coalesce(direction, ''), coalesce(side, '')) AS rank FROM e WHERE edge_score <> 0 QUALIFY rank <= 10"""),
+    "f04_ranked_read": f"SELECT *, row_number() OVER (ORDER BY abs(r) DESC, other) AS rank FROM ({ORACLES['cor02_base']})",
+    "cnf04_adr_ratio": sql(f"""WITH d AS (SELECT symbol, bar_ts::DATE AS day, max(high) - min(low) AS z FROM b60 GROUP BY ALL), m AS (SELECT *, max(day) OVER (PARTITION BY symbol) AS l FROM d)
+        SELECT symbol, count(*) AS days, {r('max(z) FILTER (day = l)')} AS today_range, {r('avg(z) FILTER (day < l)')} AS adr, {r('max(z) FILTER (day = l) / avg(z) FILTER (day < l)')} AS ratio FROM m GROUP BY symbol HAVING count(*) >= 3"""),
+    "b12_recent_equal_levels": sql(f"""WITH n AS (SELECT symbol, count(*) AS n FROM b15 GROUP BY symbol) SELECT k AS symbol, ord, type, {r('level')} AS level, prev_index, curr_index FROM m_eq JOIN n ON n.symbol = k WHERE curr_index > n * 0.7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) <= 10"""),
+    "smc13_gate": sql("WITH x AS (SELECT * FROM b60 WHERE bar_ts < TIMESTAMP '2024-01-03') SELECT symbol, bar_ts, close FROM x WHERE symbol IN (SELECT symbol FROM x GROUP BY symbol HAVING count(*) >= 41)"),
+    "b10_enough_days": sql("SELECT symbol, count(*) AS days FROM orf GROUP BY symbol HAVING count(*) >= 10"),
+    "a03_complete_scan": sql("SELECT *, true AS complete FROM b60 WHERE symbol IN ('click', 'view') AND bar_ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-20 10:30:00'"),
+    "a07_series": f"""WITH p AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, count(*) FILTER (o_orderstatus = 'F') AS l, count(*) FILTER (o_orderstatus <> 'F') AS s, count(*) AS n FROM orders GROUP BY ALL)
+        SELECT ts, n::DOUBLE AS oi, {r('l / greatest(s, 1)')} AS ratio, CASE WHEN day(ts) <= 20 THEN l::DOUBLE END AS buy_vol, NULL::DOUBLE AS sell_vol FROM p""",
+}

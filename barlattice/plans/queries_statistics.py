@@ -194,3 +194,109 @@ def fc01_forecast_new_york(spark, sf_dir):
 @query
 def fc01_forecast_asia(spark, sf_dir):
     return Z.forecast(bars(spark, sf_dir, 3600), "2024-01-20 22:00:00")
+
+
+# ---- backtests, aggregates, gates ------------------------------------------------------------------
+
+from ..operators import backtest as X  # noqa: E402
+from ..operators import indicators as I  # noqa: E402
+from ..operators import outcomes as O  # noqa: E402
+from ..operators import structure as T  # noqa: E402
+from ..sources import market as M  # noqa: E402
+from .queries import indexed, series, smc_outcomes  # noqa: E402
+
+
+def doubles(df, *names):
+    """Counts that some rows don't have, as doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c in names})
+
+
+COUNTS = ("swept_high", "swept_low", "swept_both", "reversal_count")
+
+
+def all_facts(spark, sf_dir):
+    return X.facts(bars(spark, sf_dir, 3600), indexed(spark, sf_dir, 3600))
+
+
+@query
+def bt01_outcomes(spark, sf_dir):
+    """All eleven branches."""
+    return doubles(X.outcomes(all_facts(spark, sf_dir)), *COUNTS)
+
+
+@query
+def bt01_sweep_side(spark, sf_dir):
+    return doubles(X.outcomes(X.matching(X.facts(bars(spark, sf_dir, 3600)), sweep_side="high", range_state="tight"), "symbol"), *COUNTS)
+
+
+@query
+def bt01_htf_bias(spark, sf_dir):
+    return doubles(X.outcomes(X.matching(all_facts(spark, sf_dir), htf_bias="bearish", macro_present="yes")), *COUNTS)
+
+
+@query
+def bt01_direction(spark, sf_dir):
+    return doubles(X.outcomes(X.matching(X.facts(bars(spark, sf_dir, 3600)), direction="bullish", day_of_week="Monday")), *COUNTS)
+
+
+@query
+def d13_success(spark, sf_dir):
+    return X.by_weekday(X.facts(bars(spark, sf_dir, 3600)))
+
+
+@query
+def d11_aggregates(spark, sf_dir):
+    return doubles(O.statistics(smc_outcomes(spark, sf_dir)), "bullish", "bearish", "eqh", "eql", "wick", "retest")
+
+
+@query
+def d12_baselines(spark, sf_dir):
+    return X.baselines(X.facts(bars(spark, sf_dir, 3600)))
+
+
+@query
+def f03_extremes(spark, sf_dir):
+    return X.extremes(X.edges(X.session_events(bars(spark, sf_dir, 3600))), top=10, min_edge_pct=1.0).drop("filters")
+
+
+@query
+def f04_ranked_read(spark, sf_dir):
+    return I.ranked_read(I.base_read(bars(spark, sf_dir, 3600), "click"))
+
+
+@query
+def cnf04_adr_ratio(spark, sf_dir):
+    return I.adr_ratio(bars(spark, sf_dir, 3600))
+
+
+@query
+def b12_recent_equal_levels(spark, sf_dir):
+    return T.recent_equal_levels(series(spark, sf_dir), 20).withColumn("level", F.floor(F.col("level") * 1e6 + 0.5) / 1e6)
+
+
+@query
+def smc13_gate(spark, sf_dir):
+    """Bars of the first two days, of the symbols with enough of them for a swing pivot."""
+    b = bars(spark, sf_dir, 3600).where("bar_ts < timestamp_ntz '2024-01-03 00:00:00'")
+    return T.long_enough(b, 20).select("symbol", "bar_ts", "close")
+
+
+@query
+def b10_enough_days(spark, sf_dir):
+    d = S.opening_range(bars(spark, sf_dir, 300))
+    return T.enough(d, 10, what="day").groupBy("symbol").agg(F.count("*").alias("days"))
+
+
+@query
+def a03_complete_scan(spark, sf_dir):
+    """Bars that have ended before a point in time; the one still forming is left out."""
+    b = bars(spark, sf_dir, 3600)
+    flagged = b.withColumn("complete", F.expr("bar_ts + interval 1 hour <= timestamp_ntz '2024-01-20 10:30:00'"))
+    return M.scan(flagged.union(flagged), symbols=["click", "view"], complete="complete", limit=2000, most=M.MOST["fx"])
+
+
+@query
+def a07_series(spark, sf_dir):
+    p = M.positioning(spark, sf_dir)
+    few = p.where("dayofmonth(ts) <= 20").select("ts", "buy_vol")
+    return M.series_of({"oi": p.select("ts", "oi"), "ratio": p.select("ts", "ratio")}, {"buy_vol": few, "sell_vol": None}, ["ts"]).withColumn("ratio", F.floor(F.col("ratio") * 1e6 + 0.5) / 1e6)

@@ -97,8 +97,13 @@ def parse_klines(raw: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def scan(candles: DataFrame, symbols: list[str] | None = None, start=None, end=None, limit: int | None = None, complete: str | None = None) -> DataFrame:
-    """A range of candles, once each, newest ``limit`` (1 to 1000) per symbol.
+#: Most candles of one scan, by venue.
+MOST = {"crypto": 1000, "fx": 5000}
+
+
+def scan(candles: DataFrame, symbols: list[str] | None = None, start=None, end=None, limit: int | None = None, complete: str | None = None, most: int = 1000) -> DataFrame:
+    """A range of candles, once each, newest ``limit`` (1 to ``most``, of MOST) per
+    symbol; ``complete`` names a flag that is false for bars still forming.
 
     Filters reach the reader; the newest are picked by a limit within the window.
     """
@@ -114,5 +119,43 @@ def scan(candles: DataFrame, symbols: list[str] | None = None, start=None, end=N
     if limit is not None:
         from ..operators.bars import latest
 
-        candles = latest(candles, max(1, min(1000, limit)))
+        candles = latest(candles, max(1, min(most, limit)))
     return candles
+
+
+def crypto_only(*symbols: str) -> None:
+    """ValueError for a symbol of another venue."""
+    for s in symbols:
+        if "_" in s:
+            raise ValueError(f"{s!r} looks like a forex pair; this endpoint takes crypto symbols")
+
+
+#: Watchlists by their names.
+WATCHLISTS = {
+    "crypto": ["BTCUSDT", "ETHUSDT", "SOLUSDT", "BNBUSDT", "XRPUSDT", "DOGEUSDT", "AVAXUSDT", "LINKUSDT"],
+    "forex": ["EUR_USD", "GBP_USD", "USD_JPY", "AUD_USD", "USD_CAD", "XAU_USD"],
+    "indices": ["NAS100_USD", "SPX500_USD", "US30_USD", "DE30_EUR", "UK100_GBP"],
+}
+_OTHER_NAMES = {"fx": "forex", "metals": "forex", "index": "indices"}
+
+
+def watchlist(symbols: str = "", most: int = 15) -> list[str]:
+    """The symbols of a watchlist's name, or those listed (by commas or spaces),
+    upper case, once each, ``most`` at most; the crypto list for nothing."""
+    name = symbols.strip().lower()
+    if not name:
+        return list(WATCHLISTS["crypto"])
+    known = WATCHLISTS.get(_OTHER_NAMES.get(name, name))
+    return list(known) if known else list(dict.fromkeys(s.upper() for s in symbols.replace(",", " ").split()))[:most]
+
+
+def series_of(required: dict[str, DataFrame], optional: dict[str, DataFrame | None], by: list[str]) -> DataFrame:
+    """Series of one column each (named by its key) on the rows that all required
+    ones have; of an optional one that is missing, or lacks a row, the column is null."""
+    out = None
+    for name, df in required.items():
+        own = df.select(*by, F.col(name))
+        out = own if out is None else out.join(own, by)
+    for name, df in optional.items():
+        out = out.withColumn(name, F.lit(None).cast("double")) if df is None else out.join(df.select(*by, F.col(name)), by, "left")
+    return out

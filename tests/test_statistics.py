@@ -88,5 +88,5 @@ def test_every_statistics_endpoint(spark):
     assert m.compute_peak_points_stats()["matrix"].where("symbol = 'view' and days = 'all'").agg({"n": "sum"}).first()[0] == S.peak_points(m.bars("1h")).where("symbol = 'view'").count()
     back = m.run_backtest("asia_sweep", sweep_side="low", range_state="tight")
     assert len(back["notes"]) == 1 and back["outcomes"].where("swept_high > 0").count() == 0
-    assert m.compute_smc_stats()["overall"].columns[0] == "symbol" and m.discover_edges(min_samples=2)["baselines"].count() > 0
+    assert m.compute_smc_stats()["overall"].columns[:2] == ["kind", "symbol"] and m.discover_edges(min_samples=2)["baselines"].count() > 0
     assert m.get_correlations(["click"], "view")["base"].columns[-1] == "rank" and set(m.analyze_smc("1h", 100)) >= {"equal_levels", "range"}

@@ -49,4 +49,14 @@ least_of AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN least_of ON a = d.r
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op10_url_filters": OP10}
+OP9 = """
+WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT r, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM e WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+reach(a, b) AS (SELECT r, r FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN e ON e.r = b GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.a = e.r LEFT JOIN k ON k.a = e.r
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op10_url_filters": OP10, "op9_embedding_dedup": OP9}

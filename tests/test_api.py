@@ -27,7 +27,7 @@ def test_endpoints(spark):
     assert m.get_candles("1h", 5).count() == 10
     assert m.get_levels().count() > 0
     assert set(m.get_price_action("1h")) == {"patterns", "summary"}
-    assert m.compute_orb_stats().columns and m.get_daily_bias()["statistics"].count() == 2
+    assert set(m.compute_orb_stats()) == {"days", "breakouts", "extension", "day_of_week"} and m.get_daily_bias()["statistics"].count() == 2
     with pytest.raises(ValueError):
         m.get_orderflow("4h")
     with pytest.raises(ValueError):

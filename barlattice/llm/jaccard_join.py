@@ -357,16 +357,32 @@ def join(
         drop_written(sets)
         sets = fewer
     roots = components(link_sets(sets, threshold, block)).select(F.col("u").alias("set_id"), "root")
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("least"))
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
     linked = written(classes.join(roots, "set_id"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_root = join_hot(linked.select("set_id", "root"), least, "root").select("set_id", "component_id")
     # a class outside all links is its own component
-    by_set = classes.join(by_root, "set_id", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("key", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    by_set = classes.join(by_root, "set_id", "left").select("set_id", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    out = with_classes(rows.select("key", "n_shingles", "set_id"), by_set)
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
+def with_classes(rows: DataFrame, by_set: DataFrame, hot: int = 1000) -> DataFrame:
+    """``rows(key, n_shingles, set_id)``, left joined with ``by_set(set_id, copies,
+    component_id)``, which has a row per set.
+
+    Sets of more than ``hot`` rows, or of a millionth of all rows if that is more,
+    are sent to the rows: fewer than a million of them can exist (some 64 MB). The
+    join by set then holds no hot key; rows that need none of it are spread over it.
+    """
+    most = max(hot, rows.count() // 1_000_000)
+    sent = F.broadcast(by_set.where(F.col("copies") > most).select("set_id", F.col("component_id").alias("sent"), F.lit(True).alias("is_sent")))
+    marked = rows.join(sent, "set_id", "left").withColumn("asks", F.col("is_sent").isNull() & F.col("set_id").isNotNull())
+    marked = marked.withColumn("at", F.when(F.col("asks"), F.col("set_id")).otherwise(F.xxhash64("key", F.monotonically_increasing_id())))
+    rest = by_set.where(F.col("copies") <= most).select(F.col("set_id").alias("at"), F.lit(True).alias("asks"), "component_id")
+    return marked.join(rest, ["at", "asks"], "left").select("key", "n_shingles", F.coalesce("sent", "component_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each component
     the row of its least key stays, and of repeated keys and texts the one whose

@@ -420,6 +420,16 @@ def test_jaccard_join(spark, block):
     assert [got[i] for i in range(len(texts))] == brute_join(texts)
 
 
+def test_rows_of_many_copies_get_their_class(spark):
+    rows = [(k, 1, 7) for k in range(6)] + [(6, 1, 8), (7, 1, 8), (8, 1, 9), (None, 1, 7), (9, 0, None), (None, 0, None), (9, 0, None)]
+    frame = spark.createDataFrame(rows, "key long, n_shingles long, set_id long").repartition(3)
+    by_set = spark.createDataFrame([(7, 7, 0), (8, 2, 6), (9, 1, None)], "set_id long, copies long, component_id long")
+    for hot in (1, 3, 100):
+        got = jaccard_join.with_classes(frame, by_set, hot).collect()
+        want = [(k, n, {7: 0, 8: 6}.get(s)) for k, n, s in rows]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.join(odd_docs(spark, [])).count() == 0
     kept = jaccard_join.keep_one(odd_docs(spark, [*ODD, "a b c d e f g h i j k l m"]).union(odd_docs(spark, ODD)))

@@ -72,16 +72,16 @@ def small(df: DataFrame, most_bytes: int = 128 << 20) -> DataFrame:
     return F.broadcast(df) if held <= most_bytes else df
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Inner join of ``many``, of which one key may hold a large part, with
+def join_hot(many: DataFrame, one: DataFrame, key: str, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``many``, of which one key may hold a large part, with
     ``one``, which has a row per key: by broadcast behind a check of its size, else
     by the key and a salt, so that rows of one key spread over ``salts`` tasks."""
     sent = small(one)
     if sent is not one:
-        return many.join(sent, key)
+        return many.join(sent, key, how)
     salted = one.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = many.withColumn("join_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [key, "join_salt"]).drop("join_salt")
+    return dealt.join(salted, [key, "join_salt"], how).drop("join_salt")
 
 
 def slices(batches: Iterator, text: int) -> Iterator:

@@ -60,3 +60,25 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 """
 
 ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op10_url_filters": OP10, "op9_embedding_dedup": OP9}
+
+#: crc32 over a list of bytes: the usual table, made from its polynomial.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [192 + ord(ch)::BIGINT // 64, 128 + ord(ch)::BIGINT % 64] END))"
+_CRC = "xor(list_reduce(list_concat([4294967295], {}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), ' ') || ':' || run"))} AS h FROM r, crc),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT k.word, v.word, v.n FROM k JOIN v ON k.rest = v.word UNION SELECT v.word, k.word, k.n FROM k JOIN v ON k.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'near': near}}) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.near END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM v LEFT JOIN b USING (word)),
+up(word, root, next) AS (SELECT word, word, form FROM f UNION ALL SELECT up.word, up.next, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN up ON f.word = up.word AND up.next IS NULL
+"""
+
+ORACLES["op11_spelling"] = OP11

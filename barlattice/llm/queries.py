@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, toxicity, url_filter, vector_dedup
+from . import decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter, vector_dedup
 from .common import load
 
 #: The host rules of the URL query.
@@ -108,6 +108,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), [*HOST_RULES, *url_filter.PATTERNS])
 
 
+def misspelled(doc_id: int | None) -> Callable[[str], str]:
+    """How runs of a document are changed: of those whose crc32 with its key is a
+    multiple of 97 one code point goes."""
+    head = zlib.crc32(f"{' ' if doc_id is None else doc_id}:".encode())
+
+    def change(run: str) -> str:
+        h = zlib.crc32(run.encode(), head)
+        at = h % len(run)
+        return run if h % 97 else run[:at] + run[at + 1 :]
+
+    return change
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(load(spark, sf_dir, "documents"), rewrite=misspelled)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -119,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_spelling": op11_spelling,
 }

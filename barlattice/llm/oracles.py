@@ -82,3 +82,37 @@ SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS B
 """
 
 ORACLES["op11_spelling"] = OP11
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC.format(_BYTES.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"))} % 20 AS h FROM conversations, crc),
+d AS (SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM c WHERE h <> 0),
+o AS MATERIALIZED (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini,
+        right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS fin FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN fin NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+        lag(ini) OVER (PARTITION BY c ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS rows FROM f GROUP BY c),
+ins(st, nst, k, audit, said) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']),
+        (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:'])),
+edit(st, ini, letter, nst, k, role) AS (VALUES (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (2, 'a', 'K', 3, 0, NULL), (3, 'u', 'K', 2, 0, NULL),
+        (0, NULL, 'R', 2, 3, 'user'), (1, NULL, 'R', 2, 3, 'user'), (2, NULL, 'R', 3, 3, 'assistant'), (3, NULL, 'R', 2, 3, 'user'),
+        (0, NULL, 'D', 0, 4, NULL), (1, NULL, 'D', 1, 4, NULL), (2, NULL, 'D', 2, 4, NULL), (3, NULL, 'D', 3, 4, NULL)),
+p(c, i, st, cost, audit, said) AS (
+  SELECT c, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM n
+  UNION ALL
+  SELECT c, i, st, cost, audit, said FROM (
+    SELECT p.c, f.i, edit.nst AS st, p.cost + ins.k + edit.k + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END AS cost, p.audit || ins.audit || letter AS audit,
+           p.said || ins.said || CASE WHEN letter = 'D' THEN [] ELSE [coalesce(edit.role, f.role) || ':' || f.text] END AS said
+    FROM p JOIN ins ON ins.st = p.st JOIN f ON f.c = p.c AND f.i = p.i + 1 JOIN edit ON edit.st = ins.nst AND (edit.ini IS NULL OR edit.ini = f.ini) AND (letter = 'D' OR fault NOT IN ('b', 'd'))
+    QUALIFY row_number() OVER (PARTITION BY p.c, edit.nst ORDER BY p.cost + ins.k + edit.k + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END, p.audit || ins.audit || letter) = 1)),
+e AS (SELECT p.c, p.cost + ins.k AS cost, p.audit || ins.audit AS audit, p.said || ins.said AS said FROM p JOIN n ON n.c = p.c AND n.rows = p.i JOIN ins ON ins.st = p.st AND ins.nst IN (0, 3)
+      QUALIFY row_number() OVER (PARTITION BY p.c ORDER BY p.cost + ins.k, p.audit || ins.audit) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM c) LEFT JOIN n USING (c) LEFT JOIN e USING (c)
+"""
+
+ORACLES["op12_conversation_repair"] = OP12

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter, vector_dedup
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter, vector_dedup
 from .common import load
 
 #: The host rules of the URL query.
@@ -126,6 +126,28 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with a fifth of the rows dropped, emptied, stripped of full stops,
+    repeated or given to the user, by the crc32 of conversation and turn. Dropped
+    rows stay as the names of their conversations (``present`` is false)."""
+    space = F.lit(" ")
+    named = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    kind = F.col("kind")
+    dealt = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(F.concat(named[0], F.lit(":"), named[1])) % 20).alias("kind"))
+    return dealt.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind <= 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (kind != 0).alias("present"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(load(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -138,4 +160,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
 }

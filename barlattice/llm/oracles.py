@@ -116,3 +116,13 @@ FROM (SELECT DISTINCT c, conv_id FROM c) LEFT JOIN n USING (c) LEFT JOIN e USING
 """
 
 ORACLES["op12_conversation_repair"] = OP12
+
+OP13 = """
+WITH p AS (SELECT page_id, row_number() OVER () AS r, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, first_value(page_id) OVER w AS top, first_value(r) OVER w AS top_row FROM p WINDOW w AS (PARTITION BY hex ORDER BY page_id DESC NULLS LAST, r)),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(hex, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN r = top_row THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> top_row THEN top END AS refers_to FROM b
+"""
+
+ORACLES["op13_warc"] = OP13

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter, vector_dedup
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, lm_scoring, packing, pii, quality, spelling, toxicity, url_filter, vector_dedup, warc
 from .common import load
 
 #: The host rules of the URL query.
@@ -148,6 +148,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(damaged(load(spark, sf_dir, "conversations")))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.write(load(spark, sf_dir, "pages")), payload=False)
+    return found.select(warc.page_of("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -161,4 +166,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_spelling": op11_spelling,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_warc": op13_warc,
 }

@@ -9,7 +9,9 @@ from ..functions.scalars import confidence, n_if, over, q, rate
 from ..functions.lineage import written_once
 from . import indicators as I
 from . import outcomes as O
+from . import scan as K
 from . import sessions as S
+from . import structure as T
 
 
 def session_events(bars: DataFrame) -> DataFrame:
@@ -117,17 +119,18 @@ def trades(bars: DataFrame, events: DataFrame, *, atr_n: int = 14, stop_mult: fl
     """First-touch trades from events: entry at the close of the last bar of the
     confirming session, stop by ATR, target in multiples of it. What cannot be
     traded keeps its row with the reason in ``skip``."""
-    idx = I.atr_at_entry(bars.withColumn("bar_idx", F.row_number().over(over("bar_ts")) - 1), atr_n)
-    ahead = F.collect_list(F.struct(F.col("bar_idx").alias("i"), "high", "low", "close")).over(over("bar_idx").rowsBetween(1, hold))
-    idx = idx.withColumn("ahead", ahead)
-    last = S.in_sessions(idx).groupBy("symbol", "day", F.col("session").alias("confirming")).agg(F.max_by(F.struct("bar_idx", F.col("close").alias("entry"), "atr_entry", "ahead"), "bar_idx").alias("x"))
+    idx = I.atr_at_entry(K.numbered(bars, ["symbol"], ["bar_ts"], K.day_of("bar_ts")), atr_n)
+    last = S.in_sessions(idx).groupBy("symbol", "day", F.col("session").alias("confirming")).agg(F.max_by(F.struct("bar_idx", F.col("close").alias("entry"), "atr_entry"), "bar_idx").alias("x"))
+    at = last.select("symbol", "x.bar_idx").distinct()
+    met = T.bars_between(at, idx.select("symbol", F.col("bar_idx").alias("i"), "high", "low", "close"), ("symbol",), F.col("bar_idx") + 1, F.col("bar_idx") + hold)
+    ahead = met.groupBy("symbol", "bar_idx").agg(F.array_sort(F.collect_list(F.struct("i", "high", "low", "close"))).alias("ahead"))
     confirming = F.when(F.col("event_type") == "session_range", F.col("session")).when(F.col("event_type") == "asia_sweep", "london").otherwise("new_york")
     side = (
         F.when(F.col("event_type").isin("asia_sweep", "london_sweep"), F.when(F.col("side") == "high", F.when(F.col("win"), "short").otherwise("long")).when(F.col("side") == "low", F.when(F.col("win"), "long").otherwise("short")))
         .otherwise(F.when(F.col("direction") == "bullish", "long").when(F.col("direction") == "bearish", "short"))
     )
     t = events.withColumns({"confirming": confirming, "trade_side": side}).join(last, ["symbol", "day", "confirming"], "left")
-    t = t.select("symbol", "day", "event_type", "session", "trade_side", "x.*")
+    t = t.select("symbol", "day", "event_type", "session", "trade_side", "x.*").join(ahead, ["symbol", "bar_idx"], "left")
     distance = F.col("atr_entry") * stop_mult
     sign = F.when(F.col("trade_side") == "long", 1.0).otherwise(-1.0)
     t = t.withColumns({"distance": distance, "sign": sign, "stop": F.col("entry") - sign * distance, "goal": F.col("entry") + sign * distance * target_r})
@@ -136,7 +139,7 @@ def trades(bars: DataFrame, events: DataFrame, *, atr_n: int = 14, stop_mult: fl
     reached = lambda a: F.when(long, a["high"] >= F.col("goal")).otherwise(a["low"] <= F.col("goal"))
     t = t.withColumn("hit", F.get(F.filter("ahead", lambda a: stopped(a) | reached(a)), F.lit(0))).withColumn("end", F.get("ahead", F.size("ahead") - 1))
     skip = (
-        F.when(F.col("entry").isNull(), "no_entry_candle").when(F.col("trade_side").isNull(), "no_direction").when(~(F.col("distance") > 0), "zero_atr").when(F.size("ahead") <= 0, "no_forward_bars")
+        F.when(F.col("entry").isNull(), "no_entry_candle").when(F.col("trade_side").isNull(), "no_direction").when(~(F.col("distance") > 0), "zero_atr").when(F.col("ahead").isNull(), "no_forward_bars")
     )
     t = t.withColumn("skip", skip)
     hit = F.col("hit").isNotNull()
@@ -151,28 +154,32 @@ def trades(bars: DataFrame, events: DataFrame, *, atr_n: int = 14, stop_mult: fl
     )
 
 
+#: The order in which trades are entered.
+ENTRY = ("bar_idx", "day", "event_type", "session", "symbol")
+
+
 def equity(done: DataFrame, by: list[str]) -> DataFrame:
     """Statistics of trades in their order of entry, with the largest drawdown
     from a start at zero."""
-    order = Window.partitionBy(*by).orderBy("bar_idx", "day", "event_type", "session", "symbol")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    t = done.where("skip is null").withColumn("cum", F.sum("r").over(run))
-    t = t.withColumn("dd", F.greatest(F.max("cum").over(run), F.lit(0.0)) - F.col("cum"))
+    t = done.where("skip is null")
+    fall = K.worst_fall(t, by, list(ENTRY), K.width_of("bar_idx"), "r")
     r, win, loss = F.col("r"), F.col("r") > 0, F.col("r") < 0
     gross, lost = F.sum(F.when(win, r)), -F.sum(F.when(loss, r))
-    return t.groupBy(*by).agg(
+    figures = t.groupBy(*by).agg(
         F.count("*").alias("trades"), n_if(win).alias("wins"), n_if(loss).alias("losses"), rate(n_if(win), F.count("*"), 2).alias("win_rate"),
         F.coalesce(q(F.avg(F.when(win, r)), 4), F.lit(0.0)).alias("avg_win"), F.coalesce(q(F.avg(F.when(loss, r)), 4), F.lit(0.0)).alias("avg_loss"),
-        q(F.avg(r), 4).alias("expectancy"), q(F.try_divide(F.coalesce(gross, F.lit(0.0)), lost), 4).alias("profit_factor"), q(F.sum(r), 4).alias("total_r"), q(F.max("dd"), 4).alias("max_drawdown"),
+        q(F.avg(r), 4).alias("expectancy"), q(F.try_divide(F.coalesce(gross, F.lit(0.0)), lost), 4).alias("profit_factor"), q(F.sum(r), 4).alias("total_r"),
     )
+    return figures.join(fall, by).withColumn("max_drawdown", q("max_drawdown", 4))
 
 
 def downsampled(done: DataFrame, by: list[str], points: int = 500) -> DataFrame:
     """The running sum of trades at no more than ``points`` even places, first
     and last among them."""
-    order = Window.partitionBy(*by).orderBy("bar_idx", "day", "event_type", "session", "symbol")
-    whole = Window.partitionBy(*by)
-    t = done.where("skip is null").withColumns({"k": F.row_number().over(order) - 1, "cum": F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(whole)})
+    ordered = done.where("skip is null").select(*dict.fromkeys([*by, *ENTRY, "r"]))
+    summed = K.running_sums(ordered, by, list(ENTRY), K.width_of("bar_idx"), {"cum": "r"})
+    sizes = ordered.groupBy(*by).agg(F.count("*").alias("n"))
+    t = K.numbered(summed, by, list(ENTRY), K.width_of("bar_idx"), "k").join(sizes, by)
     places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (points - 1)).cast("int"))
     return t.where((F.col("n") <= points) | F.array_contains(places, F.col("k"))).select(*by, "k", q("cum", 6).alias("cum"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import over, q
+from ..functions.scalars import q
+from . import scan as K
 
 
 def resample(trades: DataFrame, seconds: int, *, order: str = "trade_id") -> DataFrame:
@@ -54,14 +55,18 @@ def coarser(bars: DataFrame, seconds: int) -> DataFrame:
 
 
 def indexed(bars: DataFrame) -> DataFrame:
-    """``bar_idx`` from 0 in each symbol; all look-backs count bars, not time."""
-    return bars.withColumn("bar_idx", F.row_number().over(over("bar_ts")) - 1)
+    """``bar_idx`` from 0 in each symbol; all look-backs count bars, not time.
+    Days are numbered each for itself, on the bars of the days before them."""
+    return K.numbered(bars, ["symbol"], ["bar_ts"], K.day_of("bar_ts"))
 
 
 def latest(bars: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` candles of each symbol."""
-    rank = F.row_number().over(over(F.col("bar_ts").desc()))
-    return bars.withColumn("newest", rank).where(F.col("newest") <= n).drop("newest")
+    """The newest ``n`` candles of each symbol: of the days after which fewer than
+    ``n`` follow, ranked each for itself."""
+    newer = F.coalesce("scan_n", F.lit(0))
+    near = K.with_entries(bars, ["symbol"], K.day_of("bar_ts"), {"scan_n": (F.count("*"), lambda c, w: F.sum(c).over(w))}, back=True).where(newer < n)
+    rank = F.row_number().over(K.inside(["symbol"], F.col("bar_ts").desc()))
+    return near.withColumn("newest", rank + newer).where(F.col("newest") <= n).drop("newest", "scan_n", "scan_block")
 
 
 def aligned(bars: DataFrame, symbols: list[str]) -> DataFrame:

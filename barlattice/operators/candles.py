@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import over
+from . import scan as K
 
 #: Labels of (pattern, direction).
 LABELS = {
@@ -22,7 +22,7 @@ class Bar:
     """Columns of the bar ``back`` bars ago."""
 
     def __init__(self, back: int):
-        at = (lambda c: F.lag(c, back).over(over("bar_idx"))) if back else F.col
+        at = (lambda c: F.lag(c, back).over(K.over_halo(["symbol"]))) if back else F.col
         self.o, self.h, self.l, self.c = (at(x) for x in ("open", "high", "low", "close"))
         self.body = F.abs(self.c - self.o)
         self.size = self.h - self.l
@@ -82,5 +82,5 @@ def patterns(bars: DataFrame, spans: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     found = [(1, n, d) for n, d in single(b)] + [(2, n, d) for n, d in double(p, b)] + [(3, n, d) for n, d in triple(a, p, b)]
     cells = F.array(*[F.when(d.isNotNull() & (F.col("bar_idx") >= s - 1), F.struct(F.lit(s).alias("span"), F.lit(k).alias("ordinal"), F.lit(n).alias("key"), d.alias("direction"))) for k, (s, n, d) in enumerate(found) if s in spans])
     labels = F.create_map(*[F.lit(x) for (n, d), label in LABELS.items() for x in (f"{n}/{d}", label)])
-    out = bars.withColumn("cells", cells).select("symbol", "bar_idx", "bar_ts", "high", "low", F.explode(F.array_compact("cells")).alias("x"))
+    out = K.halo(bars, max(spans)).withColumn("cells", cells).where("halo_own").select("symbol", "bar_idx", "bar_ts", "high", "low", F.explode(F.array_compact("cells")).alias("x"))
     return out.select("symbol", "bar_idx", "bar_ts", "high", "low", "x.span", "x.ordinal", "x.key", "x.direction", labels[F.concat_ws("/", "x.key", "x.direction")].alias("pattern"))

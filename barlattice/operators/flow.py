@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import large_trade, over, q, tick_of
+from ..functions.scalars import large_trade, q, tick_of
+from . import scan as K
 
 
 def footprint_levels(trades: DataFrame, seconds: int) -> DataFrame:
@@ -33,7 +34,7 @@ def deltas(trades: DataFrame, seconds: int) -> DataFrame:
     """Delta of each bar and its running sum."""
     d = footprint_levels(trades, seconds).groupBy("symbol", "bar_ts").agg(F.sum("buy_vol").alias("buy"), F.sum("sell_vol").alias("sell"))
     d = d.withColumn("delta", q(F.col("buy") - F.col("sell")))
-    return d.withColumn("cvd", q(F.sum("delta").over(over("bar_ts").rowsBetween(Window.unboundedPreceding, 0))))
+    return K.running_sums(d, ["symbol"], ["bar_ts"], K.day_of("bar_ts"), {"cvd": "delta"}).withColumn("cvd", q("cvd"))
 
 
 def large_trades(trades: DataFrame, seconds: int, keep: int = 50) -> DataFrame:

@@ -1,92 +1,103 @@
-"""Volatility indicators: windows over the candles of a symbol."""
+"""Volatility indicators: windows over blocks of a symbol's candles, each with as
+many candles of the block before as the window looks back."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import over, q
+from . import scan as K
 
 #: Periods in a year of 365 days.
 PER_YEAR = {"1m": 525600, "5m": 105120, "15m": 35040, "1h": 8760, "4h": 2190, "1d": 365, "1w": 52}
 
 
-def last(n: int, by=("symbol",)) -> Window:
-    return over("bar_idx", by=by).rowsBetween(1 - n, 0)
+def near() -> WindowSpec:
+    """The candles of a block, in order."""
+    return K.over_halo(["symbol"])
 
 
-def true_range(bars: DataFrame, *, first_bar: bool = False) -> DataFrame:
-    """``tr``; the first bar's is null, or its own range with ``first_bar``."""
-    before = F.lag("close").over(over("bar_idx"))
+def last(n: int) -> WindowSpec:
+    return near().rowsBetween(1 - n, 0)
+
+
+def _true_range(first_bar: bool = False) -> Column:
+    before = F.lag("close").over(near())
     size = F.col("high") - F.col("low")
     tr = F.greatest(size, F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return bars.withColumn("tr", F.when(before.isNotNull(), tr).otherwise(size if first_bar else F.lit(None)))
+    return F.when(before.isNotNull(), tr).otherwise(size if first_bar else F.lit(None))
+
+
+def true_range(bars: DataFrame, *, first_bar: bool = False) -> DataFrame:
+    """``tr``; the first bar's is null, or its own range with ``first_bar``."""
+    return K.own(K.halo(bars, 1).withColumn("tr", _true_range(first_bar)))
 
 
 def atr(bars: DataFrame, n: int) -> DataFrame:
     """``atr``: mean of the last ``n`` true ranges, null until there are so many."""
-    ranged = true_range(bars)
-    return ranged.withColumn("atr", F.when(F.col("bar_idx") >= n, q(F.avg("tr").over(last(n)))))
+    ranged = K.halo(bars, n).withColumn("tr", _true_range())
+    return K.own(ranged.withColumn("atr", F.when(F.col("bar_idx") >= n, q(F.avg("tr").over(last(n))))))
 
 
 def atr_at_entry(bars: DataFrame, n: int) -> DataFrame:
     """``atr_entry``: mean over the last ``n`` bars, the first of which counts
     with its own range; fewer bars at the start will do."""
-    ranged = true_range(bars, first_bar=True)
-    rest = F.sum("tr").over(over("bar_idx").rowsBetween(2 - n, 0))
-    head = F.lag(F.col("high") - F.col("low"), n - 1).over(over("bar_idx"))
-    return ranged.withColumn("atr_entry", q((rest + F.coalesce(head, F.lit(0.0))) / F.least(F.col("bar_idx") + 1, F.lit(n))))
+    ranged = K.halo(bars, n).withColumn("tr", _true_range(first_bar=True))
+    rest = F.sum("tr").over(near().rowsBetween(2 - n, 0))
+    head = F.lag(F.col("high") - F.col("low"), n - 1).over(near())
+    return K.own(ranged.withColumn("atr_entry", q((rest + F.coalesce(head, F.lit(0.0))) / F.least(F.col("bar_idx") + 1, F.lit(n)))))
 
 
 def wilder_atr(bars: DataFrame, n: int) -> DataFrame:
     """``wilder``: mean of the first ``n`` true ranges, then (prior * (n-1) + tr) / n.
 
-    The recursion is a fold over the symbol's ordered true ranges.
+    Each bar is a map ``x -> x * (n-1)/n + tr/n``, the ``n``-th one a constant, and
+    maps compose: blocks of bars are folded apart and entered with what the blocks
+    before give (:func:`scan.affine`).
     """
-    folded = true_range(bars, first_bar=True).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "tr"))).alias("all"))
-    trs = F.transform("all", lambda x: x["tr"])
-    seed = F.aggregate(F.slice(trs, 1, n), F.lit(0.0), lambda a, x: a + x) / n
-    none = F.expr("cast(array() as array<double>)")
-    run = F.aggregate(
-        F.slice(trs, F.lit(n + 1), F.greatest(F.size(trs) - n, F.lit(0))),
-        F.struct(seed.alias("at"), none.alias("out")),
-        lambda s, x: F.struct(((s["at"] * (n - 1) + x) / n).alias("at"), F.array_append(s["out"], (s["at"] * (n - 1) + x) / n).alias("out")),
-        lambda s: s["out"],
-    )
-    values = F.concat(F.array(seed), run)
-    return (
-        folded.where(F.size("all") >= n)
-        .select("symbol", F.posexplode(values).alias("k", "wilder"))
-        .select("symbol", (F.col("k") + n - 1).alias("bar_idx"), q("wilder").alias("wilder"))
-    )
+    ranged = true_range(bars, first_bar=True).select("symbol", "bar_idx", "tr")
+    firsts = ranged.where(F.col("bar_idx") < n).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "tr"))).alias("firsts")).where(F.size("firsts") == n)
+    seed = firsts.select("symbol", (F.aggregate("firsts", F.lit(0.0), lambda s, x: s + x["tr"]) / n).alias("seed"))
+    later = ranged.where(F.col("bar_idx") >= n - 1).join(seed, "symbol").withColumn("k", F.col("bar_idx") - (n - 1))
+    first = F.col("k") == 0
+    step = lambda x, bar: F.when(bar["k"] == 0, bar["v"]).otherwise((x * (n - 1) + bar["v"]) / n)
+    later = later.withColumn("v", F.when(first, F.col("seed")).otherwise(F.col("tr")))
+    run = K.affine(later, ["symbol"], "k", F.when(first, 0.0).otherwise((n - 1) / n), F.when(first, F.col("seed")).otherwise(F.col("tr") / n), "wilder", step, "v")
+    return run.select("symbol", (F.col("k") + n - 1).alias("bar_idx"), q("wilder").alias("wilder"))
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """``log_return``, null at the first bar and where a price is not positive."""
-    before = F.lag("close").over(over("bar_idx"))
-    return bars.withColumn("log_return", F.when((before > 0) & (F.col("close") > 0), F.log(F.col("close") / before)))
+    return K.own(K.halo(bars, 1).withColumn("log_return", _log_return()))
+
+
+def _log_return() -> Column:
+    before = F.lag("close").over(near())
+    return F.when((before > 0) & (F.col("close") > 0), F.log(F.col("close") / before))
 
 
 def realized_vol(bars: DataFrame, n: int, per_year: int) -> DataFrame:
     """``realized_vol``: yearly percent from the last ``n`` log returns."""
     sd = F.stddev_samp("log_return").over(last(n))
-    return log_returns(bars).withColumn("realized_vol", F.when(F.col("bar_idx") >= n, q(sd * math.sqrt(per_year) * 100, 4)))
+    known = K.halo(bars, n).withColumn("log_return", _log_return())
+    return K.own(known.withColumn("realized_vol", F.when(F.col("bar_idx") >= n, q(sd * math.sqrt(per_year) * 100, 4))))
 
 
 def band_width(bars: DataFrame, n: int = 20, sds: float = 2.0) -> DataFrame:
     """``width``: Bollinger band width over its middle, full frames only."""
     mid, sd = F.avg("close").over(last(n)), F.stddev_pop("close").over(last(n))
-    return bars.withColumn("width", F.when((F.col("bar_idx") >= n - 1) & (mid > 0), q(2 * sds * sd / mid)))
+    return K.own(K.halo(bars, n).withColumn("width", F.when((F.col("bar_idx") >= n - 1) & (mid > 0), q(2 * sds * sd / mid))))
 
 
 def squeeze(bars: DataFrame, n: int = 20, look: int = 100) -> DataFrame:
     """``squeeze_pct``: share of the last ``look`` widths that are not above the newest."""
-    widths = band_width(bars, n).where("width is not null")
-    ahead = F.collect_list("width").over(last(look))
+    widths = K.numbered(band_width(bars, n).where("width is not null"), ["symbol"], ["bar_idx"], K.width_of("bar_idx"), "width_idx")
+    ahead = F.collect_list("width").over(K.over_halo(["symbol"], "width_idx").rowsBetween(1 - look, 0))
     share = F.size(F.filter(ahead, lambda w: w <= F.col("width"))) / F.size(ahead)
-    return widths.withColumn("squeeze_pct", q(share * 100, 4))
+    return K.own(K.halo(widths, look, index="width_idx").withColumn("squeeze_pct", q(share * 100, 4))).drop("width_idx")
 
 
 def prior_median(days: DataFrame, value: str, n: int = 30, least: int = 5) -> Column:
@@ -106,11 +117,12 @@ def adr_used(days: DataFrame, n: int = 14) -> DataFrame:
 def volatility_state(bars: DataFrame, per_year: int) -> DataFrame:
     """One row per symbol, of its newest bar: ATRs, volatility, squeeze, state."""
     wide = squeeze(realized_vol(atr(bars, 14).withColumnRenamed("atr", "atr14"), 30, per_year).drop("tr"))
-    wide = true_range(wide).withColumn("atr50", F.when(F.col("bar_idx") >= 50, q(F.avg("tr").over(last(50)))))
+    ranged = K.halo(wide, 50).withColumn("tr", _true_range())
+    wide = K.own(ranged.withColumn("atr50", F.when(F.col("bar_idx") >= 50, q(F.avg("tr").over(last(50))))))
     ratio = F.try_divide(F.col("atr14"), F.col("atr50"))
     state = F.when(F.col("squeeze_pct") <= 25, "contracting").when(ratio >= 1.15, "expanding").when(ratio <= 0.85, "contracting").otherwise("neutral")
-    newest = F.row_number().over(over(F.col("bar_idx").desc()))
-    return wide.withColumn("newest", newest).where("newest = 1").select("symbol", "bar_ts", "atr14", "atr50", "realized_vol", "width", "squeeze_pct", state.alias("state"))
+    figures = ["bar_ts", "atr14", "atr50", "realized_vol", "width", "squeeze_pct", "state"]
+    return wide.withColumn("state", state).groupBy("symbol").agg(F.max_by(F.struct(*figures), "bar_idx").alias("x")).select("symbol", "x.*")
 
 
 def pearson(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -132,7 +144,7 @@ def return_pairs(bars: DataFrame) -> DataFrame:
         raise ValueError(f"{total} symbols are too many to correlate pair by pair; {MOST_SYMBOLS} at most")
     common = bars.groupBy("bar_ts").agg(F.countDistinct("symbol").alias("n")).where(F.col("n") == total).select("bar_ts")
     shared = bars.join(common, "bar_ts")
-    shared = shared.withColumn("bar_idx", F.row_number().over(over("bar_ts")) - 1)
+    shared = K.numbered(shared, ["symbol"], ["bar_ts"], K.day_of("bar_ts"))
     r = log_returns(shared).where("bar_idx > 0").select("symbol", "bar_idx", F.coalesce("log_return", F.lit(0.0)).alias("ret"))
     a, b = r.select(F.col("symbol").alias("a"), "bar_idx", F.col("ret").alias("x")), r.select(F.col("symbol").alias("b"), "bar_idx", F.col("ret").alias("y"))
     return a.join(b, "bar_idx").where("a < b").withColumn("idx", F.col("bar_idx") - 1)

@@ -21,14 +21,14 @@ def _cents(x) -> Column:
 
 
 def grades(hourly: DataFrame, four_hourly: DataFrame, *, near: float = 0.5, cap: float = 2.0) -> DataFrame:
-    """One row per symbol. Both inputs are indexed bars, cut to what is wanted.
+    """One row per symbol. Both inputs are indexed bars, cut to a few hundred a symbol.
 
     Every factor is an aggregate per symbol, joined to the symbol's row; there
     is no loop over symbols. Bars and structures, some hundred rows a symbol, are
     written once, since a dozen parts read them.
     """
     hourly, four_hourly = written_once(hourly, "h1"), written_once(four_hourly, "h4")
-    h1, h4 = T.of(hourly), T.of(four_hourly)
+    h1, h4 = T.of(hourly, short=True), T.of(four_hourly, short=True)
     now = hourly.groupBy("symbol").agg(F.max_by("close", "bar_idx").alias("price"), F.max("bar_ts").alias("as_of"), F.count("*").alias("n_bars"))
     known = written_once(T.structures(h1, 20, 5), "structures")
     t1 = T.trend(h1, 5, known).withColumnRenamed("trend_bias", "t1")

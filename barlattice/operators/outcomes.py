@@ -15,15 +15,18 @@ AHEAD = {"ob": 24, "fvg": 48, "bos": 8, "choch": 12, "eq": 6, "sweep": 12}
 MOVE = {"bos": 0.3, "choch": 0.5, "eq": 0.3, "sweep": 1.0}
 
 
-def windows(bars: DataFrame) -> T.Series:
+def windows(bars: DataFrame, since: DataFrame | None = None) -> T.Series:
     """Indexed bars dealt to overlapping windows: every ``STEP`` bars a window of
     ``WINDOW`` begins, as long as a bar follows it. A bar stands in at most
-    WINDOW / STEP windows, and (symbol, win) spreads a single symbol's history."""
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    first = F.ceil(F.greatest(F.col("bar_idx") - (WINDOW - 1), F.lit(0)) / STEP).cast("int")
+    WINDOW / STEP windows, and (symbol, win) spreads a single symbol's history.
+    ``since`` has the ``open_win`` of symbols whose earlier windows are left out."""
+    sizes = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("held"))
+    sizes = sizes.withColumn("open_win", F.lit(0)) if since is None else sizes.join(since, "symbol", "left")
+    n = F.col("held")
+    first = F.ceil(F.greatest(F.col("bar_idx") - (WINDOW - 1), F.coalesce("open_win", F.lit(0))) / STEP).cast("int")
     last = F.least(F.floor(F.col("bar_idx") / STEP), F.floor((n - WINDOW - 1) / STEP)).cast("int")
-    dealt = bars.withColumns({"first": first, "last": last}).where("last >= first").withColumn("win", F.explode(F.sequence("first", "last")))
-    return T.Series(dealt.withColumn("win", F.col("win") * STEP).withColumn("i", F.col("bar_idx") - F.col("win")).drop("first", "last"), ("symbol", "win"))
+    dealt = bars.join(sizes, "symbol").withColumns({"first": first, "last": last}).drop("held", "open_win").where("last >= first").withColumn("win", F.explode(F.sequence("first", "last")))
+    return T.Series(dealt.withColumn("win", F.col("win") * STEP).withColumn("i", F.col("bar_idx") - F.col("win")).drop("first", "last"), ("symbol", "win"), short=True)
 
 
 def found(s: T.Series, swing: int = 20, internal: int = 5, known: DataFrame | None = None) -> DataFrame:
@@ -47,18 +50,21 @@ def found(s: T.Series, swing: int = 20, internal: int = 5, known: DataFrame | No
     return every.withColumn("nth", first).where("nth = 1").drop("nth")
 
 
-def evaluated(bars: DataFrame, swing: int = 20, internal: int = 5) -> DataFrame:
-    """One row per structure with its outcome flags; those without a later bar go."""
+def evaluated(bars: DataFrame, swing: int = 20, internal: int = 5, since: DataFrame | None = None) -> DataFrame:
+    """One row per structure with its outcome flags; those without a later bar go.
+    With ``since`` (:func:`windows`) only the windows from there on are evaluated."""
     bars = written_once(bars, "bars")
-    s = windows(bars)
+    s = windows(bars, since)
     known = written_once(T.structures(s, swing, internal), "structures")
-    f = found(s, swing, internal, known)
+    f = written_once(found(s, swing, internal, known), "found")
     trend = T.trend(s, internal, known)
-    w = Window.partitionBy("symbol").orderBy("bar_idx")
-    after = F.collect_list(F.struct(F.col("bar_idx").alias("i"), "high", "low", "close")).over(w.rowsBetween(1, max(AHEAD.values())))
-    ahead = bars.select("symbol", F.col("bar_idx").alias("idx"), "bar_ts", after.alias("after"))
+    # only bars with a structure look ahead
+    at = f.select("symbol", "idx").distinct()
+    met = T.bars_between(at, bars.select("symbol", F.col("bar_idx").alias("i"), "high", "low", "close"), ("symbol",), F.col("idx") + 1, F.col("idx") + max(AHEAD.values()))
+    ahead = met.groupBy("symbol", "idx").agg(F.array_sort(F.collect_list(F.struct("i", "high", "low", "close"))).alias("after"))
+    times = bars.select("symbol", F.col("bar_idx").alias("idx"), "bar_ts")
     # a window sees no further than 48 bars beyond its end
-    j = f.join(ahead, ["symbol", "idx"]).join(trend, ["symbol", "win"], "left")
+    j = f.join(ahead, ["symbol", "idx"]).join(times, ["symbol", "idx"]).join(trend, ["symbol", "win"], "left")
     length = F.create_map(*[F.lit(x) for kv in AHEAD.items() for x in kv])[F.col("kind")]
     seen = F.filter("after", lambda a: (a["i"] < F.col("win") + WINDOW + 48) & (a["i"] <= F.col("idx") + F.col("length")))
     j = j.withColumn("length", length).withColumn("seen", seen).where("size(seen) > 0")
@@ -99,6 +105,23 @@ def evaluated(bars: DataFrame, swing: int = 20, internal: int = 5) -> DataFrame:
     )
 
 
+def open_windows(seen: DataFrame) -> DataFrame:
+    """``symbol, open_win``: the first window that could still change when bars follow
+    the first ``seen`` bars of a symbol. A window sees WINDOW + 48 bars."""
+    return seen.select("symbol", (F.ceil(F.greatest(F.col("seen") - (WINDOW + 48 - 1), F.lit(0)) / STEP) * STEP).cast("int").alias("open_win"))
+
+
+def extended(stored: DataFrame, bars: DataFrame, seen: DataFrame, swing: int = 20, internal: int = 5) -> DataFrame:
+    """What :func:`evaluated` gives for ``bars``, from what it gave (``stored``) for the
+    first ``seen(symbol, seen)`` of them: outcomes of windows that can change no more
+    stay, and of the bars only those from the first open window on are read."""
+    open_ = written_once(open_windows(seen), "open")
+    tail = bars.join(open_, "symbol", "left").where(F.col("bar_idx") >= F.coalesce("open_win", F.lit(0))).drop("open_win")
+    settled = stored.join(open_, "symbol").where(F.col("win") < F.col("open_win")).drop("open_win")
+    new = evaluated(tail, swing, internal, open_)
+    return settled.unionByName(new.join(settled.select("symbol", "kind", "idx"), ["symbol", "kind", "idx"], "left_anti"))
+
+
 def summary(events: DataFrame, *by: str) -> DataFrame:
     """Counts and rates per kind, each with the figures that it has."""
     n = F.count("*")

@@ -2,18 +2,24 @@
 
 Detectors take bars with the columns of ``by`` and ``i`` (the bar's place in its
 series) and never loop: what looks sequential is a window, a conditional
-minimum or a last value carried forward. Tests of "exists later" are windows over
-what follows where few bars do, and else joins by blocks of bars (:func:`bars_between`),
-whose work grows with the history and not with its square.
+minimum or a last value carried forward. A window that looks a bounded number of
+bars back or ahead runs by blocks of bars with a halo, and what is carried over a
+whole history goes from block to block (:mod:`scan`), so that one series spreads
+over tasks. Tests of "exists later" are suffix scans, joins by blocks of bars
+(:func:`bars_between`), or ask the blocks' extremes first (:func:`first_beyond`);
+their work grows with the history and not with its square.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written_once
+from . import scan as K
+
 BULL, BEAR = 1, -1
 #: Pivot lengths (swing, internal) of a timeframe.
 LENGTHS = {"1m": (50, 5), "5m": (50, 5), "15m": (20, 5), "1h": (20, 5), "4h": (10, 5), "1d": (10, 5), "1w": (10, 5)}
@@ -21,14 +27,35 @@ LENGTHS = {"1m": (50, 5), "5m": (50, 5), "15m": (20, 5), "1h": (20, 5), "4h": (1
 
 @dataclass(frozen=True)
 class Series:
-    """Bars with the columns that identify a series."""
+    """Bars with the columns that identify a series; ``short`` ones have a bound
+    and are one window each; ``kept`` ones are read from files."""
 
     bars: DataFrame
     by: tuple[str, ...] = ("symbol",)
+    short: bool = False
+    kept: bool = False
 
     def w(self, *order):
         return Window.partitionBy(*self.by).orderBy(*(order or ("i",)))
 
+    def near(self, before: int = 0, after: int = 0) -> tuple[DataFrame, WindowSpec]:
+        """The bars and a window in whose frames each bar sees so many others; only
+        the bars with ``halo_own`` are to stay."""
+        if self.short:
+            return self.bars.withColumn("halo_own", F.lit(True)), self.w()
+        return K.halo(self.bars, before, after, "i"), K.over_halo(list(self.by), "i")
+
+    def block(self, index: str = "i", width: int = K.WIDTH) -> Column | None:
+        return None if self.short else K.width_of(index, width)
+
+    def once(self, df: DataFrame, tag: str) -> DataFrame:
+        """What a scan reads twice, from files where a series is long."""
+        return df if self.short else written_once(df, tag)
+
+    def keep(self) -> Series:
+        """The same series for an operator that reads its bars many times."""
+        return self if self.short or self.kept else Series(written_once(self.bars, "bars"), self.by, kept=True)
+
 
 def bars_between(rows: DataFrame, bars: DataFrame, by: tuple[str, ...], start: Column, stop: Column, width: int = 256) -> DataFrame:
     """``rows`` joined to the ``bars`` with ``start <= i <= stop``: by the series
@@ -40,6 +67,34 @@ def bars_between(rows: DataFrame, bars: DataFrame, by: tuple[str, ...], start: C
     return met.where((F.col("i") >= F.col("span_start")) & (F.col("i") <= F.col("span_stop"))).drop("span_start", "span_stop", "span_block")
 
 
+def first_beyond(rows: DataFrame, s: Series, keys: list[str], start: Column, stop: Column, width: int = 128) -> DataFrame:
+    """``rows`` (``side`` high or low, ``price``; one row for each of ``keys``) with ``x``, the
+    first bar from ``start`` to ``stop`` that goes beyond the price and does not
+    close on it; rows without one go.
+
+    Blocks of bars are asked first: only one whose extreme lies beyond the price
+    can hold the bar. The first two of those are joined; where every bar beyond in
+    them lies outside the span or closes on the price, the row meets the others.
+    """
+    rows = rows.withColumns({"span_start": start, "span_stop": stop}).where("span_stop >= span_start")
+    bars = s.bars.select(*s.by, "i", "bar_ts", "high", "low", "close").withColumn("span_block", F.floor(F.col("i") / width).cast("int"))
+    high = F.col("side") == "high"
+    beyond = F.when(high, F.col("high") > F.col("price")).otherwise(F.col("low") < F.col("price")) & (F.col("close") != F.col("price")) & F.col("i").between(F.col("span_start"), F.col("span_stop"))
+    bar = F.struct("i", "bar_ts", "high", "low", "close")
+    id_ = [*s.by, *keys]
+    if s.short:
+        met = bars_between(rows.withColumns({"from": F.col("span_start"), "to": F.col("span_stop")}), bars.drop("span_block"), s.by, F.col("from"), F.col("to"))
+        return met.withColumns({"span_start": F.col("from"), "span_stop": F.col("to")}).where(beyond).groupBy(*id_).agg(F.min_by(bar, "i").alias("x"))
+    summaries = bars.groupBy(*s.by, "span_block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    asked = rows.withColumn("span_block", F.explode(F.sequence(F.floor(F.col("span_start") / width).cast("int"), F.floor(F.col("span_stop") / width).cast("int"))))
+    may = asked.join(summaries, [*s.by, "span_block"]).where(F.when(high, F.col("top") > F.col("price")).otherwise(F.col("bottom") < F.col("price")))
+    order = F.row_number().over(Window.partitionBy(*id_).orderBy("span_block"))
+    ranked = may.withColumn("turn", order).select(*id_, "span_start", "span_stop", "span_block", "turn")
+    found = ranked.where("turn <= 2").join(bars, [*s.by, "span_block"]).where(beyond).groupBy(*id_).agg(F.min_by(bar, "i").alias("x"))
+    rest = ranked.where("turn > 2").join(found, id_, "left_anti").join(bars, [*s.by, "span_block"]).where(beyond).groupBy(*id_).agg(F.min_by(bar, "i").alias("x"))
+    return found.unionByName(rest)
+
+
 def enough(bars: DataFrame, least: int, by: tuple[str, ...] = ("symbol",), what: str | None = None) -> DataFrame:
     """The rows of the series that have ``least`` rows, or distinct values of
     ``what``, at least; the others go whole."""
@@ -53,15 +108,16 @@ def long_enough(bars: DataFrame, swing: int, by: tuple[str, ...] = ("symbol",))
     return enough(bars, 2 * swing + 1, by)
 
 
-def of(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> Series:
-    """A series from indexed bars."""
-    return Series(bars.withColumnRenamed("bar_idx", "i"), by)
+def of(bars: DataFrame, by: tuple[str, ...] = ("symbol",), short: bool = False) -> Series:
+    """A series from indexed bars; ``short`` if each was cut to a few hundred of them."""
+    return Series(bars.withColumnRenamed("bar_idx", "i"), by, short)
 
 
 def pivots(s: Series, k: int) -> DataFrame:
     """``side, i, price, bar_ts``: extremes of the ``k`` bars on either side;
     equals are allowed on the left only."""
-    left, right = s.w().rowsBetween(-k, -1), s.w().rowsBetween(1, k)
+    bars, w = s.near(k, k)
+    left, right = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
     high = (F.max("high").over(left) <= F.col("high")) & (F.max("high").over(right) < F.col("high"))
     low = (F.min("low").over(left) >= F.col("low")) & (F.min("low").over(right) > F.col("low"))
     full = (F.count("*").over(left) == k) & (F.count("*").over(right) == k)
@@ -71,30 +127,25 @@ def pivots(s: Series, k: int) -> DataFrame:
             F.when(full & low, F.struct(F.lit("low").alias("side"), F.col("low").alias("price"))),
         )
     )
-    return s.bars.withColumn("cells", cells).select(*s.by, "i", "bar_ts", F.explode("cells").alias("x")).select(*s.by, "i", "bar_ts", "x.side", "x.price")
+    return bars.withColumn("cells", cells).where("halo_own").select(*s.by, "i", "bar_ts", F.explode("cells").alias("x")).select(*s.by, "i", "bar_ts", "x.side", "x.price")
 
 
 def _crossings(s: Series, k: int, ahead: int) -> DataFrame:
     """Breaks of the standing pivots, in the order in which pivots reveal them.
 
     At each pivot the newest high and low stand; the first close beyond one
-    within ``ahead`` bars crosses it, once. Closes ahead travel as a bounded
-    array on the pivot's bar.
+    within ``ahead`` bars crosses it, once. ``seq`` orders pivots: two places for
+    each bar, its high and its low.
     """
-    closes = F.collect_list(F.struct("i", "close")).over(s.w().rowsBetween(1, ahead))
-    marked = s.bars.select(*s.by, "i", closes.alias("ahead"))
-    p = pivots(s, k).join(marked, [*s.by, "i"])
     high = F.col("side") == "high"
-    order = s.w("i", F.when(high, 0).otherwise(1))
-    e = p.withColumn("seq", F.row_number().over(order))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    for side, is_side in (("up", high), ("down", ~high)):
-        e = e.withColumn(side, F.last(F.when(is_side, F.struct("seq", "i", "price", "bar_ts")), ignorenulls=True).over(so_far))
-    e = e.withColumns(
-        {
-            "up_x": F.get(F.filter("ahead", lambda a: a["close"] > F.col("up.price")), F.lit(0))["i"],
-            "down_x": F.get(F.filter("ahead", lambda a: a["close"] < F.col("down.price")), F.lit(0))["i"],
-        }
+    p = s.once(pivots(s, k).withColumn("seq", F.col("i") * 2 + F.when(high, 0).otherwise(1)), "pivots")
+    own = F.struct("seq", "i", "price", "bar_ts")
+    e = K.carried(p, list(s.by), [F.col("seq")], s.block(), {"up": F.when(high, own), "down": F.when(~high, own)})
+    closes = s.bars.select(*s.by, "i", "close")
+    near = bars_between(e.drop("side", "price", "bar_ts").withColumnRenamed("i", "at"), closes, s.by, F.col("at") + 1, F.col("at") + ahead)
+    x = near.groupBy(*s.by, "seq").agg(
+        F.first("up").alias("up"), F.first("down").alias("down"),
+        F.min(F.when(F.col("close") > F.col("up.price"), F.col("i"))).alias("up_x"), F.min(F.when(F.col("close") < F.col("down.price"), F.col("i"))).alias("down_x"),
     )
     sides = F.array_compact(
         F.array(
@@ -102,26 +153,39 @@ def _crossings(s: Series, k: int, ahead: int) -> DataFrame:
             F.when(F.col("down_x").isNotNull(), F.struct(F.lit(BEAR).alias("bias"), F.col("down").alias("pivot"), F.col("down_x").alias("end_index"))),
         )
     )
-    out = e.select(*s.by, "seq", F.explode(sides).alias("x")).select(*s.by, "seq", "x.bias", "x.pivot", "x.end_index")
-    first = F.row_number().over(Window.partitionBy(*s.by, "bias", "pivot.seq").orderBy("seq"))
-    return out.withColumn("nth", first).where("nth = 1").drop("nth")
+    out = x.select(*s.by, "seq", F.explode(sides).alias("x")).select(*s.by, "seq", "x.bias", "x.pivot", "x.end_index")
+    once = out.groupBy(*s.by, "bias", F.col("pivot.seq").alias("pivot_seq")).agg(F.min_by(F.struct("seq", "pivot", "end_index"), "seq").alias("x"))
+    return s.once(once.select(*s.by, "x.seq", "bias", "x.pivot", "x.end_index"), "crossings")
+
+
+def _listed(s: Series, crossings: DataFrame) -> DataFrame:
+    """Crossings with their place in list order, ``ord`` from 0, and the bias
+    ``before`` each."""
+    order = [F.col("seq"), F.when(F.col("bias") == BULL, 0).otherwise(1)]
+    totals = {"scan_n": (F.count("*"), lambda c, w: F.sum(c).over(w)), "scan_bias": (F.max_by("bias", F.struct(*order)), lambda c, w: F.last(c).over(w))}
+    w = K.inside(list(s.by), *order)
+    placed = K.with_entries(crossings, list(s.by), s.block("seq", 2 * K.WIDTH), totals)
+    ord_, before = F.row_number().over(w) - 1 + F.coalesce("scan_n", F.lit(0)), F.coalesce(F.lag("bias").over(w), "scan_bias")
+    return placed.withColumns({"ord": ord_.cast("int"), "before": before}).drop("scan_n", "scan_bias", "scan_block")
 
 
 def breaks(s: Series, k: int, ahead: int = 49) -> DataFrame:
     """``ord, type, bias, level, start_index, end_index``: BOS, or CHoCH where the
     bias turns."""
-    order = s.w("seq", F.when(F.col("bias") == BULL, 0).otherwise(1))
-    c = _crossings(s, k, ahead)
-    turned = F.lag("bias").over(order) == -F.col("bias")
-    return c.withColumns({"ord": F.row_number().over(order), "type": F.when(turned, "CHoCH").otherwise("BOS")}).select(
+    c = _listed(s, _crossings(s, k, ahead))
+    turned = F.col("before") == -F.col("bias")
+    return c.withColumns({"ord": F.col("ord") + 1, "type": F.when(turned, "CHoCH").otherwise("BOS")}).select(
         *s.by, "ord", "type", "bias", F.col("pivot.price").alias("level"), F.col("pivot.i").alias("start_index"), "end_index"
     )
 
 
 def structures(s: Series, swing: int, internal: int) -> DataFrame:
     """Breaks of both passes as one list: ``pass`` 0 swing, 1 internal; ``ord`` goes on."""
-    both = breaks(s, swing).withColumn("pass", F.lit(0)).unionByName(breaks(s, internal).withColumn("pass", F.lit(1)))
-    return both.withColumn("ord", F.row_number().over(s.w("pass", "ord")))
+    s = s.keep()
+    first, second = breaks(s, swing).withColumn("pass", F.lit(0)), breaks(s, internal).withColumn("pass", F.lit(1))
+    n = first.groupBy(*s.by).agg(F.max("ord").alias("n"))
+    later = second.join(n, list(s.by), "left").withColumn("ord", F.col("ord") + F.coalesce("n", F.lit(0))).drop("n")
+    return first.unionByName(later)
 
 
 def trend(s: Series, internal: int, known: DataFrame | None = None) -> DataFrame:
@@ -138,19 +202,29 @@ def newest(df: DataFrame, s: Series, order: list, n: int) -> DataFrame:
     return df.withColumn("nth", rank).where(F.col("nth") <= n).drop("nth")
 
 
+def later_extremes(s: Series) -> DataFrame:
+    """The bars with the lowest low and highest high of all bars after each: in its
+    block, and of the blocks that follow."""
+    w = Window.partitionBy(*s.by, "scan_block").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    totals = {"scan_low": (F.min("low"), lambda c, v: F.min(c).over(v)), "scan_high": (F.max("high"), lambda c, v: F.max(c).over(v))}
+    out = K.with_entries(s.bars, list(s.by), s.block(), totals, back=True)
+    return out.withColumns({"later_low": F.least(F.min("low").over(w), "scan_low"), "later_high": F.greatest(F.max("high").over(w), "scan_high")}).drop("scan_block", "scan_low", "scan_high")
+
+
 def gaps(s: Series, keep: int | None = 20) -> DataFrame:
     """Fair value gaps that later bars have not closed, the last ``keep``."""
-    before = lambda c: F.lag(c, 2).over(s.w())
-    after = s.w().rowsBetween(1, Window.unboundedFollowing)
+    later = later_extremes(s)
+    bars, w = Series(later, s.by, s.short).near(before=2)
+    before = lambda c: F.lag(c, 2).over(w)
     up, down = F.col("low") > before("high"), F.col("high") < before("low")
-    later_low, later_high = F.min("low").over(after), F.max("high").over(after)
+    later_low, later_high = F.col("later_low"), F.col("later_high")
     cells = F.array_compact(
         F.array(
             F.when(up, F.struct(F.lit(BULL).alias("bias"), F.col("low").alias("top"), before("high").alias("bottom"), F.coalesce(later_low < before("high"), F.lit(False)).alias("mitigated"))),
             F.when(down, F.struct(F.lit(BEAR).alias("bias"), before("low").alias("top"), F.col("high").alias("bottom"), F.coalesce(later_high > before("low"), F.lit(False)).alias("mitigated"))),
         )
     )
-    found = s.bars.withColumns({"cells": cells, "mid_ts": F.lag("bar_ts").over(s.w())}).select(*s.by, (F.col("i") - 1).alias("bar_index"), "mid_ts", F.explode("cells").alias("x"))
+    found = bars.withColumns({"cells": cells, "mid_ts": F.lag("bar_ts").over(w)}).where("halo_own").select(*s.by, (F.col("i") - 1).alias("bar_index"), "mid_ts", F.explode("cells").alias("x"))
     out = found.select(*s.by, "bar_index", F.col("mid_ts").alias("bar_ts"), "x.*").where("not mitigated").drop("mitigated")
     return out if keep is None else newest(out, s, ["bar_index", F.when(F.col("bias") == BULL, 0).otherwise(1)], keep)
 
@@ -158,9 +232,10 @@ def gaps(s: Series, keep: int | None = 20) -> DataFrame:
 def _origins(s: Series, found: DataFrame, side_of_bull: str) -> DataFrame:
     """Breaks with the extreme bar (``ob_*``) of the 10 bars before their pivot
     and the pivot itself. ``side_of_bull``: the extreme taken for bullish breaks."""
-    w = s.w().rowsBetween(-10, 0)
+    bars, near = s.near(before=10)
+    w = near.rowsBetween(-10, 0)
     lowest, highest = F.min(F.struct("low", "i", "high", "bar_ts")).over(w), F.min(F.struct((-F.col("high")).alias("neg"), "i", "high", "low", "bar_ts")).over(w)
-    marks = s.bars.select(*s.by, F.col("i").alias("start_index"), lowest.alias("lowest"), highest.alias("highest"))
+    marks = bars.select(*s.by, F.col("i").alias("start_index"), lowest.alias("lowest"), highest.alias("highest"), "halo_own").where("halo_own").drop("halo_own")
     use_low = (F.col("bias") == BULL) if side_of_bull == "low" else (F.col("bias") == BEAR)
     j = found.join(marks, [*s.by, "start_index"])
     pick = lambda c: F.when(use_low, F.col(f"lowest.{c}")).otherwise(F.col(f"highest.{c}"))
@@ -170,9 +245,9 @@ def _origins(s: Series, found: DataFrame, side_of_bull: str) -> DataFrame:
 def order_blocks(s: Series, swing: int, internal: int, keep: int = 10, known: DataFrame | None = None) -> DataFrame:
     """Extreme bars before the last ``2 * keep`` breaks that no later bar has
     passed. ``known``: the series' structures, if they are at hand."""
+    s = s.keep()
     recent = newest(structures(s, swing, internal) if known is None else known, s, ["ord"], 2 * keep)
-    after = s.w().rowsBetween(1, Window.unboundedFollowing)
-    later = s.bars.select(*s.by, F.col("i").alias("ob_index"), F.min("low").over(after).alias("later_low"), F.max("high").over(after).alias("later_high"))
+    later = later_extremes(s).select(*s.by, F.col("i").alias("ob_index"), "later_low", "later_high")
     o = _origins(s, recent, "low").join(later, [*s.by, "ob_index"])
     passed = F.when(F.col("bias") == BULL, F.col("later_low") < F.col("ob_low")).otherwise(F.col("later_high") > F.col("ob_high"))
     open_ = o.where(~F.coalesce(passed, F.lit(False)))
@@ -201,10 +276,11 @@ def recent_equal_levels(s: Series, swing: int, share: float = 0.7, keep: int = 1
 
 
 def _labelled(p: DataFrame, s: Series, equal: tuple[str, str]) -> DataFrame:
-    before = F.lag("price").over(Window.partitionBy(*s.by, "side").orderBy("i"))
+    before = F.col("before")
     high = F.col("side") == "high"
     label = F.when(F.col("price") > before, F.when(high, "HH").otherwise("HL")).when(F.col("price") < before, F.when(high, "LH").otherwise("LL")).otherwise(F.when(high, equal[0]).otherwise(equal[1]))
-    out = p.withColumns({"before": before, "label": label}).where("before is not null")
+    marked = K.carried(p, [*s.by, "side"], [F.col("i")], s.block(), {"before": F.col("price")}, own=False)
+    out = marked.withColumn("label", label).where("before is not null")
     bias = F.when(F.col("label").isin("HH", "HL"), BULL).when(F.col("label").isin("LH", "LL"), BEAR).otherwise(0)
     return out.select(*s.by, "side", "i", "bar_ts", "price", "label", bias.alias("bias"))
 
@@ -216,7 +292,8 @@ def swing_labels(s: Series, swing: int) -> DataFrame:
 
 def fractals(s: Series) -> DataFrame:
     """Five-bar fractals, flat tops allowed to reach up to three bars right."""
-    at = lambda c, k: (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(s.w())
+    bars, w = s.near(2, 5)
+    at = lambda c, k: (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w)
 
     def test(c: str, sign: int) -> Column:
         v = {k: sign * at(c, k) for k in (-2, -1, 1, 2, 3, 4, 5)}
@@ -232,7 +309,7 @@ def fractals(s: Series) -> DataFrame:
 
     cells = F.array_compact(F.array(
         F.when(test("high", 1), F.struct(F.lit("high").alias("side"), F.col("high").alias("price"))), F.when(test("low", -1), F.struct(F.lit("low").alias("side"), F.col("low").alias("price")))))
-    found = s.bars.withColumn("cells", cells).select(*s.by, "i", "bar_ts", F.explode("cells").alias("x")).select(*s.by, "i", "bar_ts", "x.side", "x.price")
+    found = bars.withColumn("cells", cells).where("halo_own").select(*s.by, "i", "bar_ts", F.explode("cells").alias("x")).select(*s.by, "i", "bar_ts", "x.side", "x.price")
     return _labelled(found, s, ("EH", "EL"))
 
 
@@ -240,14 +317,11 @@ def liquidity_sweeps(s: Series, internal: int, reach: int = 2000) -> DataFrame:
     """Pivots whose first break was a wick that closed back: one row each.
 
     The first bar beyond the pivot that does not close on it decides, among the
-    ``reach`` bars after it: a join by blocks of bars and one grouped minimum.
+    ``reach`` bars after it (:func:`first_beyond`).
     """
     p = pivots(s, internal).select(*s.by, "side", F.col("i").alias("pivot_index"), "price")
-    b = s.bars.select(*s.by, "i", "bar_ts", "high", "low", "close")
     high = F.col("side") == "high"
-    beyond = F.when(high, F.col("high") > F.col("price")).otherwise(F.col("low") < F.col("price"))
-    hits = bars_between(p, b, s.by, F.col("pivot_index") + internal, F.col("pivot_index") + reach).where(beyond & (F.col("close") != F.col("price")))
-    first = hits.groupBy(*s.by, "side", "pivot_index", "price").agg(F.min_by(F.struct("i", "bar_ts", "high", "low", "close"), "i").alias("x"))
+    first = first_beyond(p, s, ["side", "pivot_index", "price"], F.col("pivot_index") + internal, F.col("pivot_index") + reach)
     wick = F.when(high, F.col("x.close") < F.col("price")).otherwise(F.col("x.close") > F.col("price"))
     return first.where(wick).select(
         *s.by, "pivot_index", F.col("price").alias("level"), F.col("x.i").alias("bar_index"), F.col("x.bar_ts").alias("bar_ts"),
@@ -272,6 +346,7 @@ def sweep_areas(s: Series, internal: int, keep: int = 20, reach: int = 299) -> D
 
 def breaker_blocks(s: Series, swing: int, internal: int, keep: int = 10) -> DataFrame:
     """Opposite order blocks that were passed before the break and touched after it."""
+    s = s.keep()
     o = _origins(s, structures(s, swing, internal), "high")
     b = s.bars.select(*s.by, "i", "high", "low", "close")
     up = F.col("bias") == BULL
@@ -285,18 +360,20 @@ def breaker_blocks(s: Series, swing: int, internal: int, keep: int = 10) -> Data
 def candle_trends(s: Series, internal: int, ahead: int = 9) -> DataFrame:
     """``trend`` of every bar: the last turn that has taken effect. A turn takes
     effect when all turns listed before it have."""
-    order = s.w("seq", F.when(F.col("bias") == BULL, 0).otherwise(1))
-    c = _crossings(s, internal, ahead)
-    turns = c.withColumn("before", F.lag("bias").over(order)).where("before is null or before <> bias")
-    effective = turns.withColumn("at", F.max("end_index").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
-    at = effective.groupBy(*s.by, F.col("at").alias("i")).agg(F.max_by("bias", "rank").alias("turn"))
-    filled = F.last("turn", ignorenulls=True).over(s.w().rowsBetween(Window.unboundedPreceding, 0))
-    return s.bars.join(at, [*s.by, "i"], "left").select(*s.by, "i", "bar_ts", F.coalesce(filled, F.lit(0)).alias("trend"))
+    s = s.keep()
+    turns = _listed(s, _crossings(s, internal, ahead)).where("before is null or before <> bias")
+    held = K.with_entries(turns, list(s.by), s.block("ord"), {"scan_end": (F.max("end_index"), lambda c, v: F.max(c).over(v))})
+    so_far = F.max("end_index").over(K.inside(list(s.by), "ord").rowsBetween(Window.unboundedPreceding, 0))
+    effective = held.withColumn("at", F.greatest(so_far, "scan_end"))
+    at = effective.groupBy(*s.by, F.col("at").alias("i")).agg(F.max_by("bias", "ord").alias("turn"))
+    marked = s.bars.join(at, [*s.by, "i"], "left")
+    return K.carried(marked, list(s.by), [F.col("i")], s.block(), {"trend": F.col("turn")}).select(*s.by, "i", "bar_ts", F.coalesce("trend", F.lit(0)).alias("trend"))
 
 
 def trading_range(s: Series, swing: int, internal: int, known: DataFrame | None = None) -> DataFrame:
     """The last swing high and low, widened to the last 50 bars where price has
     left them; which side is strong; one row per series with both."""
+    s = s.keep()
     p = pivots(s, swing).groupBy(*s.by).agg(F.max_by("price", F.when(F.col("side") == "high", F.col("i"))).alias("sh"), F.max_by("price", F.when(F.col("side") == "low", F.col("i"))).alias("sl"))
     tail = newest(s.bars, s, ["i"], 50).groupBy(*s.by).agg(F.max("high").alias("h50"), F.min("low").alias("l50"), F.max_by("close", "i").alias("price"))
     j = p.where("sh is not null and sl is not null").join(tail, list(s.by)).join(trend(s, internal, known), list(s.by), "left")

@@ -33,17 +33,38 @@ def ticks(bars: DataFrame, by: list[str]) -> DataFrame:
     return s.withColumns({"tick": F.when(wide, (F.col("top") - F.col("bottom")) / 100).otherwise(F.col("tick")), "rows": F.when(wide, 100).otherwise(F.col("rows"))})
 
 
-def price_rows(bars: DataFrame, by: list[str]) -> DataFrame:
-    """Per session and price row: how many bars touch it, and their letters."""
-    grid = ticks(bars, by).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    grid = grid.withColumn("price", q(F.col("bottom") + F.col("j") * F.col("tick"), 10))
+def spans(bars: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+    """The bars with the first and last price row that each touches (``j0``, ``j1``), in
+    sessions of ``grid``. A row is touched that begins at or below the high and
+    ends above the low."""
+    b = bars.join(grid.select(*by, "bottom", "tick", "rows"), by)
+    price = lambda j: q(F.col("bottom") + j * F.col("tick"), 10)
+    near = lambda c: F.sequence(*[F.greatest(F.lit(0), F.least(F.col("rows") - 1, F.floor((F.col(c) - F.col("bottom")) / F.col("tick")).cast("int") + d)) for d in (-2, 2)])
+    first = F.array_min(F.filter(near("low"), lambda j: F.col("low") < price(j) + F.col("tick")))
+    last = F.array_max(F.filter(near("high"), lambda j: F.col("high") >= price(j)))
+    return b.withColumns({"j0": first, "j1": last}).where("j0 <= j1").drop("bottom", "tick", "rows")
+
+
+def price_rows(bars: DataFrame, by: list[str], letters: bool = False) -> DataFrame:
+    """Per session and price row how many bars touch it, and with ``letters`` theirs.
+
+    A sweep line: a bar adds one at the first row that it touches and takes it away
+    behind the last, so a bar costs two entries however many rows it covers.
+    """
+    sessions = ticks(bars, by)
+    grid = sessions.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("price", q(F.col("bottom") + F.col("j") * F.col("tick"), 10))
+    touched = spans(bars, sessions, by)
+    steps = F.array(F.struct(F.col("j0").alias("j"), F.lit(1).alias("step")), F.struct((F.col("j1") + 1).alias("j"), F.lit(-1).alias("step")))
+    turns = touched.select(*by, F.explode(steps).alias("s")).groupBy(*by, "s.j").agg(F.sum("s.step").alias("turn"))
+    upward = Window.partitionBy(*by).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    counted = grid.join(turns, [*by, "j"], "left").withColumn("count", F.coalesce(F.sum("turn").over(upward), F.lit(0))).drop("turn")
+    if not letters:
+        return counted
     k = F.row_number().over(Window.partitionBy(*by).orderBy("bar_ts")) - 1
     letter = F.when(F.col("k") < len(LETTERS), F.substr(F.lit(LETTERS), F.col("k") + 1, F.lit(1))).otherwise(F.col("k").cast("string"))
-    b = bars.withColumn("k", k).select(*by, F.col("high").alias("h"), F.col("low").alias("l"), "k", letter.alias("letter"))
-    touched = grid.join(b, by).where((F.col("l") < F.col("price") + F.col("tick")) & (F.col("h") >= F.col("price")))
-    counts = touched.groupBy(*by, "j").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("k", "letter"))).alias("x"))
-    counts = counts.withColumn("letters", F.transform("x", lambda s: s["letter"])).drop("x")
-    return grid.join(counts, [*by, "j"], "left").withColumns({"count": F.coalesce("count", F.lit(0)), "letters": F.coalesce("letters", F.expr("cast(array() as array<string>)"))})
+    lettered = spans(bars.withColumn("k", k), sessions, by).select(*by, F.struct("k", letter.alias("letter")).alias("x"), F.explode(F.sequence("j0", "j1")).alias("j"))
+    named = lettered.groupBy(*by, "j").agg(F.array_sort(F.collect_list("x")).alias("x")).select(*by, "j", F.transform("x", lambda s: s["letter"]).alias("letters"))
+    return counted.join(named, [*by, "j"], "left").withColumn("letters", F.coalesce("letters", F.expr("cast(array() as array<string>)")))
 
 
 def value_area(counts, poc, total, share: float):
@@ -95,7 +116,7 @@ def zones(bars: DataFrame, by: list[str]) -> DataFrame:
     """The rows of each profile that any bar touched, with their zone."""
     p = profiles(bars, by).select(*by, "poc_j", "val_j", "vah_j")
     zone = F.when(F.col("j") == F.col("poc_j"), "poc").when(F.col("j").between(F.col("val_j"), F.col("vah_j")), "value").otherwise("outside")
-    return price_rows(bars, by).where("count > 0").join(p, by).select(*by, "j", "price", "count", F.concat_ws("", "letters").alias("letters"), zone.alias("zone"))
+    return price_rows(bars, by, letters=True).where("count > 0").join(p, by).select(*by, "j", "price", "count", F.concat_ws("", "letters").alias("letters"), zone.alias("zone"))
 
 
 def recent_sessions(bars: DataFrame, timeframe: str, keep: int) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SESSIONS, clock, confidence, confidence_b, n_if, over, q, rate
+from ..functions.lineage import written_once
+from . import quantiles
 from . import sessions as S
 
+QUARTILES = [0.25, 0.5, 0.75]
 OUTCOMES = ("only_h", "only_l", "both", "neither")
 
 
@@ -36,10 +39,13 @@ def distributions(rows: DataFrame, metrics: dict[str, tuple[Column, int]], *by:
     """``by, metric, n, mean, min, max, p25, median, p75, confidence``: a row for
     each metric (its values and decimals) that has any value."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), x.cast("double").alias("x"), F.lit(10.0**places).alias("scale")) for name, (x, places) in metrics.items()]))
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    raw = rows.select(*by, each.alias("m")).select(*by, "m.*").where("x is not null").groupBy(*by, "metric", "scale").agg(
-        F.count("*").alias("n"), (F.avg(millionths("x")) / 1e6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), p[0].alias("p25"), p[1].alias("median"), p[2].alias("p75")
-    )
+    values = written_once(rows.select(*by, each.alias("m")).select(*by, "m.*").where("x is not null"), "metrics")
+    keys = [*by, "metric", "scale"]
+    plain = values.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg(millionths("x")) / 1e6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = quantiles.exact(values, keys, "x", QUARTILES).drop("n")
+    q1 = [F.get("quantiles", F.lit(at)).alias(name) for at, name in enumerate(("p25", "median", "p75"))]
+    same = [plain[k].eqNullSafe(quartiles[k]) for k in keys]
+    raw = plain.join(quartiles, same).select(*[plain[c] for c in plain.columns], *q1)
     figures = [(F.floor(F.col(c) * F.col("scale") + 0.5) / F.col("scale")).alias(c) for c in ("mean", "min", "max", "p25", "median", "p75")]
     return raw.select(*by, "metric", "n", *figures, confidence_b("n").alias("confidence"))
 
@@ -318,11 +324,12 @@ def forecast(bars: DataFrame, as_of=None) -> DataFrame:
     own = F.col("session") == F.col("forecast_session")
     some = own & (F.col("range_pct") > 0)
     size = F.when(some, F.col("range_pct"))
-    p = F.percentile(size, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    p = [F.get("quantiles", F.lit(at)) for at in range(3)]
+    quartiles = quantiles.exact(ranges.select("symbol", size.alias("size")), ["symbol"], "size", QUARTILES).select("symbol", q(p[0], 3).alias("range_low"), q(p[1], 3).alias("range_median"), q(p[2], 3).alias("range_high"))
     bull = own & (F.col("direction") == "bullish")
     prior = F.col("session") == F.col("prior_session")
     seen = ranges.groupBy("symbol").agg(
-        n_if(some).alias("range_n"), q(p[0], 3).alias("range_low"), q(p[1], 3).alias("range_median"), q(p[2], 3).alias("range_high"), q(F.min(size), 3).alias("range_min"), q(F.max(size), 3).alias("range_max"),
+        n_if(some).alias("range_n"), q(F.min(size), 3).alias("range_min"), q(F.max(size), 3).alias("range_max"),
         n_if(own).alias("direction_n"), rate(n_if(bull), n_if(own)).alias("bullish"), rate(n_if(own & ~bull), n_if(own)).alias("bearish"), n_if(prior).alias("sweep_n"),
         F.max_by(F.when(prior, F.col("high")), F.when(prior, F.col("day"))).alias("prior_session_high"), F.max_by(F.when(prior, F.col("low")), F.when(prior, F.col("day"))).alias("prior_session_low"),
     )
@@ -332,7 +339,7 @@ def forecast(bars: DataFrame, as_of=None) -> DataFrame:
     )
     went = S.continuations(plain).join(named.where("forecast_session = 'new_york'"), "symbol").groupBy("symbol").agg(F.count("*").alias("continuation_n"), n_if(F.col("continuation")).alias("went_on"))
     zero = ["sweep_count", "swept_high", "swept_low", "swept_both", "reversals", "continuation_n", "went_on", "range_low", "range_median", "range_high", "range_min", "range_max"]
-    j = base.join(seen, "symbol").join(swept, "symbol", "left").join(went, "symbol", "left").na.fill(0, zero)
+    j = base.join(seen, "symbol").join(quartiles, "symbol", "left").join(swept, "symbol", "left").join(went, "symbol", "left").na.fill(0, zero)
     high, low = F.col("swept_high") + F.col("swept_both"), F.col("swept_low") + F.col("swept_both")
     half = F.col("anchor_price") * (F.col("range_median") / 100.0) / 2.0
     return j.select(

@@ -7,9 +7,10 @@ user needs one table of trades, or candles of the finest timeframe.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import backtest as X
@@ -24,7 +25,9 @@ from .operators import profile as P
 from .operators import sessions as S
 from .operators import statistics as Z
 from .operators import structure as T
+from .functions.lineage import written_once
 from .sources.market import TIMEFRAMES, normalize_timeframe, watchlist
+from .sources.store import Store, day_index, first_day
 
 #: Samples under which an endpoint says nothing about a symbol.
 LEAST_BARS, LEAST_SMC_BARS, LEAST_DAYS, LEAST_WIDE_DAYS, LEAST_ALIGNED = 48, 248, 5, 10, 20
@@ -36,27 +39,50 @@ def clamp(value: int, low: int, high: int) -> int:
 
 @dataclass(frozen=True)
 class Market:
-    """Trades (symbol, ts, trade_id, price, qty, is_buyer_maker), cut to symbols."""
+    """Trades (symbol, ts, trade_id, price, qty, is_buyer_maker), cut to symbols. Of a
+    ``store`` only the days that an endpoint needs are read; of other trades an
+    index of their days is made once, and then as little of their times as may be."""
 
     trades: DataFrame
+    store: Store | None = None
+
+    @classmethod
+    def of(cls, store: Store) -> Market:
+        return cls(store.trades, store)
 
     def only(self, *symbols: str) -> Market:
-        return Market(self.trades.where(F.col("symbol").isin(*symbols))) if symbols else self
+        if not symbols:
+            return self
+        return Market.of(self.store.only(*symbols)) if self.store else Market(self.trades.where(F.col("symbol").isin(*symbols)))
+
+    @functools.cached_property
+    def index(self) -> DataFrame:
+        return self.store.index if self.store else written_once(day_index(self.trades), "days")
+
+    def since(self, seconds: int, limit: int | None = None, days: int | None = None) -> DataFrame:
+        """The trades of the days that hold the newest ``limit`` candles or ``days``."""
+        day = first_day(self.index, seconds, limit, days)
+        if self.store:
+            return self.store.since(day)
+        return self.trades if day is None else self.trades.where(F.col("ts") >= F.lit(day).cast("timestamp_ntz"))
 
     def bars(self, timeframe: str, limit: int | None = None, days: int | None = None, least: int = 0) -> DataFrame:
         """Candles, the newest ``limit`` or ``days`` of each symbol, of the symbols with ``least`` of them."""
-        b = B.resample(self.trades, TIMEFRAMES[normalize_timeframe(timeframe)])
+        seconds = TIMEFRAMES[normalize_timeframe(timeframe)]
+        asked = limit is not None or days is not None
+        b = B.resample(self.since(seconds, limit if days is None else None, days) if asked else self.trades, seconds)
         if days is not None:
-            newest = F.max("bar_ts").over(Window.partitionBy("symbol"))
-            b = b.withColumn("newest", newest).where(F.col("bar_ts") > F.col("newest") - F.make_dt_interval(F.lit(days))).drop("newest")
+            newest = b.groupBy("symbol").agg(F.max("bar_ts").alias("newest"))
+            b = b.join(newest, "symbol").where(F.col("bar_ts") > F.col("newest") - F.make_dt_interval(F.lit(days))).drop("newest")
         b = b if limit is None else B.latest(b, limit)
         return T.enough(b, least) if least else b
 
     # -- structure, levels, profile, flow ---------------------------------------------------------
 
     def analyze_smc(self, timeframe: str = "1h", limit: int = 500) -> dict[str, DataFrame]:
+        limit = clamp(limit, 1, 1000)
         swing, internal = T.LENGTHS[normalize_timeframe(timeframe)]
-        s = T.of(B.indexed(T.long_enough(self.bars(timeframe, limit), swing)))
+        s = T.of(B.indexed(T.long_enough(self.bars(timeframe, limit), swing)), short=True)
         return {
             "structures": T.newest(T.structures(s, swing, internal), s, ["ord"], 30), "order_blocks": T.order_blocks(s, swing, internal), "fair_value_gaps": T.gaps(s),
             "equal_levels": T.recent_equal_levels(s, swing), "swing_labels": T.swing_labels(s, swing), "fractals": T.fractals(s), "liquidity_sweeps": T.liquidity_sweeps(s, internal),
@@ -75,9 +101,10 @@ class Market:
         if name not in ("5m", "15m", "1h"):
             raise ValueError("footprints are built for 5m, 15m and 1h")
         seconds = TIMEFRAMES[name]
-        newest = self.trades.groupBy("symbol").agg(F.max("ts").alias("newest"))
-        since = F.window("newest", f"{seconds} seconds")["start"] - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit((clamp(candles, 1, 50) - 1) * seconds))
-        t = self.trades.join(newest, "symbol").withColumn("since", since).where("ts >= since").drop("newest", "since")
+        most = clamp(candles, 1, 50)
+        newest = self.index.groupBy("symbol").agg(F.max("last_ts").alias("newest"))
+        since = F.window("newest", f"{seconds} seconds")["start"] - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit((most - 1) * seconds))
+        t = self.since(seconds, days=most * seconds // 86_400 + 1).join(newest, "symbol").withColumn("since", since).where("ts >= since").drop("newest", "since")
         return {"levels": W.footprint_levels(t, seconds), "deltas": W.deltas(t, seconds), "large_trades": W.large_trades(t, seconds)}
 
     def scan_confluence(self) -> DataFrame:
@@ -109,7 +136,7 @@ class Market:
     def get_volatility(self, timeframe: str = "1h", atr_period: int = 14, adr_days: int = 14) -> dict[str, DataFrame]:
         name = normalize_timeframe(timeframe)
         b = B.indexed(self.bars(name, 300))
-        return {"state": I.volatility_state(b, I.PER_YEAR[name]), "atr": I.atr(b, atr_period), "adr": I.adr_used(S.day_rows(self.bars("1h")), adr_days)}
+        return {"state": I.volatility_state(b, I.PER_YEAR[name]), "atr": I.atr(b, atr_period), "adr": I.adr_used(S.day_rows(B.resample(self.since(86_400, adr_days + 2), 3600)), adr_days)}
 
     def get_correlations(self, symbols: list[str], base: str, timeframe: str = "4h", limit: int = 180) -> dict[str, DataFrame]:
         names = list(dict.fromkeys([*symbols, base]))[: I.MOST_SYMBOLS]

@@ -534,13 +534,16 @@ def smc_outcomes(spark, sf_dir) -> DataFrame:
     return O.evaluated(indexed(spark, sf_dir, 3600))
 
 
-@query
-def smc15_outcomes(spark, sf_dir):
-    o = smc_outcomes(spark, sf_dir)
+def flags_as_text(o: DataFrame) -> DataFrame:
     flags = {c: F.col(c).cast("string") for c in ("retested", "held", "filled", "swept", "success")}
     return o.withColumns(flags | {c: F.col(c).cast("double") for c in ("retested_within", "filled_within")})
 
 
+@query
+def smc15_outcomes(spark, sf_dir):
+    return flags_as_text(smc_outcomes(spark, sf_dir))
+
+
 @query
 def d11_smc_statistics(spark, sf_dir):
     return O.summary(smc_outcomes(spark, sf_dir))
@@ -565,7 +568,7 @@ def tpo02_tick(spark, sf_dir):
 
 @query
 def tpo03_rows(spark, sf_dir):
-    r = P.price_rows(recent_sessions(spark, sf_dir), ["symbol", "sess"])
+    r = P.price_rows(recent_sessions(spark, sf_dir), ["symbol", "sess"], letters=True)
     return r.select("symbol", "sess", "j", "price", F.col("count").alias("n"), F.concat_ws("", "letters").alias("letters"))
 
 

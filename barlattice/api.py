@@ -26,11 +26,11 @@ from .operators import sessions as S
 from .operators import statistics as Z
 from .operators import structure as T
 from .functions.lineage import written_once
-from .sources.market import TIMEFRAMES, normalize_timeframe, watchlist
+from .sources.market import TIMEFRAMES, crypto_only, normalize_timeframe, watchlist
 from .sources.store import Store, day_index, first_day
 
 #: Samples under which an endpoint says nothing about a symbol.
-LEAST_BARS, LEAST_SMC_BARS, LEAST_DAYS, LEAST_WIDE_DAYS, LEAST_ALIGNED = 48, 248, 5, 10, 20
+LEAST_BARS, LEAST_SMC_BARS, LEAST_DAYS, LEAST_WIDE_DAYS, LEAST_ALIGNED, LEAST_GRADED = 48, 248, 5, 10, 20, 50
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -66,6 +66,11 @@ class Market:
             return self.store.since(day)
         return self.trades if day is None else self.trades.where(F.col("ts") >= F.lit(day).cast("timestamp_ntz"))
 
+    def until(self, time: str) -> Market:
+        """The market as it stood at a time."""
+        trades = self.trades.where(F.col("ts") <= F.lit(time).cast("timestamp_ntz"))
+        return Market(trades)
+
     def bars(self, timeframe: str, limit: int | None = None, days: int | None = None, least: int = 0) -> DataFrame:
         """Candles, the newest ``limit`` or ``days`` of each symbol, of the symbols with ``least`` of them."""
         seconds = TIMEFRAMES[normalize_timeframe(timeframe)]
@@ -108,7 +113,7 @@ class Market:
         return {"levels": W.footprint_levels(t, seconds), "deltas": W.deltas(t, seconds), "large_trades": W.large_trades(t, seconds)}
 
     def scan_confluence(self) -> DataFrame:
-        return N.grades(B.indexed(self.bars("1h", 300)), B.indexed(self.bars("4h", 300)))
+        return N.grades(B.indexed(self.bars("1h", 300, least=LEAST_GRADED)), B.indexed(self.bars("4h", 300)))
 
     def scan_market(self, symbols: list[str] | str, only_actionable: bool = False) -> DataFrame:
         """``symbols``: a list, a watchlist's name, or symbols in one string."""
@@ -174,8 +179,10 @@ class Market:
         }
 
     def get_session_forecast(self, days: int = 90, as_of: str | None = None) -> DataFrame:
-        """A row per symbol about the session that comes next at ``as_of`` (its newest bar if none)."""
-        return Z.forecast(self.bars("1h", days=clamp(days, 1, 180), least=LEAST_BARS), as_of)
+        """A row per symbol about the session that comes next at ``as_of`` (its newest bar
+        if none), from the ``days`` before it; no later trade counts."""
+        market = self if as_of is None else self.until(as_of)
+        return Z.forecast(market.bars("1h", days=clamp(days, 1, 180), least=LEAST_BARS), as_of)
 
     def get_price_action(self, timeframe: str = "1h", limit: int = 100) -> dict[str, DataFrame]:
         b = self.bars(timeframe, limit)
@@ -209,38 +216,90 @@ class Market:
 
     # -- studies ----------------------------------------------------------------------------------
 
-    def events(self, days: int) -> DataFrame:
+    def events(self, days: int, least: int = LEAST_BARS) -> DataFrame:
         """Session events, and structure events of the symbols with enough bars."""
-        b = self.bars("1h", days=days, least=LEAST_BARS)
+        b = self.bars("1h", days=days, least=least)
         return X.facts(b, B.indexed(T.enough(b, LEAST_SMC_BARS)))
 
-    def run_backtest(self, event_type: str, days: int = 365, **conditions: str | None) -> dict[str, DataFrame | list[str]]:
+    def run_backtest(self, event_type: str = "", days: int = 365, **conditions: str | None) -> dict[str, DataFrame | list[str]]:
         """Outcome figures of the events of one type that meet the conditions
-        (``backtest.CONDITIONS``), by symbol; ``notes`` on conditions without effect."""
+        (``backtest.CONDITIONS``), by symbol; ``matched`` has their number, ``notes`` are on
+        conditions without effect. Without a type the types that there are."""
+        if not event_type:
+            return {"valid_event_types": list(X.EVENT_TYPES)}
+        if event_type not in X.EVENT_TYPES:
+            raise ValueError(f"unknown event type {event_type!r}; known: {', '.join(X.EVENT_TYPES)}")
         asked = {"event_type": event_type, **conditions}
         found = X.matching(self.events(clamp(days, 1, 365)), **asked)
-        return {"outcomes": X.outcomes(found, "symbol"), "day_of_week": X.by_weekday(found), "notes": X.notes(**asked)}
+        note = F.when(F.col("n") < X.FEW, F.lit(f"fewer than {X.FEW} matches: noise, not an edge"))
+        matched = found.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("note", note)
+        return {"outcomes": X.outcomes(found, "symbol"), "day_of_week": X.by_weekday(found), "matched": matched, "notes": X.notes(**asked)}
 
     def discover_edges(self, days: int = 180, min_samples: int = 10, top: int = 15, min_edge_pct: float = 0.0) -> dict[str, DataFrame]:
-        e = self.events(clamp(days, 1, 365))
+        e = self.events(clamp(days, 1, 365), LEAST_SMC_BARS)
         far = X.extremes(X.edges(e, min_samples), top, min_edge_pct)
         return {"baselines": X.baselines(e), "edges": far.where("list = 'edges'").orderBy("rank"), "anti_patterns": far.where("list = 'anti_patterns'").orderBy("rank")}
 
     def backtest_rr(self, event_type: str, days: int = 180, stop_atr_mult: float = 1.0, target_r: float = 2.0, atr_period: int = 14, max_hold_bars: int = 48) -> dict[str, DataFrame]:
-        b = self.bars("1h", days=clamp(days, 1, 365))
+        b = self.bars("1h", days=clamp(days, 1, 365), least=LEAST_BARS)
         t = X.trades(b, X.matching(X.session_events(b), event_type=event_type), atr_n=atr_period, stop_mult=stop_atr_mult, target_r=target_r, hold=max_hold_bars)
         return {"trades": t, "statistics": X.equity(t, ["symbol"]), "curve": X.downsampled(t, ["symbol"])}
 
+    # -- bundles ----------------------------------------------------------------------------------
+
+    def _bundle(self, parts: dict) -> dict:
+        """The results of endpoints; one that refuses leaves a line in ``gaps``."""
+        out: dict = {"gaps": []}
+        for name, call in parts.items():
+            try:
+                out[name] = call()
+            except ValueError as refused:
+                out["gaps"].append(f"{name}: {refused}")
+        return out
+
+    def analyze(self, symbol: str, timeframe: str = "1h", **positioning: DataFrame) -> dict:
+        """A symbol's read of now: structure of a higher and of its own timeframe, levels,
+        profile, flow, positioning (``get_derivatives``' inputs) and grade."""
+        m, name = self.only(symbol), normalize_timeframe(timeframe)
+        return self._bundle({
+            "higher": lambda: m.analyze_smc("1d" if name == "4h" else "4h"), "structure": lambda: m.analyze_smc(name), "levels": m.get_levels, "market_profile": lambda: m.get_market_profile(name),
+            "orderflow": lambda: (crypto_only(symbol), m.get_orderflow("5m"))[1], "derivatives": lambda: get_derivatives([symbol], **positioning) if positioning else _missing("no positioning given"),
+            "confluence": m.scan_confluence,
+        })
+
+    def brief(self, symbol: str, base: str, timeframe: str = "1h", **positioning: DataFrame) -> dict:
+        """The read of :meth:`analyze` for the session ahead: with the clock at the
+        symbol's newest trade, session statistics, volatility, correlation with
+        ``base`` and the forecast."""
+        m = self.only(symbol)
+        now = m.index.groupBy("symbol").agg(F.max("last_ts").alias("ts"))
+        ahead = m._bundle({
+            "clock": lambda: get_session_clock(now), "session_stats": m.compute_session_stats, "volatility": lambda: m.get_volatility(timeframe),
+            "correlations": lambda: self.get_correlations([symbol], base) if base != symbol else _missing("the symbol is the base"), "forecast": m.get_session_forecast,
+        })
+        read = self.analyze(symbol, timeframe, **positioning)
+        return {**ahead, **read, "gaps": ahead["gaps"] + read["gaps"]}
+
     def get_candles(self, timeframe: str = "1h", limit: int = 200) -> DataFrame:
         return self.bars(timeframe, clamp(limit, 1, 1000)).withColumn("iso", F.date_format("bar_ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def _missing(why: str):
+    raise ValueError(why)
+
+
 def get_session_clock(times: DataFrame, ts: str = "ts") -> DataFrame:
     return W.session_clock(times, ts)
 
 
-def get_derivatives(series: DataFrame, values: list[str], by: list[str]) -> dict[str, DataFrame]:
-    return {v: W.change(series, v, by) for v in values}
+def get_derivatives(symbols: list[str], funding: DataFrame, period: str = "1h", limit: int = 24, **series: DataFrame | None) -> dict[str, DataFrame]:
+    """Funding, open interest, account ratios and taker flow of crypto symbols
+    (``flow.derivatives``): ``series`` are open_interest, global_ratio, top_ratio, taker."""
+    crypto_only(*symbols)
+    if period not in W.PERIOD_HOURS:
+        raise ValueError(f"unknown period {period!r}; known: {', '.join(W.PERIOD_HOURS)}")
+    own = lambda df: None if df is None else df.where(F.col("symbol").isin(*symbols))
+    return W.derivatives(own(funding), period=period, limit=clamp(limit, 1, 500), **{name: own(df) for name, df in series.items()})
 
 
 def calc_position_size(requests: DataFrame, **options) -> DataFrame:

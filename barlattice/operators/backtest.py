@@ -56,6 +56,9 @@ def facts(bars: DataFrame, bars_idx: DataFrame | None = None, outcomes: DataFram
 
 #: Conditions of a backtest and the columns that they ask.
 CONDITIONS = {"event_type": "event_type", "session": "session", "day_of_week": "day_of_week", "direction": "direction", "sweep_side": "side", "side": "side", "htf_bias": "htf_bias"}
+#: What can be studied, and the matches under which a rate is noise.
+EVENT_TYPES = ("asia_sweep", "london_sweep", "ny_continuation", "session_range", "power_of_3", "smc_ob_test", "smc_fvg_test", "smc_bos_test", "smc_choch_test", "smc_eq_test", "smc_sweep_test")
+FEW = 5
 #: Conditions that are taken and have no effect, since no event carries them.
 IGNORED = {"range_state": "events carry no tight or wide range state", "macro_present": "there is no news data"}
 

@@ -57,6 +57,62 @@ def change(series: DataFrame, value: str, by: list[str], flat: float = 1.0) -> D
     return d.select(*by, "n", q("first").alias("first"), q("last").alias("last"), q(pct, 4).alias("change_pct"), F.when(pct > flat, "rising").when(pct < -flat, "falling").otherwise("flat").alias("trend"))
 
 
+#: Hours of a positioning period.
+PERIOD_HOURS = {"5m": 1 / 12, "15m": 0.25, "30m": 0.5, "1h": 1, "2h": 2, "4h": 4, "6h": 6, "12h": 12, "1d": 24}
+
+
+def newest_periods(series: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows of each symbol."""
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+    return series.withColumn("nth", rank).where(F.col("nth") <= limit).drop("nth")
+
+
+def tendency(series: DataFrame, value: str, name: str, flat: float = 1.0) -> DataFrame:
+    """``symbol`` with count, newest value, change in percent and trend of a series;
+    change and trend are null for fewer than two values or a first one of zero."""
+    d = series.groupBy("symbol").agg(F.count("*").alias("n"), F.min_by(value, "ts").alias("first"), F.max_by(value, "ts").alias("last"))
+    known = (F.col("n") >= 2) & (F.col("first") != 0)
+    step = (F.col("last") - F.col("first")) * 100
+    pct, move = F.when(known, step / F.col("first")), F.when(known, step / F.abs("first"))
+    trend = F.when(move > flat, "rising").when(move < -flat, "falling").when(known, "flat")
+    return d.select("symbol", F.col("n").alias(f"{name}_n"), F.col("last").alias(f"{name}_last"), q(pct, 4).alias(f"{name}_change_pct"), trend.alias(f"{name}_trend"))
+
+
+def derivatives(funding: DataFrame, open_interest: DataFrame | None = None, global_ratio: DataFrame | None = None, top_ratio: DataFrame | None = None, taker: DataFrame | None = None, period: str = "1h", limit: int = 24) -> dict[str, DataFrame]:
+    """Positioning: ``summary``, a row for each symbol of ``funding(symbol, mark_price,
+    rate, next_ts, as_of)``, and ``series``, the newest 12 values of each series.
+
+    The other inputs are series by ``symbol, ts``: ``oi, oi_value`` and ``ratio``; each
+    is cut to its newest ``limit`` rows, and one that is missing leaves nulls.
+    """
+    given = {"open_interest": (open_interest, "oi"), "global": (global_ratio, "ratio"), "top_trader": (top_ratio, "ratio"), "taker": (taker, "ratio")}
+    hours_to = (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("as_of").cast("timestamp"))) / 3.6e9
+    out = funding.select("symbol", "mark_price", "rate", q(F.col("rate") * 100, 5).alias("rate_pct"), q(F.col("rate") * 3 * 365 * 100, 3).alias("annualized_pct"), q(hours_to, 2).alias("next_funding_in_hours"))
+    parts = None
+    for name, (series, value) in given.items():
+        if series is None:
+            empty = {"n": "long", "last": "double", "change_pct": "double", "trend": "string"}
+            out = out.withColumns({f"{name}_{c}": F.lit(None).cast(t) for c, t in empty.items()})
+            continue
+        cut = newest_periods(series, limit)
+        out = out.join(tendency(cut, value, name), "symbol", "left")
+        if name == "open_interest":
+            out = out.join(cut.groupBy("symbol").agg(F.max_by("oi_value", "ts").alias("oi_value")), "symbol", "left")
+        if name != "top_trader":
+            part = newest_periods(cut, 12).select("symbol", F.lit(name).alias("series"), "ts", F.col(value).cast("double").alias("value"))
+            parts = part if parts is None else parts.unionByName(part)
+    if open_interest is None:
+        out = out.withColumn("oi_value", F.lit(None).cast("double"))
+    hours = q(F.lit(float(PERIOD_HOURS[period])) * F.greatest(F.coalesce("open_interest_n", F.lit(1)), F.lit(1)), 2)
+    summary = out.select(
+        "symbol", "mark_price", F.lit(period).alias("period"), F.lit(limit).alias("limit"), hours.alias("hours"), "rate", "rate_pct", "annualized_pct", "next_funding_in_hours",
+        F.col("open_interest_last").alias("open_interest"), "oi_value", F.col("open_interest_change_pct").alias("oi_change_pct"), F.col("open_interest_trend").alias("oi_trend"),
+        F.col("global_last").alias("global_ratio"), "global_trend", F.col("top_trader_last").alias("top_trader_ratio"), "top_trader_trend", F.col("taker_last").alias("taker_ratio"), "taker_trend",
+    )
+    none = funding.select("symbol", F.lit("").alias("series"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("value")).where("false")
+    return {"summary": summary, "series": none if parts is None else parts}
+
+
 def position_size(requests: DataFrame, atr: Column | None = None, atr_mult: float = 1.5) -> DataFrame:
     """Units, notional, margin and reward to risk of each request, or its error.
     A missing stop is set from ``atr`` where that is given."""

@@ -7,7 +7,37 @@ from .oracles import ORACLES, sql
 
 _WITHIN = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400}
 
+def _ratio(yes: str) -> str:
+    return f"count(*) FILTER ({yes}) / greatest(count(*) FILTER (NOT ({yes})), 1)"
+
+
+_POSITIONING = f"""
+WITH o AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, * FROM orders),
+f AS (SELECT symbol, max(o_totalprice) AS mark_price, count(*) / 1e7 AS rate FROM o GROUP BY symbol),
+e AS (SELECT symbol, ts, count(*)::DOUBLE AS oi, floor(sum(o_totalprice) * 100 + 0.5) / 100 AS oi_value, {_ratio("o_orderstatus = 'F'")} AS g, {_ratio("o_totalprice > 150000")} AS t, {_ratio("o_custkey % 2 = 0")} AS k
+      FROM o GROUP BY ALL),
+d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 30)
+"""
+
+
+def _trend(c: str) -> str:
+    step = f"(arg_max({c}, ts) - arg_min({c}, ts)) / nullif(abs(arg_min({c}, ts)), 0) * 100"
+    return f"CASE WHEN count(*) < 2 OR {step} IS NULL THEN NULL WHEN {step} > 1 THEN 'rising' WHEN {step} < -1 THEN 'falling' ELSE 'flat' END"
+
+
+def _q4(x: str) -> str:
+    return f"floor(({x}) * 1e4 + 0.5) / 1e4"
+
+
 ORACLES |= {
+    "drv03_summary": _POSITIONING
+    + f""", s AS (SELECT symbol, count(*) AS n, {_q4("arg_max(oi, ts)")} AS open_interest, {_q4("arg_max(oi_value, ts)")} AS oi_value, CASE WHEN count(*) >= 2 THEN {_q4("floor((arg_max(oi, ts) - arg_min(oi, ts)) * 100 / nullif(arg_min(oi, ts), 0) * 1e4 + 0.5) / 1e4")} END AS oi_change_pct,
+        {_q4("arg_max(g, ts)")} AS global_ratio, {_q4("arg_max(t, ts)")} AS top_trader_ratio, {_q4("arg_max(k, ts)")} AS taker_ratio, {_trend("oi")} AS oi_trend, {_trend("g")} AS global_trend, {_trend("t")} AS top_trader_trend, {_trend("k")} AS taker_trend FROM d GROUP BY symbol)
+    SELECT symbol, '1d' AS period, 24.0 * n AS hours, {_q4("mark_price")} AS mark_price, {_q4("rate")} AS rate, {_q4("floor(rate * 100 * 1e5 + 0.5) / 1e5")} AS rate_pct, {_q4("floor(rate * 3 * 365 * 100 * 1e3 + 0.5) / 1e3")} AS annualized_pct, 6.5 AS next_funding_in_hours,
+        s.* EXCLUDE (symbol, n) FROM f JOIN s USING (symbol)""",
+    "drv03_series": _POSITIONING
+    + ", ".join([""] + [f"{name} AS (SELECT symbol, '{label}' AS series, ts, {c} AS value FROM d QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 12)" for name, label, c in (("a", "open_interest", "oi"), ("b", "global", "g"), ("c", "taker", "k"))])
+    + f" SELECT symbol, series, ts, {_q4('value')} AS value FROM (FROM a UNION ALL FROM b UNION ALL FROM c)",
     "a01_store_newest": sql("SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) AS nth FROM b5) WHERE nth <= 120"),
     "a01_day_index": sql(
         "SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, "

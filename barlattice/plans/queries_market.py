@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import shared_dir, written_once
 from ..functions.scalars import q
 from ..operators import bars as B
+from ..operators import flow as W
 from ..operators import outcomes as O
 from ..operators import quantiles
 from ..operators import scan as K
@@ -46,6 +47,28 @@ def of02_trade_cvd(spark, sf_dir):
     return K.running_sums(signed, ["symbol"], ["ts", "trade_id"], K.day_of("ts"), {"cvd": "signed"}).select("symbol", "trade_id", q("cvd").alias("cvd"))
 
 
+def positioning(spark, sf_dir) -> dict:
+    """Funding and the four series of five markets, from ``orders`` by day and priority."""
+    o = M.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.date_trunc("day", "o_orderdate").alias("ts"), "o_totalprice", "o_orderstatus", "o_custkey")
+    day = o.groupBy("symbol", "ts")
+    ratio = lambda yes: F.count(F.when(yes, 1)) / F.greatest(F.count(F.when(~yes, 1)), F.lit(1))
+    series = {name: day.agg(ratio(yes).alias("ratio")) for name, yes in (("global_ratio", F.col("o_orderstatus") == "F"), ("top_ratio", F.col("o_totalprice") > 150_000), ("taker", F.col("o_custkey") % 2 == 0))}
+    newest = F.max("ts")
+    funding = o.groupBy("symbol").agg(F.max("o_totalprice").alias("mark_price"), (F.count("*") / 1e7).alias("rate"), (newest + F.make_dt_interval(F.lit(0), F.lit(8))).alias("next_ts"), (newest + F.make_dt_interval(F.lit(0), F.lit(1), F.lit(30))).alias("as_of"))
+    return {"funding": funding, "open_interest": day.agg(F.count("*").cast("double").alias("oi"), q(F.sum("o_totalprice"), 2).alias("oi_value")), **series}
+
+
+@query
+def drv03_summary(spark, sf_dir):
+    out = W.derivatives(**positioning(spark, sf_dir), period="1d", limit=30)["summary"]
+    return out.select("symbol", "period", "hours", *[q(c, 4).alias(c) for c in out.columns if c not in ("symbol", "period", "limit", "hours") and not c.endswith("_trend")], *[c for c in out.columns if c.endswith("_trend")])
+
+
+@query
+def drv03_series(spark, sf_dir):
+    return W.derivatives(**positioning(spark, sf_dir), period="1d", limit=30)["series"].withColumn("value", q("value", 4))
+
+
 @query
 def smc15_appended(spark, sf_dir):
     """Outcomes of the whole history from those of its first 22 days and the bars since."""

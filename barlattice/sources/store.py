@@ -10,14 +10,16 @@ literal bound on the day prunes the folders, a bound on the time the row groups.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .market import TIMEFRAMES
 
 DAY = 86_400
+INDEX = "symbol string, n long, first_ts timestamp_ntz, last_ts timestamp_ntz, bars map<int,long>, day date"
 
 
 def day_index(trades: DataFrame) -> DataFrame:
@@ -56,14 +58,15 @@ class Store:
     path: str
     buckets: int = 16
     symbols: tuple[str, ...] = ()
+    schema: T.StructType | None = None
 
     @property
     def trades(self) -> DataFrame:
-        return self._of(self.spark.read.parquet(f"{self.path}/trades"), True).drop("bucket", "day")
+        return self.since(None)
 
     @property
     def index(self) -> DataFrame:
-        return self._of(self.spark.read.parquet(f"{self.path}/index"), False)
+        return self._of(self.spark.read.schema(INDEX).parquet(f"{self.path}/index"), False)
 
     def _of(self, rows: DataFrame, bucketed: bool) -> DataFrame:
         if not self.symbols:
@@ -80,7 +83,8 @@ class Store:
 
     def since(self, day: date | None) -> DataFrame:
         """The trades of ``day`` and after."""
-        rows = self._of(self.spark.read.parquet(f"{self.path}/trades"), True)
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        rows = self._of(reader.parquet(f"{self.path}/trades"), True)
         return (rows if day is None else rows.where(F.col("day") >= F.lit(day))).drop("bucket", "day")
 
     def newest(self, seconds: int, limit: int | None = None, days: int | None = None) -> DataFrame:
@@ -103,18 +107,16 @@ def save(trades: DataFrame, path: str, buckets: int = 16, parts: int = 4) -> Sto
     part = F.floor(F.hour("ts") * parts / 24)
     dealt = placed.repartition("day", "bucket", part).sortWithinPartitions("day", "bucket", "symbol", "ts")
     _replace(dealt, f"{path}/trades", "day", "bucket")
-    store = Store(spark, path, buckets)
-    written = spark.read.parquet(f"{path}/trades")
+    store = Store(spark, path, buckets, schema=placed.schema)
+    written = spark.read.schema(placed.schema).parquet(f"{path}/trades")
     days = [r[0] for r in trades.select(F.to_date("ts").alias("day")).distinct().collect()]
     _replace(day_index(written.where(F.col("day").isin(days)).select("symbol", "ts")).repartition("day"), f"{path}/index", "day")
     return store
 
 
 def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    spark = rows.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
-
-def last_days(index: DataFrame, n: int) -> date | None:
-    """The first of the newest ``n`` days of an index."""
-    newest = index.agg(F.max("day")).first()[0]
-    return None if newest is None else newest - timedelta(days=n - 1)

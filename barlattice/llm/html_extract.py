@@ -9,9 +9,12 @@ blocks of its own section (article or main part, doubtful part, else the page);
 where both sides are equally near and disagree, or nothing is decided, the
 section's own prior counts.
 
-An element is boilerplate by its name or by a whole word of its class, id or role.
-A word that only holds such a part (``social-issues``) makes a doubtful part: there,
-long dense blocks still count, and what is near them.
+An element is boilerplate by its name or by a word of its class, id or role, or a part
+of a word (``cookie-notice``), unless a word beside it names content (``post
+share-enabled``). Where no article or main part stands outside of boilerplate, an
+element that holds one (a form around the page), or is marked by a part of a word
+(``social-issues``), and holds most of the text is none; what it holds is doubtful if
+the mark was one: long dense blocks count there, and what is near them.
 
 Elements that are never text are skipped to their end tag. A self-closed one is
 empty. Where the end tag is missing, a script or style runs to the end of the
@@ -62,8 +65,8 @@ MARKS = frozenset(
     disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo
     promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
-#: Words of a class that name the article itself.
-CONTENT = frozenset("article content entry post story".split())
+#: Words of a class that name the article itself, and those that do so as a part of a word.
+CONTENT, CONTENT_PARTS = frozenset("article content entry post story".split()), frozenset("article entry post story".split())
 
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*(?:>|\Z)", re.S
@@ -81,24 +84,29 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 @lru_cache(10_000)
 def mark_of(attributes: str) -> str:
-    """``banned`` for what is hidden or marked by a whole word of class, id or
-    role, ``header`` if that word is just this, ``doubt`` for a part of a word."""
-    found = ""
+    """``hidden``, ``banned`` for what a whole word of class, id or role marks (``both`` if
+    another names content), ``header`` if that word is just this, ``part`` for a part
+    of a word (``content part`` if another part names content, ``header part`` if it
+    is just header)."""
     tokens: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "style" and _INVISIBLE.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return "banned"
+            return "hidden"
         if name in ("class", "id", "role"):
             tokens.update(value.lower().split())
+    named = not CONTENT.isdisjoint(tokens)
     if not MARKS.isdisjoint(tokens - {"header"}):
-        return "banned"
+        return "both" if named else "banned"
     if "header" in tokens:
-        found = "header"
-    elif CONTENT.isdisjoint(tokens):
-        parts = {p for t in tokens for p in _TOKENS.findall(t)} - {"header"}
-        found = "" if MARKS.isdisjoint(parts) else "doubt"
-    return found
+        return "header"
+    parts = {p for t in tokens for p in _TOKENS.findall(t)}
+    marks = MARKS & parts
+    if named or not marks:
+        return ""
+    if marks == {"header"}:
+        return "header part"
+    return "part" if CONTENT_PARTS.isdisjoint(parts) else "content part"
 
 
 def raw_end(page: str, name: str, at: int, closed: bool) -> int:
@@ -167,21 +175,75 @@ def skips(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, i
     return out
 
 
+class Bans:
+    """The elements of a page that ban what they hold, as a tree.
+
+    A ban is lifted where the page has no main element outside of bans, if it is
+    a soft one (a part of a word) or holds a main element, and holds most of
+    the text that is not banned for good.
+    """
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.soft: list[bool] = []
+        self.main: list[bool] = []
+        self.holds: list[bool] = []
+        self.free_main = False
+
+    def add(self, parent: int, soft: bool, main: bool) -> int:
+        self.parent.append(parent)
+        self.soft.append(soft)
+        self.main.append(main)
+        self.holds.append(False)
+        return len(self.parent) - 1
+
+    def saw_main(self, ban: int) -> None:
+        """An unmarked main element under ``ban`` (none: -1)."""
+        if ban < 0:
+            self.free_main = True
+        else:
+            self.holds[ban] = True
+
+    def live(self, sizes: list[int], free: int) -> list[bool]:
+        """Whether each ban holds, ``sizes`` being the text right under each."""
+        n = len(self.parent)
+        if self.free_main or not n:
+            return [True] * n
+        for k in range(n - 1, -1, -1):
+            if self.holds[k] and self.parent[k] >= 0:
+                self.holds[self.parent[k]] = True
+        open_ = [False] * n
+        for k, up in enumerate(self.parent):
+            open_[k] = (self.soft[k] or self.holds[k]) and (up < 0 or open_[up])
+        total = [size if open_[k] else 0 for k, size in enumerate(sizes)]
+        all_text = free + sum(total)
+        for k in range(n - 1, -1, -1):
+            if self.parent[k] >= 0:
+                total[self.parent[k]] += total[k]
+        out = []
+        for k, up in enumerate(self.parent):
+            lifted = open_[k] and (2 * total[k] > all_text or (free == 0 and self.soft[k] and self.main[k]))
+            out.append(not lifted or (up >= 0 and out[up]))
+        return out
+
+
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, characters in links, section, whether that is
     a main or a doubtful one, banned."""
     done: list[dict] = []
     texts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int, str]] = []  # element, banned, section, its kind
+    stack: list[tuple[str, int, int, str]] = []  # element, ban, section, its kind
+    held: Counter = Counter()
+    bans = Bans()
     sections, link_depth = 0, -1  # depth of the stack where a link began
 
     def end():
         nonlocal linked
         text = " ".join(_html.unescape("".join(texts)).split())
         if text:
-            _, banned, section, kind = stack[-1] if stack else ("", False, 0, "")
-            done.append({"text": text, "linked": min(linked, len(text)), "section": section, "main": kind == "main", "doubt": kind == "doubt", "banned": banned})
+            _, ban, section, kind = stack[-1] if stack else ("", -1, 0, "")
+            done.append({"text": text, "linked": min(linked, len(text)), "section": section, "main": kind == "main", "doubt": kind == "doubt", "ban": ban})
         texts.clear()
         linked = 0
 
@@ -209,23 +271,33 @@ def blocks_of(page: str) -> list[dict]:
             continue
         end()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while held[name]:
+                other = stack.pop()[0]
+                held[other] -= 1
+                if other == name:
                     break
         elif name not in _VOID:
             if (name == "p" or name == "li") and stack and stack[-1][0] == name:  # the end tag may be missing
                 stack.pop()
-            _, banned, section, kind = stack[-1] if stack else ("", False, 0, "")
+                held[name] -= 1
+            _, ban, section, kind = stack[-1] if stack else ("", -1, 0, "")
             mark = mark_of(attributes) if attributes and name not in ("html", "body") else ""
-            if name in MAIN:
+            main = name in MAIN
+            if main:
+                mark = "" if mark in ("both", "content part") else mark
                 sections += 1
                 section, kind = sections, "main"
-            elif mark == "doubt":
+            elif mark in ("part", "content part"):
                 sections += 1
                 section, kind = sections, "doubt"
-            banned = banned or name in BOILERPLATE or mark == "banned" or (kind != "main" and (name == "header" or mark == "header"))
-            stack.append((name, banned, section, kind))
+            hard = name in BOILERPLATE or mark in ("hidden", "banned", "both") or (kind != "main" and (name == "header" or mark == "header"))
+            soft = mark in ("part", "content part") or (mark == "header part" and kind != "main")
+            if hard or soft:
+                ban = bans.add(ban, soft and not hard, main)
+            elif main:
+                bans.saw_main(ban)
+            stack.append((name, ban, section, kind))
+            held[name] += 1
         if len(stack) < link_depth:
             link_depth = -1
     if at < len(page):
@@ -233,6 +305,16 @@ def blocks_of(page: str) -> list[dict]:
         texts.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
         linked += len(rest) if link_depth >= 0 else 0
     end()
+    sizes = [0] * len(bans.parent)
+    free = 0
+    for b in done:
+        if b["ban"] < 0:
+            free += len(b["text"])
+        else:
+            sizes[b["ban"]] += len(b["text"])
+    live = bans.live(sizes, free)
+    for b in done:
+        b["banned"] = b["ban"] >= 0 and live[b["ban"]]
     return done
 
 
@@ -257,8 +339,10 @@ def stop_share(blocks: list[dict]) -> float:
     return stops / total if total else 0.0
 
 
-def first_pass(block: dict, *, known: bool = True, short: int, long: int, links: float, dense: float, sparse: float) -> int:
-    """GOOD, BAD or OPEN from the block alone; ``known``: the page's stop words are."""
+def first_pass(block: dict, *, share: float = 1.0, short: int, long: int, links: float, dense: float, sparse: float) -> int:
+    """GOOD, BAD or OPEN from the block alone. ``share``, the page's stop words, tells
+    how far its language is known: with few of them length and links count too,
+    with next to none they alone."""
     if block["banned"]:
         return BAD
     text = block["text"]
@@ -266,9 +350,12 @@ def first_pass(block: dict, *, known: bool = True, short: int, long: int, links:
         return OPEN if block["main"] and len(text) < short else BAD
     if len(text) < short:
         return OPEN
-    if not known or foreign(text):
+    if share < dense or foreign(text):
         letters = sum(map(str.isalpha, text))
-        return GOOD if len(text) >= long and letters >= 0.6 * len(text) else OPEN
+        if len(text) >= long and letters >= 0.6 * len(text):
+            return GOOD
+        if share < sparse or foreign(text):
+            return OPEN
     if block["density"] >= dense:
         return OPEN if block["doubt"] and len(text) < long else GOOD
     if len(text) >= long and block["density"] < sparse:
@@ -311,8 +398,8 @@ def main_text(page: str | None, *, short: int = 60, long: int = 200, links: floa
     if not page:
         return ""
     blocks = blocks_of(page)
-    known = stop_share(blocks) >= sparse
-    labels = [first_pass(b, known=known, short=short, long=long, links=links, dense=dense, sparse=sparse) for b in blocks]
+    share = stop_share(blocks)
+    labels = [first_pass(b, share=share, short=short, long=long, links=links, dense=dense, sparse=sparse) for b in blocks]
     return "\n".join(b["text"] for b, label in zip(blocks, second_pass(blocks, labels)) if label == GOOD)
 
 

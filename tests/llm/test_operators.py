@@ -314,6 +314,47 @@ def test_html_frame(spark):
     assert sorted(len(r.text) for r in got)[0] == 0 and len(got) == 3
     assert html_extract.extract(pages.limit(0)).count() == 0
 
+PART_CLASSES = "cookie-notice cookie-banner related-posts comments-area comment-list site-footer sidebar-left newsletter-signup ad-container promo_box site-header share-buttons".split()
+
+
+@pytest.mark.parametrize("name", PART_CLASSES)
+def test_html_compound_classes_are_boilerplate(name):
+    other = PROSE.replace("the", "these")
+    aside = f'<div class="{name}"><p>{other}</p></div>'
+    assert html_extract.main_text(f"<body><article><p>{PROSE}</p></article>{aside}</body>") == PROSE.strip()
+    if name != "site-header":  # inside an article a header is its own
+        assert html_extract.main_text(f"<article><p>{PROSE}</p>{aside}</article>") == PROSE.strip()
+    assert html_extract.main_text(f'<article><p>{PROSE}</p></article><article class="comment-body"><p>{other}</p></article>') == PROSE.strip()
+
+
+POLISH = "Wczoraj wieczorem mieszkańcy małego miasteczka zebrali się na rynku, aby wspólnie omówić budowę nowej drogi. Burmistrz mówił długo o kosztach, a potem pytał ludzi o zdanie. " * 5
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f'<body><form id="aspnetForm"><nav>Home About Contact</nav><article><p>{PROSE}</p></article></form></body>', PROSE.strip()),
+        (f'<body><div class="page-sidebar-wrapper"><main><p>{PROSE}</p></main></div></body>', PROSE.strip()),
+        (f'<article class="post notice"><p>{PROSE}</p></article>', PROSE.strip()),
+        (f'<article class="share-enabled"><p>{PROSE}</p></article>', PROSE.strip()),
+        (f'<div class="social-issues"><p>{PROSE}</p></div>', PROSE.strip()),
+        (f'<div class="post share-enabled"><p>{PROSE}</p></div>', PROSE.strip()),
+        (f'<div class="sidebar"><article><p>{PROSE.replace("the", "those")}</p></article></div><main><p>{PROSE}</p></main>', PROSE.strip()),
+        (f"<body><div><p>{POLISH}</p></div></body>", POLISH.strip()),
+        (f'<div class="ad-slot"><p>Buy now.</p></div><p>{PROSE}</p>', PROSE.strip()),
+    ],
+    ids=range(9),
+)
+def test_html_wrapped_articles_and_few_stop_words(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<div></p>", '<div class="ad-box">', "<article class='x'>", '<p><form class="a">', "</div></p></ul>"])
+def test_html_broken_nesting_is_linear(piece):
+    began = time.time()
+    html_extract.main_text(piece * 20_000 + PROSE)
+    assert time.time() - began < 5
+
 
 # ---- 4 packing -----------------------------------------------------------------------------------
 

@@ -41,41 +41,65 @@ def clamp(value: int, low: int, high: int) -> int:
 class Market:
     """Trades (symbol, ts, trade_id, price, qty, is_buyer_maker), cut to symbols. Of a
     ``store`` only the days that an endpoint needs are read; of other trades an
-    index of their days is made once, and then as little of their times as may be."""
+    index of their days is made once, and then as little of their times as may be.
+    In place of trades there may be candles, of the ``finest`` timeframe there is."""
 
-    trades: DataFrame
+    trades: DataFrame | None
     store: Store | None = None
+    candles: DataFrame | None = None
+    finest: str = "1m"
 
     @classmethod
     def of(cls, store: Store) -> Market:
         return cls(store.trades, store)
 
+    @classmethod
+    def of_candles(cls, candles: DataFrame, timeframe: str) -> Market:
+        """A market of candles (symbol, bar_ts, open, high, low, close, volume): what
+        needs trades is refused, as are finer timeframes."""
+        return cls(None, candles=candles.withColumn("ts", F.col("bar_ts")), finest=normalize_timeframe(timeframe))
+
+    @property
+    def source(self) -> DataFrame:
+        return self.trades if self.candles is None else self.candles
+
+    def _with(self, rows: DataFrame) -> Market:
+        return Market(rows) if self.candles is None else Market(None, candles=rows, finest=self.finest)
+
+    def _bars(self, rows: DataFrame, seconds: int) -> DataFrame:
+        """Candles of so many seconds from rows of the source."""
+        if self.candles is None:
+            return B.resample(rows, seconds)
+        least = TIMEFRAMES[self.finest]
+        if seconds < least or seconds % least:
+            raise ValueError(f"candles of {self.finest} give no candles of {seconds} seconds")
+        return B.coarser(rows, seconds)
+
     def only(self, *symbols: str) -> Market:
         if not symbols:
             return self
-        return Market.of(self.store.only(*symbols)) if self.store else Market(self.trades.where(F.col("symbol").isin(*symbols)))
+        return Market.of(self.store.only(*symbols)) if self.store else self._with(self.source.where(F.col("symbol").isin(*symbols)))
 
     @functools.cached_property
     def index(self) -> DataFrame:
-        return self.store.index if self.store else written_once(day_index(self.trades), "days")
+        return self.store.index if self.store else written_once(day_index(self.source), "days")
 
     def since(self, seconds: int, limit: int | None = None, days: int | None = None) -> DataFrame:
         """The trades of the days that hold the newest ``limit`` candles or ``days``."""
         day = first_day(self.index, seconds, limit, days)
         if self.store:
             return self.store.since(day)
-        return self.trades if day is None else self.trades.where(F.col("ts") >= F.lit(day).cast("timestamp_ntz"))
+        return self.source if day is None else self.source.where(F.col("ts") >= F.lit(day).cast("timestamp_ntz"))
 
     def until(self, time: str) -> Market:
         """The market as it stood at a time."""
-        trades = self.trades.where(F.col("ts") <= F.lit(time).cast("timestamp_ntz"))
-        return Market(trades)
+        return self._with(self.source.where(F.col("ts") <= F.lit(time).cast("timestamp_ntz")))
 
     def bars(self, timeframe: str, limit: int | None = None, days: int | None = None, least: int = 0) -> DataFrame:
         """Candles, the newest ``limit`` or ``days`` of each symbol, of the symbols with ``least`` of them."""
         seconds = TIMEFRAMES[normalize_timeframe(timeframe)]
         asked = limit is not None or days is not None
-        b = B.resample(self.since(seconds, limit if days is None else None, days) if asked else self.trades, seconds)
+        b = self._bars(self.since(seconds, limit if days is None else None, days) if asked else self.source, seconds)
         if days is not None:
             newest = b.groupBy("symbol").agg(F.max("bar_ts").alias("newest"))
             b = b.join(newest, "symbol").where(F.col("bar_ts") > F.col("newest") - F.make_dt_interval(F.lit(days))).drop("newest")
@@ -105,6 +129,8 @@ class Market:
         name = normalize_timeframe(timeframe)
         if name not in ("5m", "15m", "1h"):
             raise ValueError("footprints are built for 5m, 15m and 1h")
+        if self.trades is None:
+            raise ValueError("footprints are built from trades, and there are candles alone")
         seconds = TIMEFRAMES[name]
         most = clamp(candles, 1, 50)
         newest = self.index.groupBy("symbol").agg(F.max("last_ts").alias("newest"))
@@ -141,7 +167,7 @@ class Market:
     def get_volatility(self, timeframe: str = "1h", atr_period: int = 14, adr_days: int = 14) -> dict[str, DataFrame]:
         name = normalize_timeframe(timeframe)
         b = B.indexed(self.bars(name, 300))
-        return {"state": I.volatility_state(b, I.PER_YEAR[name]), "atr": I.atr(b, atr_period), "adr": I.adr_used(S.day_rows(B.resample(self.since(86_400, adr_days + 2), 3600)), adr_days)}
+        return {"state": I.volatility_state(b, I.PER_YEAR[name]), "atr": I.atr(b, atr_period), "adr": I.adr_used(S.day_rows(self._bars(self.since(86_400, adr_days + 2), 3600)), adr_days)}
 
     def get_correlations(self, symbols: list[str], base: str, timeframe: str = "4h", limit: int = 180) -> dict[str, DataFrame]:
         names = list(dict.fromkeys([*symbols, base]))[: I.MOST_SYMBOLS]

@@ -39,6 +39,8 @@ ORACLES |= {
     + ", ".join([""] + [f"{name} AS (SELECT symbol, '{label}' AS series, ts, {c} AS value FROM d QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 12)" for name, label, c in (("a", "open_interest", "oi"), ("b", "global", "g"), ("c", "taker", "k"))])
     + f" SELECT symbol, series, ts, {_q4('value')} AS value FROM (FROM a UNION ALL FROM b UNION ALL FROM c)",
     "a01_store_newest": sql("SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) AS nth FROM b5) WHERE nth <= 120"),
+    "a10_kline_pages": sql("SELECT * FROM b5"),
+    "a06_trade_pages": sql("SELECT symbol, date_trunc('second', ts)::TIMESTAMP AS ts, trade_id, price, qty, is_buyer_maker FROM ticks"),
     "a01_day_index": sql(
         "SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, "
         + ", ".join(f"count(DISTINCT epoch_ms(ts) // {s * 1000}) AS bars_{name}" for name, s in _WITHIN.items())

@@ -14,6 +14,7 @@ from ..operators import outcomes as O
 from ..operators import quantiles
 from ..operators import scan as K
 from ..sources import market as M
+from ..sources import pages as P
 from ..sources import store as L
 from .queries import flags_as_text, indexed, query
 
@@ -25,6 +26,27 @@ def a01_store_newest(spark, sf_dir):
     return B.latest(B.resample(store.newest(300, limit=120), 300), 120)
 
 
+@query
+def a10_kline_pages(spark, sf_dir):
+    """Candles from pages of a hundred that overlap and are there twice."""
+    b = K.numbered(B.resample(M.ticks(spark, sf_dir), 300), ["symbol"], ["bar_ts"], K.day_of("bar_ts"), "k")
+    ms = (F.unix_micros(F.col("bar_ts").cast("timestamp")) / 1000).cast("long")
+    cells = F.array(ms.cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
+    pages = P.paged(b, cells, 100)
+    return P.candles(pages.union(pages))
+
+
+@query
+def a06_trade_pages(spark, sf_dir):
+    """Trades from pages of five hundred that overlap, without the pages that hold errors."""
+    t = K.numbered(M.ticks(spark, sf_dir), ["symbol"], ["ts", "trade_id"], K.day_of("ts"), "k")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    one = F.struct(F.col("trade_id").alias("a"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"), ms.alias("T"), F.col("is_buyer_maker").alias("m"))
+    pages = P.paged(t, one, 500)
+    errors = pages.withColumn("payload", F.lit('{"code": -1003, "msg": "too many requests"}'))
+    return P.trades(pages.unionByName(errors)).withColumn("ts", F.date_trunc("second", "ts"))
+
+
 @query
 def a01_day_index(spark, sf_dir):
     index = L.day_index(M.ticks(spark, sf_dir))

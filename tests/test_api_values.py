@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barlattice import api
 from barlattice.sources import market as M
+from barlattice.sources import pages as P
 from barlattice.sources import store as L
 
 SF, WIDE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -262,3 +263,30 @@ def test_empty_store(spark, tmp_path):
     empty = L.save(M.ticks(spark, SF).where("false"), f"file://{tmp_path}/none")
     assert L.first_day(empty.index, 3600, 5) is None and empty.trades.count() == 0
     assert api.Market.of(empty).bars("1h", 5).count() == 0
+
+
+# ---- saved pages and candles ------------------------------------------------------------------------
+
+
+def test_pages(spark):
+    rows = [
+        ("A", 2, '[[1700000000000, "1", "2", "0.5", "1.5", "9", 0], [1700003600000, "3", "4", "2", "3", "8", 0]]'),
+        ("A", 1, '[[1700000000000, "7", "8", "6", "7", "1", 0]]'), ("A", 3, '{"code": -1121}'), ("A", 4, None), ("A", 5, "[]"), ("A", 6, '[["x"], []]'),
+    ]
+    pages = spark.createDataFrame(rows, "symbol string, page long, payload string")
+    got = {str(r.bar_ts): r.open for r in P.candles(pages).collect()}
+    assert got == {"2023-11-14 22:13:20": 7.0, "2023-11-14 23:13:20": 3.0}
+    assert sorted(r.page for r in P.rejected(pages).collect()) == [3, 4]
+    raw = [("A", 1, '[{"a": 5, "p": "1.5", "q": "2", "T": 1700000000123, "m": true}, {"a": 5, "p": "1.5", "q": "2", "T": 1700000000123, "m": true}]'), ("A", 2, "oops")]
+    (r,) = P.trades(spark.createDataFrame(raw, "symbol string, page long, payload string")).collect()
+    assert (r.trade_id, r.price, r.qty, r.is_buyer_maker, str(r.ts)) == (5, 1.5, 2.0, True, "2023-11-14 22:13:20.123000")
+
+
+def test_a_market_of_candles(spark, market):
+    fine = api.Market.of_candles(market.bars("5m"), "M5")
+    for timeframe, kw in (("5m", {"limit": 7}), ("1h", {}), ("1h", {"days": 5}), ("4h", {"limit": 9})):
+        assert sorted(fine.bars(timeframe, **kw).collect()) == sorted(market.bars(timeframe, **kw).collect())
+    assert fine.only("view").until("2024-01-10 00:00:00").bars("1h").agg(F.max("bar_ts")).first()[0] == datetime.datetime(2024, 1, 9, 20)
+    for refused in (lambda: fine.bars("1m"), lambda: fine.get_orderflow("1h")):
+        with pytest.raises(ValueError):
+            refused()

@@ -24,11 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def folder_of(spark: SparkSession) -> str:
+    """Where this application keeps what it writes once."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that the application wrote once. Frames that read it are of no use
+    after that; to be called between pieces of work, or at their end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder_of(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_once(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder, under the application's id, and read
     back: what reads it several times neither plans nor computes it again, and a
     lost executor costs only what came after."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder_of(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir, written_once
+from ..functions.lineage import folder_of, written_once
 from ..functions.scalars import q
 from ..operators import bars as B
 from ..operators import flow as W
@@ -22,7 +22,7 @@ from .queries import flags_as_text, indexed, query
 @query
 def a01_store_newest(spark, sf_dir):
     """The newest 5m candles of a store that is written from all trades."""
-    store = L.save(M.ticks(spark, sf_dir), f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
+    store = L.save(M.ticks(spark, sf_dir), f"{folder_of(spark)}/store-{uuid.uuid4().hex}")
     return B.latest(B.resample(store.newest(300, limit=120), 300), 120)
 
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def written_all(**frames: DataFrame) -> list[DataFrame]:
+    """Several frames written once, at the same time: their jobs share the cluster."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda item: written_once(item[1], item[0]), frames.items()))
+
+
 def folder_of(spark: SparkSession) -> str:
     """Where this application keeps what it writes once."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"

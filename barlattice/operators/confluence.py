@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written_once
+from ..functions.lineage import written_all, written_once
 from ..functions.scalars import over, q
 from . import indicators as I
 from . import profile as P
@@ -27,7 +27,7 @@ def grades(hourly: DataFrame, four_hourly: DataFrame, *, near: float = 0.5, cap:
     is no loop over symbols. Bars and structures, some hundred rows a symbol, are
     written once, since a dozen parts read them.
     """
-    hourly, four_hourly = written_once(hourly, "h1"), written_once(four_hourly, "h4")
+    hourly, four_hourly = written_all(h1=hourly, h4=four_hourly)
     h1, h4 = T.of(hourly, short=True), T.of(four_hourly, short=True)
     now = hourly.groupBy("symbol").agg(F.max_by("close", "bar_idx").alias("price"), F.max("bar_ts").alias("as_of"), F.count("*").alias("n_bars"))
     known = written_once(T.structures(h1, 20, 5), "structures")
@@ -38,23 +38,20 @@ def grades(hourly: DataFrame, four_hourly: DataFrame, *, near: float = 0.5, cap:
     one, four = F.coalesce("t1", F.lit(0)), F.coalesce("t4", F.lit(0))
     one_side = F.when(one == 1, 1).otherwise(-1)
     base = base.withColumns({"dir": F.when(four != 0, four).otherwise(one_side), "counter": (four != 0) & (one_side != four), "has4": four != 0, "aligned1": one_side})
-    base = written_once(base, "base")
+    base, blocks, gaps, swept, equal = written_all(base=base, blocks=T.order_blocks(h1, 20, 5, known=known), gaps=T.gaps(h1), swept=T.liquidity_sweeps(h1, 5), equal=T.equal_levels(h1, 20))
     key = base.select("symbol", "price", "dir", "n_bars", "swing_high", "swing_low")
 
     def off(x: Column) -> Column:
         return F.abs(F.col("price") - x) / F.col("price") * 100
 
-    blocks = written_once(T.order_blocks(h1, 20, 5, known=known), "blocks")
     mid = (F.col("ob_high") + F.col("ob_low")) / 2
     matched = blocks.join(key, "symbol").where((off(mid) < near) & (F.col("bias") == F.col("dir")))
     ob = matched.groupBy("symbol").agg(F.min_by(F.struct("ob_high", "ob_low"), "ord").alias("ob"))
-    gaps = written_once(T.gaps(h1), "gaps").withColumn("mid", (F.col("top") + F.col("bottom")) / 2)
+    gaps = gaps.withColumn("mid", (F.col("top") + F.col("bottom")) / 2)
     gap = gaps.join(key, "symbol").where((off(F.col("mid")) < near) & (F.col("bias") == F.col("dir"))).groupBy("symbol").agg(F.lit(True).alias("has_gap"))
-    swept = written_once(T.liquidity_sweeps(h1, 5), "swept")
     recent = swept.join(key, "symbol").where((F.col("bias") == F.col("dir")) & (F.col("bar_index") >= F.col("n_bars") - 30))
     sweep = recent.groupBy("symbol").agg(F.max_by(F.struct("level", "bar_index"), F.struct("bar_index", "pivot_index")).alias("sweep"))
     after = known.join(sweep, "symbol").join(key.select("symbol", "dir"), "symbol").where("end_index > sweep.bar_index and bias = dir").groupBy("symbol").agg(F.min_by("type", "ord").alias("after_sweep"))
-    equal = written_once(T.equal_levels(h1, 20), "equal")
     pools = equal.select("symbol", "level", "type", "ord").unionByName(
         base.where("swing_high is not null").select("symbol", F.explode(F.array(F.struct(F.col("swing_high").alias("level"), F.lit("Swing High").alias("type"), F.lit(1_000_000).alias("ord")), F.struct(F.col("swing_low").alias("level"), F.lit("Swing Low").alias("type"), F.lit(1_000_001).alias("ord")))).alias("x")).select("symbol", "x.*")
     )

@@ -11,15 +11,21 @@ from . import scan as K
 
 def footprint_levels(trades: DataFrame, seconds: int) -> DataFrame:
     """Volumes and counts by side at each price level of each bar. The first
-    trade of a bar sets its tick; the first pass is a grouped minimum."""
+    trade of a bar sets its tick.
+
+    Trades are read once and summed by price, before the shuffle already; the tick
+    is then found among a bar's prices, and prices are summed to levels.
+    """
     start = F.window("ts", f"{seconds} seconds")["start"]
-    t = trades.withColumn("bar_ts", start)
-    tick = t.groupBy("symbol", "bar_ts").agg(tick_of(F.min_by("price", F.struct("ts", "trade_id"))).alias("tick"))
-    t = t.join(tick, ["symbol", "bar_ts"]).withColumn("level", F.floor(F.col("price") / F.col("tick")) * F.col("tick"))
     buy = ~F.col("is_buyer_maker")
-    return t.groupBy("symbol", "bar_ts", "level").agg(
-        q(F.sum(F.when(buy, F.col("qty")).otherwise(0.0))).alias("buy_vol"), q(F.sum(F.when(~buy, F.col("qty")).otherwise(0.0))).alias("sell_vol"),
-        F.count(F.when(buy, 1)).alias("buy_count"), F.count(F.when(~buy, 1)).alias("sell_count"),
+    prices = trades.groupBy("symbol", start.alias("bar_ts"), "price").agg(
+        F.sum(F.when(buy, F.col("qty")).otherwise(0.0)).alias("bought"), F.sum(F.when(~buy, F.col("qty")).otherwise(0.0)).alias("sold"),
+        F.count(F.when(buy, 1)).alias("buys"), F.count(F.when(~buy, 1)).alias("sells"), F.min(F.struct("ts", "trade_id")).alias("first"),
+    )
+    tick = tick_of(F.min_by("price", "first").over(Window.partitionBy("symbol", "bar_ts")))
+    levelled = prices.withColumn("tick", tick).withColumn("level", F.floor(F.col("price") / F.col("tick")) * F.col("tick"))
+    return levelled.groupBy("symbol", "bar_ts", "level").agg(
+        q(F.sum("bought")).alias("buy_vol"), q(F.sum("sold")).alias("sell_vol"), F.sum("buys").alias("buy_count"), F.sum("sells").alias("sell_count")
     )
 
 

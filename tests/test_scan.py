@@ -184,3 +184,15 @@ def test_appended_bars_equal_a_full_run(spark):
         assert len(got) == len(full) and {tuple(r.asDict()[c] for c in sorted(r.asDict())) for r in got} == full
         first = O.open_windows(seen).first().open_win
         assert n - first <= O.WINDOW + 48 + O.STEP
+
+
+def test_footprints_read_trades_once(spark, tmp_path):
+    from barlattice.operators import flow as W
+
+    t0 = datetime(2024, 1, 1)
+    rows = [("a", t0 + timedelta(seconds=7 * k), k, 100.0 + (k * 37 % 11) / 10, 1.0 + k % 3, k % 2 == 0) for k in range(400)]
+    spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trade_id long, price double, qty double, is_buyer_maker boolean").write.parquet(str(tmp_path / "t"))
+    levels = W.footprint_levels(spark.read.parquet(str(tmp_path / "t")), 300)
+    assert plan(levels).count("FileScan") == 1
+    got = {(str(r.bar_ts), r.level): (r.buy_vol, r.sell_vol, r.buy_count, r.sell_count) for r in levels.collect()}
+    assert sum(v[0] + v[1] for v in got.values()) == sum(r[4] for r in rows) and sum(v[2] + v[3] for v in got.values()) == len(rows)

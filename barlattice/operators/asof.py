@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scan as K
 
@@ -14,9 +13,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, stri
     (before it, with ``strict``). Both sides are dealt by ``by`` and ``block``, which
     ascends with ``on`` (of times the day, of numbers a span of them, if none is
     given); the last right row of the blocks before enters a block."""
-    if block is None:
-        kind = left.schema[on].dataType
-        block = K.day_of(on) if isinstance(kind, T.DatetimeType) else K.width_of(on) if isinstance(kind, T.NumericType) else None
+    block = K.block_of(left, on) if block is None else block
     values = [c for c in right.columns if c not in (*by, on)]
     r = right.select(*by, on, F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("row"), F.struct(*values).alias("val"))
     l = left.select(*by, on, F.struct("*").alias("row"), F.lit(None).cast(r.schema["val"].dataType).alias("val"))

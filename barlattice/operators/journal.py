@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import n_if, q, rate
+from . import scan as K
 
 #: Names under which a journal's columns are known.
 SYNONYMS = {
@@ -33,14 +34,17 @@ def mapped(raw: DataFrame) -> DataFrame:
     return raw.select(*out)
 
 
-def review(journal: DataFrame, by: list[str], order: str = "opened_at", value: str = "pnl") -> DataFrame:
+def review(journal: DataFrame, by: list[str], order: str | list[str] = "opened_at", value: str = "pnl") -> DataFrame:
     """Profit factor, expectancy and the longest run of losses. A run is an
-    island of losses: its rows share the difference of two row numbers."""
-    w = Window.partitionBy(*by).orderBy(order)
+    island of losses: its rows share the difference of their places among all
+    trades and among losses, both counted by blocks of the first of ``order``."""
+    order = [order] if isinstance(order, str) else order
     lost = F.col(value) < 0
     t = journal.withColumn("lost", lost)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "lost").orderBy(order))
-    runs = t.withColumn("island", island).where("lost").groupBy(*by, "island").agg(F.count("*").alias("run")).groupBy(*by).agg(F.max("run").alias("max_losses"))
+    block = K.block_of(t, order[0])
+    placed = K.numbered(t.select(*by, *order, "lost"), by, order, block, "place")
+    losses = K.numbered(placed.where("lost"), by, order, block, "nth_loss")
+    runs = losses.groupBy(*by, (F.col("place") - F.col("nth_loss")).alias("island")).agg(F.count("*").alias("run")).groupBy(*by).agg(F.max("run").alias("max_losses"))
     won = F.sum(F.when(F.col(value) > 0, F.col(value)).otherwise(0.0))
     gave = -F.sum(F.when(lost, F.col(value)).otherwise(0.0))
     done = t.groupBy(*by).agg(F.count("*").alias("trades"), rate(n_if(F.col(value) > 0), F.count("*")).alias("win_pct"), q(F.try_divide(won, gave), 4).alias("profit_factor"), q(F.avg(value), 4).alias("expectancy"))

@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a block of numbered rows.
 WIDTH = 1024
@@ -32,6 +33,12 @@ def width_of(index: str, width: int = WIDTH) -> Column:
     return F.floor(F.col(index) / width)
 
 
+def block_of(rows: DataFrame, column: str) -> Column | None:
+    """Blocks along a column: days of times, spans of numbers; one block of all else."""
+    kind = rows.schema[column].dataType
+    return day_of(column) if isinstance(kind, T.DatetimeType) else width_of(column) if isinstance(kind, T.NumericType) else None
+
+
 def with_entries(rows: DataFrame, by: list[str], block: Column | None, totals: dict[str, tuple[Column, Fold]], back: bool = False) -> DataFrame:
     """``rows`` with ``scan_block`` and, for each total, its fold over the blocks
     before (with ``back`` the blocks after); null where there are none.

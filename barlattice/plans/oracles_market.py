@@ -39,6 +39,18 @@ ORACLES |= {
     + ", ".join([""] + [f"{name} AS (SELECT symbol, '{label}' AS series, ts, {c} AS value FROM d QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 12)" for name, label, c in (("a", "open_interest", "oi"), ("b", "global", "g"), ("c", "taker", "k"))])
     + f" SELECT symbol, series, ts, {_q4('value')} AS value FROM (FROM a UNION ALL FROM b UNION ALL FROM c)",
     "a01_store_newest": sql("SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts DESC) AS nth FROM b5) WHERE nth <= 120"),
+    "l01_journal_review": f"""WITH j AS (SELECT *, o_totalprice - 150000 AS pnl FROM orders),
+        n AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey, pnl) - row_number() OVER (PARTITION BY o_orderpriority, pnl < 0 ORDER BY o_orderdate, o_orderkey, pnl) AS island FROM j),
+        r AS (SELECT o_orderpriority, max(c) AS m FROM (SELECT o_orderpriority, count(*) AS c FROM n WHERE pnl < 0 GROUP BY o_orderpriority, island) GROUP BY 1)
+        SELECT o_orderpriority AS symbol, count(*) AS trades, floor(count(*) FILTER (pnl > 0) * 100.0 / count(*) * 10 + 0.5) / 10 AS win_pct, {_q4("sum(greatest(pnl, 0)) / nullif(-sum(least(pnl, 0)), 0)")} AS profit_factor, {_q4("avg(pnl)")} AS expectancy, any_value(coalesce(m, 0)) AS max_losses
+        FROM j LEFT JOIN r USING (o_orderpriority) GROUP BY 1""",
+    "l02_compliance": f"""SELECT o_orderstatus AS rule, count(*) AS trades, floor(count(*) FILTER (o_custkey % 3 <> 0) * 100.0 / count(*) * 10 + 0.5) / 10 AS kept_pct, {_q4("avg(o_totalprice - 150000) FILTER (o_custkey % 3 <> 0)")} AS avg_kept,
+        {_q4("avg(o_totalprice - 150000) FILTER (o_custkey % 3 = 0)")} AS avg_broken FROM orders GROUP BY 1""",
+    "l03_alignment": sql(
+        """WITH d AS (SELECT symbol, date_trunc('day', bar_ts) AS day, arg_max(sign(close - open), bar_ts) AS h1, sign(arg_max(close, bar_ts) - arg_min(open, bar_ts)) AS d1 FROM b60 GROUP BY ALL),
+        f AS (SELECT symbol, date_trunc('day', bar_ts) AS day, arg_max(sign(close - open), bar_ts) AS h4 FROM b240 GROUP BY ALL)
+        SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CASE WHEN h1 = h4 AND h4 = d1 AND h1 <> 0 THEN 'Full' WHEN greatest(h1, h4, d1) > 0 AND least(h1, h4, d1) < 0 THEN 'Conflict' ELSE 'Partial' END AS alignment FROM d JOIN f USING (symbol, day)"""
+    ),
     "a10_kline_pages": sql("SELECT * FROM b5"),
     "a06_trade_pages": sql("SELECT symbol, date_trunc('second', ts)::TIMESTAMP AS ts, trade_id, price, qty, is_buyer_maker FROM ticks"),
     "a01_day_index": sql(

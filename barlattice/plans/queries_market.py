@@ -10,6 +10,7 @@ from ..functions.lineage import folder_of, written_once
 from ..functions.scalars import q
 from ..operators import bars as B
 from ..operators import flow as W
+from ..operators import journal as J
 from ..operators import outcomes as O
 from ..operators import quantiles
 from ..operators import scan as K
@@ -91,6 +92,34 @@ def drv03_series(spark, sf_dir):
     return W.derivatives(**positioning(spark, sf_dir), period="1d", limit=30)["series"].withColumn("value", q("value", 4))
 
 
+def journal(spark, sf_dir):
+    """A trade journal from ``orders``, under the names that a broker gives."""
+    o = M.table(spark, sf_dir, "orders")
+    own = o.select("o_orderkey", F.col("o_orderdate").alias("Open Time"), F.col("o_orderpriority").alias("Pair"), (F.col("o_totalprice") - 150_000).alias("P&L"), F.col("o_orderstatus").alias("Setup"), (F.col("o_custkey") % 3 != 0).alias("kept"))
+    return J.mapped(own)
+
+
+@query
+def l01_journal_review(spark, sf_dir):
+    return J.review(journal(spark, sf_dir), ["symbol"], ["opened_at", "o_orderkey", "pnl"])
+
+
+@query
+def l02_compliance(spark, sf_dir):
+    return J.compliance(journal(spark, sf_dir))
+
+
+@query
+def l03_alignment(spark, sf_dir):
+    """Whether the last hour, the last four hours and the day of each symbol point one way."""
+    def last(seconds: int, name: str):
+        b = B.resample(M.ticks(spark, sf_dir), seconds).withColumn("day", F.to_date("bar_ts"))
+        return b.groupBy("symbol", "day").agg(F.max_by(F.signum(F.col("close") - F.col("open")), "bar_ts").alias(name))
+
+    signs = last(3600, "h1").join(last(14400, "h4"), ["symbol", "day"]).join(last(86400, "d1"), ["symbol", "day"])
+    return J.alignment(signs, ["h1", "h4", "d1"]).select("symbol", F.col("day").cast("string").alias("day"), "alignment")
+
+
 @query
 def smc15_appended(spark, sf_dir):
     """Outcomes of the whole history from those of its first 22 days and the bars since."""

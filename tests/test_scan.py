@@ -158,6 +158,27 @@ def test_exact_quantiles(spark, accuracy):
         assert got[g][1] == pytest.approx([float(np.quantile(xs, s)) for s in shares], rel=1e-12)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_quantiles_of_a_large_group_stay_dealt_out(spark, monkeypatch, most):
+    """No join brings all rows of a group together, whether brackets are sent or not."""
+    monkeypatch.setattr(quantiles, "SENT", most, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = spark.range(40_000, numPartitions=4).select(F.when(F.col("id") % 100 == 0, "small").otherwise("large").alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+        out = quantiles.exact(data, ["g"], "x", [0.25, 0.5], 100)
+        got = {r.g: (r.n, r.quantiles) for r in out.collect()}
+        plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    for g in ("small", "large"):
+        xs = [float(i * 7919 % 30_011) for i in range(40_000) if (i % 100 == 0) == (g == "small")]
+        assert got[g] == (len(xs), pytest.approx([float(np.quantile(xs, s)) for s in (0.25, 0.5)], rel=1e-12))
+    at = next(i for i, line in enumerate(plan) if "Generate explode(brackets" in line)
+    join = next(line for line in plan[at:] if "Join" in line)
+    assert "BroadcastHashJoin" in join or "salt#" in join
+
+
 def test_profile_rows_by_a_sweep_line(spark):
     rng = random.Random(6)
     prices = [(p, p + rng.random() * 4, p - rng.random() * 4, p) for p in (50 + rng.random() * 9 for _ in range(70))]

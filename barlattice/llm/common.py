@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it each query's shuffle files go when the query ends, not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`written`."""
     spark = df.sparkSession
@@ -84,13 +97,13 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, salts: int = 32, how: st
     return dealt.join(salted, [key, "join_salt"], how).drop("join_salt")
 
 
-def slices(batches: Iterator, text: int) -> Iterator:
+def slices(batches: Iterator, text: int, most: int = BATCH_BYTES) -> Iterator:
     """Arrow batches cut so that the texts in column ``text`` stay near
-    BATCH_BYTES; a row is never cut."""
+    ``most`` bytes; a row is never cut."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(text).nbytes)))
+        rows = max(1, int(batch.num_rows * most / max(1, batch.column(text).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     pa.default_memory_pool().release_unused()  # the worker lives on and serves other steps

@@ -3,148 +3,397 @@
 A text is its words and its end; each is predicted from up to ``order - 1`` words
 before it, from the text's start on. Every n-gram of every text is counted, so
 the tables grow with the corpus; none is pruned, capped or sampled. Words go by
-64-bit hashes, n-grams by the columns ``w1`` (the predicted word), ``w2`` (the one
-before it) and so on.
-
-Counts, continuation counts, the sums of contexts and the interpolated
-probabilities are grouped and joined by n-gram, dealt over the shuffle's
-partitions, for several models over one vocabulary at once. Texts are scored by a
-join of their n-grams with the finished table: nothing of the model goes to the
-driver or to one task but counts of counts.
+64-bit hashes, n-grams by hashes of those.
+
+Tokens are dealt into buckets of about ``BUCKET`` by the word before the predicted
+one, so that a bucket has all n-grams of two words and more that it needs, with
+their contexts. A word before so many tokens that they fill a good part of a bucket
+is dealt by the word before it too; its n-grams of two words are summed over
+buckets. Buckets are met twice, once for the counts of counts and of single words,
+once for the losses, a slice of them at a time: no more than a slice's tokens are
+on disk at once. Nothing of the model goes to the driver or to one task but counts
+of counts and the list of those frequent words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, slices, written
+from .common import drop_written, shuffles_dropped, slices, written
 from .ngram_lm import discounts
 
 #: What stands for a text's start and its end.
 START, END = 0, 1
 
+#: Tokens of a bucket; rows (of texts) whose losses are summed in one step, as a power of two.
+BUCKET, TOGETHER = 1 << 20, 12
 
-def columns(n: int) -> list[str]:
-    return [f"w{k}" for k in range(1, n + 1)]
+#: Bytes of token hashes that are dealt out in one step.
+STEP_BYTES = 16 << 20
 
 
-def token_rows(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The place of its text for each predicted token, and ``order`` arrays of
-    hashes: the tokens, those before them and so on. Texts without words have none."""
+def hashed(texts: list[str | None]) -> pa.Array:
+    """The hashes of each text's words and its end; none for a text without words."""
     words = [t.split() if t else [] for t in texts]
     lengths = np.array([len(w) + 1 if w else 0 for w in words], dtype=np.int64)
     flat = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
     known = pd.util.hash_array(np.array(flat.dictionary.to_pylist(), dtype=object), categorize=False).view(np.int64)
-    places = np.repeat(np.arange(len(texts)), lengths)
-    within = np.arange(len(places)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    tokens = np.full(len(places), END, dtype=np.int64)
-    tokens[within < lengths[places] - 1] = known[flat.indices.to_numpy()]
+    ends = np.cumsum(lengths)
+    tokens = np.full(int(lengths.sum()), END, dtype=np.int64)
+    inner = np.ones(len(tokens), dtype=bool)
+    inner[ends[lengths > 0] - 1] = False
+    tokens[inner] = known[flat.indices.to_numpy()]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(tokens))
+
+
+def mixed(*words: np.ndarray) -> np.ndarray:
+    """One hash of several words, in order."""
+    h = np.zeros(len(words[0]), dtype=np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def grams(words: pa.ListArray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of its text for each token, and ``order`` arrays: the tokens, those before them and so on."""
+    offsets = np.asarray(words.offsets).astype(np.int64)
+    lengths = np.diff(offsets)
+    tokens = np.asarray(words.values)[offsets[0] : offsets[-1]]
+    within = np.arange(len(tokens)) - np.repeat(offsets[:-1] - offsets[0], lengths)
     out = [tokens]
     for k in range(1, order):
         before = np.full(len(tokens), START, dtype=np.int64)
-        before[k:] = tokens[:-k] if k < len(tokens) else before[k:]
+        before[k:] = tokens[:-k]
         before[within < k] = START
         out.append(before)
-    return places, out
+    return np.repeat(np.arange(len(lengths)), lengths), out
 
 
-def count_grams(rows: DataFrame, order: int) -> DataFrame:
-    """``w1 .. , chosen, total`` over ``rows(text, chosen boolean)``: counts in the
-    chosen rows and in all."""
-    names = columns(order)
+def frequent(store: DataFrame, tokens: int) -> np.ndarray:
+    """All words that are a quarter of a bucket's tokens, and some of an eighth. Where such a word is
+    no eighth of a bucket's share of a step's tokens it isn't counted, which loses less than the half."""
+    least = BUCKET / 8
 
     def run(batches):
-        for batch in slices(batches, 0):
-            places, tokens = token_rows(batch.column(0).to_pylist(), order)
-            if len(places):
-                chosen = np.asarray(batch.column(1).to_pylist(), dtype=np.int64)[places]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, tokens), pa.array(chosen)], names=[*names, "chosen"])
+        for batch in slices(batches, 0, STEP_BYTES):
+            known, n = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+            many = n >= max(1, least / tokens * n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(known[many]), pa.array(n[many])], names=["w", "n"])
 
-    tokens = rows.select("text", "chosen").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "chosen"]))
-    return tokens.groupBy(*names).agg(F.sum("chosen").alias("chosen"), F.count("*").alias("total"))
+    found = store.select("words").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # at most eight for each bucket; a text's start is before one token of each text and isn't counted
+    return np.sort(np.array([START, *(r.w for r in found.select("w").collect())], dtype=np.int64))
 
 
-def gram_losses(grams: DataFrame, counts: list[str], order: int) -> DataFrame | None:
-    """``w1 .., loss0, loss1 ..``: the negative log probability of every row of
-    ``grams`` under a model of each column of ``counts``. A column without any
-    count takes the last one's place; None if that has none either.
+def dealt(store: DataFrame, order: int, hot: np.ndarray, buckets: int, part: range) -> DataFrame:
+    """The tokens of the buckets ``part``: a row for each bucket and step, with the distinct words, the
+    places of each token's words among them, and its row (from ``base``), doubled, plus one if chosen."""
 
-    The vocabulary is the words that the last column counts; one more stands for
-    all others.
-    """
-    own = [f"c{k}" for k in range(len(counts))]
-    level = grams.select(*columns(order), *[F.col(c).alias(o) for c, o in zip(counts, own)])
-    sums = level.agg(*[F.sum(o) for o in own]).first()
-    if not sums[-1]:
-        return None
-    level = level.select(*columns(order), *[F.col(o if s else own[-1]).alias(o) for o, s in zip(own, sums)])
-    levels = {order: level}
-    for n in range(order - 1, 0, -1):
-        level = written(level.groupBy(*columns(n)).agg(*[F.count_if(F.col(o) > 0).alias(o) for o in own]), "level")
-        levels[n] = level
-    lower = None
-    for n in range(1, order + 1):
-        level, names, context = levels[n], columns(n), columns(n)[1:]
-        ones = level.agg(*[F.count_if(F.col(o) == k) for o in own for k in range(1, 5)], F.count_if(F.col(own[-1]) > 0)).first()
-        steps = [discounts(list(ones[4 * i : 4 * i + 4])) for i in range(len(own))]
-        back = []
-        for o, d in zip(own, steps):
-            kinds = d[0] * F.count_if(F.col(o) == 1) + d[1] * F.count_if(F.col(o) == 2) + d[2] * F.count_if(F.col(o) > 2)
-            back += [F.sum(o).alias(f"sum_{o}"), (kinds / F.nullif(F.sum(o), F.lit(0))).alias(f"back_{o}")]
-        if context:
-            joined = level.join(level.groupBy(*context).agg(*back), context)
-            joined = joined.join(lower, names[:-1])
+    def run(batches):
+        for batch in (x for b in slices(batches, 2, STEP_BYTES) for x in runs(b)):
+            places, w = grams(batch.column(2), order)
+            if not len(places):
+                continue
+            if order == 1:
+                h = mixed(w[0])
+            else:
+                h, often = mixed(w[1]), np.isin(w[1], hot)
+                h[often] = mixed(*[x[often] for x in (w[1], w[2] if order > 2 else w[0])])
+            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            here = np.flatnonzero((bucket >= part.start) & (bucket < part.stop))
+            here = here[np.argsort(bucket[here], kind="stable")]
+            row = np.asarray(batch.column(0))
+            base = int(row[0])
+            at = ((row - base) * 2 + np.asarray(batch.column(1).to_pylist(), dtype=np.int64)).astype(np.int32)[places]
+            cuts = np.flatnonzero(np.diff(bucket[here], prepend=-1, append=-1))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                mine = here[a:b]
+                known, ids = np.unique(np.concatenate([x[mine] for x in w]), return_inverse=True)
+                ids = ids.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
+                steps = np.diff(at[mine], prepend=np.int32(0))
+                steps = steps.astype(np.uint16) if 0 <= steps.min() and steps.max() < 1 << 16 else steps
+                packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (ids, steps)]
+                out.append((int(bucket[mine[0]]), base, len(mine), ids.itemsize, steps.itemsize, known.tobytes(), *packed))
+            if out:
+                names = ["bucket", "base", "n", "size", "step", "known", "ids", "at"]
+                kinds = [pa.int64()] * 5 + [pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    def runs(batch):
+        """Parts whose rows follow each other; a batch may be of several files."""
+        cuts = [0, *(np.flatnonzero(np.diff(np.asarray(batch.column(0))) != 1) + 1).tolist(), batch.num_rows]
+        return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    schema = "bucket long, base long, n long, size long, step long, known binary, ids binary, at binary"
+    return store.select("row", "chosen", "words").mapInArrow(run, schema)
+
+
+def opened(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row, chosen and words of each token of a bucket."""
+    rows, chosen, words = [], [], []
+    for t in table.to_pylist():
+        n, known = t["n"], np.frombuffer(t["known"], dtype=np.int64)
+        ids = np.frombuffer(pa.decompress(t["ids"], n * order * t["size"], codec="zstd"), dtype=f"u{t['size']}").reshape(order, n)
+        steps = np.frombuffer(pa.decompress(t["at"], n * t["step"], codec="zstd"), dtype="u2" if t["step"] == 2 else "i4")
+        at = np.cumsum(steps.astype(np.int64))
+        rows.append(t["base"] + at // 2)
+        chosen.append(at % 2)
+        words.append(known[ids])
+    return np.concatenate(rows), np.concatenate(chosen), list(np.concatenate(words, axis=1))
+
+
+def grouped(chosen: np.ndarray, w: list[np.ndarray], counts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Levels from the longest n-grams down to those of two words: counts for each model, the context
+    and the place in the next level of each n-gram; then a token of each of the last ones, and for each token its longest n-gram's place."""
+    levels, at, each = [], np.arange(len(chosen)), None
+    weights = [chosen.astype(float) if c == "chosen" else np.ones(len(chosen)) for c in counts]
+    for n in range(len(w), 1, -1):
+        _, first, down = np.unique(mixed(*[x[at] for x in w[:n]]), return_index=True, return_inverse=True)
+        own = [np.bincount(down, x, len(first)) for x in weights]
+        if each is None:
+            each = down
         else:
-            floor = 1.0 / (ones[-1] + 1)
-            joined = level.crossJoin(F.broadcast(level.agg(*back)))
-            joined = joined.select("*", *[F.lit(floor).alias(f"q_{o}") for o in own])
-        q = []
-        for o, d in zip(own, steps):
-            c = F.col(o)
-            left = c - F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-            p = left / F.col(f"sum_{o}") + F.col(f"back_{o}") * F.col(f"q_{o}")
-            # a context that the model never met says nothing
-            q.append(F.when(F.col(f"sum_{o}") > 0, p).otherwise(F.col(f"q_{o}")).alias(f"q_{o}"))
-        above = written(joined.select(*names, *q), "probs")
-        if lower is not None:
-            drop_written(lower)
-        if n < order:
-            drop_written(level)
-        lower = above
-    return lower.select(*columns(order), *[(-F.ln(f"q_{o}")).alias(f"loss{k}") for k, o in enumerate(own)])
-
-
-def score(rows: DataFrame, losses: DataFrame, models: int, order: int) -> DataFrame:
-    """Per ``row`` of ``rows(row, text)`` that has words: ``row, n_tokens`` (words
-    and the text's end) and ``losses``, one sum per model."""
-    names = columns(order)
+            levels[-1] += (down,)
+        at = at[first]
+        _, context = np.unique(mixed(*[x[at] for x in w[1:n]]), return_inverse=True)
+        levels.append((own, context))
+        weights = [(c > 0).astype(float) for c in own]
+    return levels, at, each
+
+
+def kinds(c: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for k in range(1, 5)]
+
+
+def level_q(c: np.ndarray, context: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities of the n-grams of a level; a context that the model never met says nothing."""
+    cut = cut_of(c, d)
+    total, kept = np.bincount(context, c)[context], np.bincount(context, cut)[context]
+    return np.where(total > 0, (c - cut + kept * lower) / np.maximum(total, 1), lower)
+
+
+def figures(c: np.ndarray) -> list[int]:
+    """Counts of counts 1 to 4 and above 2, the sum and how many are met."""
+    return [*kinds(c), int((c > 2).sum()), int(c.sum()), int((c > 0).sum())]
 
-    def run(batches):
-        for batch in slices(batches, 1):
-            places, tokens = token_rows(batch.column(1).to_pylist(), order)
-            if len(places):
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[places]), *map(pa.array, tokens)], names=["row", *names])
 
-    tokens = rows.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["row", *names]))
-    gram = F.xxhash64(*names).alias("gram")
-    found = tokens.select("row", gram).join(losses.select(gram, *[f"loss{k}" for k in range(models)]), "gram")
-    return found.groupBy("row").agg(F.count("*").alias("n_tokens"), F.array(*[F.sum(f"loss{k}") for k in range(models)]).alias("losses"))
+def by_part(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which part of the vocabulary each word is of, and the order by part."""
+    part = (mixed(words) % np.uint64(parts)).astype(np.int64)
+    return part, np.argsort(part, kind="stable")
 
 
-def score_texts(docs: DataFrame, counts: list[str], *, extra: tuple[str, ...], order: int) -> DataFrame | None:
+def asked(w: list[np.ndarray], hot: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's n-grams of two words: which follow a frequent one, the distinct single words, and the place of each one's among them."""
+    often = np.isin(w[1][at], hot) if len(w) > 1 else np.zeros(len(at), dtype=bool)
+    return often, *np.unique(w[0][at], return_inverse=True)
+
+
+SEEN = "bucket long, part long, words binary, ones binary, a binary, b binary, twos binary"
+
+
+def survey(order: int, counts: list[str], hot: np.ndarray, parts: int) -> Callable:
+    """Of a bucket: counts of counts by level (part -1), and by part of the vocabulary its single words, with what
+    they count here, and its n-grams of two words, the first frequent."""
+
+    def run(key, table):
+        _, chosen, w = opened(table, order)
+        found = np.zeros((order + 1, len(counts), 4), dtype=np.int64)
+        if order == 1:
+            often, words, place = asked(w, hot, np.arange(len(chosen)))
+            ones = [np.bincount(place, chosen if c == "chosen" else None, len(words)) for c in counts]
+            a, b, twos = words[:0], words[:0], [words[:0] for _ in counts]
+        else:
+            levels, at, _ = grouped(chosen, w, counts)
+            often, words, place = asked(w, hot, at)
+            for n, (own, *_) in zip(range(order, 1, -1), levels):
+                found[n] = [kinds(c if n > 2 else c[~often]) for c in own]
+            ones = [np.bincount(place, (c > 0) & ~often, len(words)) for c in levels[-1][0]]
+            a, b, twos = w[1][at][often], w[0][at][often], [c[often] for c in levels[-1][0]]
+        bucket = key[0].as_py()
+        out = [(bucket, -1, None, found.tobytes(), None, None, None)]
+        (p_one, o_one), (p_two, o_two) = by_part(words, parts), by_part(b, parts)
+        for p in range(parts):
+            i = o_one[slice(*np.searchsorted(p_one[o_one], [p, p + 1]))]
+            j = o_two[slice(*np.searchsorted(p_two[o_two], [p, p + 1]))]
+            if len(i):
+                out.append((bucket, p, words[i].tobytes(), np.array([c[i] for c in ones], dtype=np.int64).tobytes(), a[j].tobytes(), b[j].tobytes(), np.array([c[j] for c in twos], dtype=np.int64).tobytes()))
+        kinds_of = [pa.int64()] * 2 + [pa.binary()] * 5
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_of)], names=["bucket", "part", "words", "ones", "a", "b", "twos"])
+
+    return run
+
+
+COUNTED = "bucket long, part long, n_one long, n_two long, ones binary, twos binary, what long, model long, found array<long>"
+
+
+def counted(models: int, hot: np.ndarray) -> Callable:
+    """Of a part of the vocabulary, over all buckets: the counts that each bucket asked for, in its order, and
+    the figures of single words (what -1) and of what follows each frequent one (its place)."""
+
+    def run(key, table):
+        rows = table.to_pylist()
+        whole = lambda c: np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in rows])
+        each = lambda c: np.concatenate([np.frombuffer(r[c], dtype=np.int64).reshape(models, -1) for r in rows], axis=1)
+        words, place = np.unique(whole("words"), return_inverse=True)
+        a, b = whole("a"), whole("b")
+        _, first, pair = np.unique(mixed(a, b), return_index=True, return_inverse=True)
+        ones, twos, told = [], [], []
+        follows, spot = np.searchsorted(hot, a[first]), np.searchsorted(words, b[first])
+        order = np.argsort(follows, kind="stable")
+        cuts = np.flatnonzero(np.diff(follows[order], prepend=-1, append=-1)) if len(order) else []
+        for m, (one, two) in enumerate(zip(each("ones"), each("twos"))):
+            two = np.bincount(pair, two, len(first)).astype(np.int64)
+            one = (np.bincount(place, one, len(words)) + np.bincount(spot, two > 0, len(words))).astype(np.int64)
+            told.append((-1, m, figures(one)))
+            told += [(int(follows[order[i]]), m, figures(two[order[i:j]])) for i, j in zip(cuts[:-1], cuts[1:])]
+            ones.append(one[place])
+            twos.append(two[pair])
+        ones, twos, out, i, j = np.array(ones), np.array(twos), [], 0, 0
+        for r in rows:
+            n, k = len(r["words"]) // 8, len(r["a"]) // 8
+            packed = [pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) for x in (ones[:, i : i + n], twos[:, j : j + k])]
+            out.append((r["bucket"], r["part"], n, k, *packed, None, None, None))
+            i, j = i + n, j + k
+        out += [(None, None, None, None, None, None, *t) for t in told]
+        kinds_of = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_of)], names=["bucket", "part", "n_one", "n_two", "ones", "twos", "what", "model", "found"])
+
+    return run
+
+
+def told_of(known: pa.Table, words: np.ndarray, b: np.ndarray, models: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a bucket's single words and n-grams of two words, as :func:`counted` tells them by part."""
+    ones, twos = np.zeros((models, len(words)), dtype=np.int64), np.zeros((models, len(b)), dtype=np.int64)
+    (p_one, o_one), (p_two, o_two) = by_part(words, parts), by_part(b, parts)
+    for r in known.to_pylist():
+        for out, n, packed, p, o in ((ones, r["n_one"], r["ones"], p_one, o_one), (twos, r["n_two"], r["twos"], p_two, o_two)):
+            at = o[slice(*np.searchsorted(p[o], [r["part"], r["part"] + 1]))]
+            out[:, at] = np.frombuffer(pa.decompress(packed, models * n * 8, codec="zstd"), dtype=np.int64).reshape(models, n)
+    return ones, twos
+
+
+def cut_of(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
+
+
+def losses_of(order: int, counts: list[str], hot: np.ndarray, parts: int, steps: dict[int, list[list[float]]], base: list[tuple], after: np.ndarray) -> Callable:
+    """Of a bucket, with the counts that it asked for: the sums of each text's losses, packed by ``TOGETHER`` of rows.
+    ``base`` has the sum and what is left to all words for each model, ``after`` sums and cuts after the frequent words."""
+
+    def run(key, table, known):
+        row, chosen, w = opened(table, order)
+        levels, at, each = grouped(chosen, w, counts) if order > 1 else ([], np.arange(len(row)), np.arange(len(row)))
+        often, words, place = asked(w, hot, at)
+        ones, twos = told_of(known, words, w[0][at][often], len(counts), parts)
+        follows = np.searchsorted(hot, w[1][at][often]) if order > 1 else None
+        texts, text = np.unique(row, return_inverse=True)
+        sums = []
+        for m in range(len(counts)):
+            total, left = base[m]
+            q = ((ones[m] - cut_of(ones[m], steps[1][m])) / total + left)[place]
+            if order > 1:
+                one = q[often]
+                q = level_q(levels[-1][0][m], levels[-1][1], steps[2][m], q)
+                total, kept = after[m][:, follows]
+                q[often] = np.where(total > 0, (twos[m] - cut_of(twos[m], steps[2][m]) + kept * one) / np.maximum(total, 1), one)
+                for n, (own, context, down) in zip(range(3, order + 1), levels[-2::-1]):
+                    q = level_q(own[m], context, steps[n][m], q[down])
+            sums.append(np.bincount(text, -np.log(q)[each], len(texts)))
+        group = texts >> TOGETHER
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        packed = [(int(group[i]), (texts[i:j] - (group[i] << TOGETHER)).astype(np.int16).tobytes(), np.array([s[i:j] for s in sums]).tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*packed), (pa.int64(), pa.binary(), pa.binary()))], names=["rows", "at", "losses"])
+
+    return run
+
+
+def summed(models: int) -> Callable:
+    """The losses of ``TOGETHER`` of rows over buckets."""
+
+    def run(key, table):
+        sums, met = np.zeros((models, 1 << TOGETHER)), np.zeros(1 << TOGETHER, dtype=bool)
+        for at, losses in zip(table["at"], table["losses"]):
+            at = np.frombuffer(at.as_py(), dtype=np.int16)
+            sums[:, at] += np.frombuffer(losses.as_py()).reshape(models, len(at))
+            met[at] = True
+        at = np.flatnonzero(met)
+        return pa.Table.from_arrays([pa.array((key[0].as_py() << TOGETHER) + at), *[pa.array(s[at]) for s in sums]], names=["row", *[f"loss{k}" for k in range(models)]])
+
+    return run
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def score_texts(docs: DataFrame, counts: list[str], *, extra: tuple[str, ...], order: int, slices_: int = 4) -> DataFrame | None:
+    """:func:`scored_texts`, without leaving shuffle files of one slice to the next."""
+    with shuffles_dropped(docs.sparkSession):
+        return scored_texts(docs, counts, extra=extra, order=order, slices_=slices_)
+
+
+def scored_texts(docs: DataFrame, counts: list[str], *, extra: tuple[str, ...], order: int, slices_: int) -> DataFrame | None:
     """``docs`` is ``text``, ``chosen`` (is it learned from?) and ``extra`` columns;
-    ``counts`` names one of ``chosen`` and ``total`` for each model. Per row: the
-    extra columns, ``n_tokens`` and ``losses``; None if nothing is learned."""
-    rows = written(docs.select(*extra, "chosen", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    grams = written(count_grams(rows, order), "grams")
-    losses = gram_losses(grams, counts, order)
-    if losses is None:
+    ``counts`` names one of ``chosen`` and ``total`` for each model; a model without
+    any count takes the last one's place. ``slices_`` slices of buckets are on disk one
+    after the other. Per row: the extra columns, ``n_tokens`` and ``losses``; None if
+    nothing is learned.
+
+    The vocabulary is the words that the last column counts; one more stands for
+    all others.
+    """
+    kept = docs.select(*extra, "chosen", "text")
+
+    def tokens(batches):
+        for batch in slices(batches, len(extra) + 1):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hashed(batch.column(len(extra) + 1).to_pylist())], names=[*batch.schema.names[:-1], "words"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    store = written(kept.mapInArrow(tokens, f"{schema}, words array<long>").withColumn("n", F.size("words").cast("long")).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    size = store.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("chosen"), F.col("n"))).alias("chosen")).first()
+    if not size[counts[-1]]:
         return None
-    drop_written(grams)
-    scored = rows.select("row", *extra).join(score(rows, losses, len(counts), order), "row", "left")
+    counts = [c if size[c] else counts[-1] for c in counts]
+    models = len(counts)
+    hot = frequent(store, size.total)
+    each = max(1, -(-size.total // (slices_ * BUCKET)))
+    ranges, parts = [range(k * each, (k + 1) * each) for k in range(slices_)], max(8, slices_ * each // 8)
+    deal = lambda part: dealt(store, order, hot, slices_ * each, part).groupBy("bucket")
+    seen = [written(deal(part).applyInArrow(survey(order, counts, hot, parts), SEEN), "seen") for part in ranges]
+    every = union(seen)
+    found = sum(np.frombuffer(r.ones, dtype=np.int64).reshape(order + 1, models, 4) for r in every.where("part < 0").select("ones").collect())
+    met = written(every.where("part >= 0").groupBy("part").applyInArrow(counted(models, hot), COUNTED), "counted")
+    for part in seen:
+        drop_written(part)
+    tally = np.zeros((models, len(hot) + 1, 7), dtype=np.int64)  # the last of each: single words
+    for r in met.where("what is not null").groupBy("what", "model").agg(*[F.sum(F.col("found")[k]).alias(f"f{k}") for k in range(7)]).collect():
+        tally[r.model, r.what] = r[2:]
+    found[1] += tally[:, -1, :4]
+    if order > 1:
+        found[2] += tally[:, :-1, :4].sum(axis=1)
+    steps = {n: [discounts([int(x) for x in f]) for f in found[n]] for n in range(1, order + 1)}
+    cuts = lambda f, d: f[..., 0] * d[0] + f[..., 1] * d[1] + f[..., 4] * d[2]
+    single = tally[:, -1]
+    base = [(int(single[m, 5]), cuts(single[m], steps[1][m]) / single[m, 5] / (single[-1, 6] + 1)) for m in range(models)]
+    after = np.array([[tally[m, :-1, 5], cuts(tally[m, :-1], steps[min(2, order)][m])] for m in range(models)])
+    told = met.where("bucket is not null").select("bucket", "part", "n_one", "n_two", "ones", "twos")
+    sums = []
+    for part in ranges:
+        known = told.where(F.col("bucket").between(part.start, part.stop - 1)).groupBy("bucket")
+        packed = deal(part).cogroup(known).applyInArrow(losses_of(order, counts, hot, parts, steps, base, after), "rows long, at binary, losses binary")
+        sums.append(written(packed.groupBy("rows").applyInArrow(summed(models), ", ".join(["row long", *[f"loss{k} double" for k in range(models)]])), "losses"))
+    scored = union(sums).groupBy("row").agg(F.array(*[F.sum(f"loss{k}") for k in range(models)]).alias("losses"))
     none = F.array(*[F.lit(0.0) for _ in counts])
-    return scored.select(*extra, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("losses", none).alias("losses"))
+    return store.select("row", "n", *extra).join(scored, "row", "left").select(*extra, F.col("n").alias("n_tokens"), F.coalesce("losses", none).alias("losses"))

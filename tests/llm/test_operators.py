@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from barlattice.llm import decontaminate, html_extract, jaccard_join, lm_scoring, ngram_lm, packing, pii, quality, toxicity, url_filter, vector_dedup
+from barlattice.llm import decontaminate, html_extract, jaccard_join, lm_scoring, ngram_lm, packing, pii, quality, toxicity, url_filter, vector_dedup, word_lm
 from barlattice.llm.common import written
 from barlattice.llm.components import components
 
@@ -602,6 +602,24 @@ def test_lm_scoring_crosses_words_and_agrees_with_brute_force(spark):
         assert got[r.doc_id].background_loss == pytest.approx(loss / got[r.doc_id].n_tokens, abs=2e-6)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_word_model_by_slices_of_buckets_agrees_with_brute_force(spark, monkeypatch, order):
+    """Small buckets, so that frequent words are spread; no slice has more than its share of the tokens."""
+    monkeypatch.setattr(word_lm, "BUCKET", 64, raising=False)
+    docs = word_order_corpus(spark).repartition(3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marked = docs.select("doc_id", "text", (F.col("doc_id") < 30).alias("chosen"))
+    met, dealt = [], word_lm.dealt
+    monkeypatch.setattr(word_lm, "dealt", lambda *a: met.append(dealt(*a)) or met[-1])
+    got = {r.doc_id: r.losses for r in word_lm.score_texts(marked, ["chosen", "total"], extra=("doc_id",), order=order, slices_=4).collect()}
+    for m, learned in enumerate(([t for k, t in texts.items() if k < 30], list(texts.values()))):
+        for k, loss in zip(texts, brute_kneser_ney(list(texts.values()), learned, order)):
+            assert got[k][m] == pytest.approx(loss, abs=1e-9)
+    sizes = [df.agg(F.sum("n")).first()[0] or 0 for df in met[:4]]
+    assert sum(sizes) == sum(len(t.split()) + 1 for t in texts.values())
+    assert order == 1 or max(sizes) < 0.6 * sum(sizes)
+
+
 def test_quality_crosses_words_and_agrees_with_brute_force(spark):
     docs = word_order_corpus(spark)
     rows = docs.collect()

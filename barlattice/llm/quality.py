@@ -20,13 +20,13 @@ from .common import small, written
 from .word_lm import score_texts
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 3, keep: float = 0.9, accuracy: int = 10_000) -> DataFrame:
-    """``trusted`` holds the keys of trusted documents; ``order`` counts words. Per
-    row: ``key, lang, n_tokens, perplexity, threshold, kept``."""
+def classify(docs: DataFrame, trusted: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 3, keep: float = 0.9, accuracy: int = 10_000, slices_: int = 12) -> DataFrame:
+    """``trusted`` holds the keys of trusted documents; ``order`` counts words; the more
+    ``slices_``, the less of the tokens is on disk at once. Per row: ``key, lang, n_tokens, perplexity, threshold, kept``."""
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     own = trusted.select(F.col(key).alias("key"), F.lit(True).alias("chosen")).where("key is not null").distinct()
     marked = rows.join(small(own), "key", "left").select("key", "lang", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    scored = score_texts(marked, ["chosen"], extra=("key", "lang"), order=order)
+    scored = score_texts(marked, ["chosen"], extra=("key", "lang"), order=order, slices_=slices_)
     if scored is None:
         scored = rows.select("key", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"))
     else:

@@ -631,6 +631,17 @@ def test_quality_crosses_words_and_agrees_with_brute_force(spark):
         assert got[r.doc_id].perplexity == pytest.approx(np.exp(loss / (len(r.text.split()) + 1)), rel=1e-5)
 
 
+def test_quality_holds_a_small_share_of_the_tokens_on_disk_at_once(spark, monkeypatch):
+    monkeypatch.setattr(word_lm, "BUCKET", 16, raising=False)
+    docs = word_order_corpus(spark).repartition(3)
+    met, dealt = [], word_lm.dealt
+    monkeypatch.setattr(word_lm, "dealt", lambda *a: met.append(dealt(*a)) or met[-1])
+    assert quality.classify(docs, docs.where("doc_id < 30").select("doc_id"), keep=0.6).count() == docs.count()
+    sizes = [df.agg(F.sum("n")).first()[0] or 0 for df in met[: len(met) // 2]]
+    assert sum(sizes) == sum(len(r.text.split()) + 1 for r in docs.collect())
+    assert max(sizes) < 0.25 * sum(sizes)
+
+
 # ---- 7 personal data -----------------------------------------------------------------------------
 
 RX = {

@@ -642,6 +642,34 @@ def test_quality_holds_a_small_share_of_the_tokens_on_disk_at_once(spark, monkey
     assert max(sizes) < 0.25 * sum(sizes)
 
 
+def test_word_model_deals_by_the_list_of_words_of_a_step(monkeypatch):
+    """Frequent words are looked up once for each distinct word of a step, not for each token of each dealing."""
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(400)) for i in range(1, 60)] + [None, " "]
+    known, ids, lengths = word_lm.hashed(texts)
+    step = dict(zip([x.split()[0] for x in word_lm.STEPS.split(", ")], word_lm.step_of(0, [(known, ids, lengths, lengths * 0)])))
+    asked, among = [], word_lm.among
+    monkeypatch.setattr(word_lm, "among", lambda words, hot: asked.append(len(words)) or among(words, hot))
+    run = word_lm.dealt(Frame(), 3, np.sort(np.append(known[:9], word_lm.START)), 8, range(8))
+    out = word_lm.pa.Table.from_batches(list(run([word_lm.pa.RecordBatch.from_pylist([step])])))
+    row, _, w = word_lm.opened(out, 3)
+    assert asked == [52] and len(row) == lengths.sum() == 59 * 401
+    got = Counter(zip(row.tolist(), *[x.tolist() for x in w[::-1]]))
+    of = {x: h for x, h in zip(dict.fromkeys(x for t in texts if t for x in t.split()), known.tolist())}
+    padded = [[0, 0, *[of[x] for x in t.split()], word_lm.END] for t in texts[:59]]
+    assert got == Counter((i, *p[k : k + 3]) for i, p in enumerate(padded) for k in range(len(p) - 2))
+
+
+def test_word_model_of_parts_without_words(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "  ") for i in range(40)], "doc_id long, text string").coalesce(1).union(spark.createDataFrame([(100, "a b a")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, docs.where("doc_id = 100").select("doc_id")).collect()}
+    assert len(got) == 41 and got[100].n_tokens == 4 and got[100].score == 0
+    assert all(got[i].n_tokens == 0 and got[i].score is None for i in range(40))
+
+
 # ---- 7 personal data -----------------------------------------------------------------------------
 
 RX = {
